@@ -1,14 +1,18 @@
 """The operators' queries over their whole tables, and DuckDB SQL where SQL can express them."""
 
-from . import mixing, secrets, token_counts
+from . import fm_index, minhash, mixing, secrets, token_counts
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
+    "op4_decontamination": fm_index.op4_decontamination,
     "op5_secret_scan": secrets.op5_secret_scan,
+    "op8_near_dedup": minhash.op8_near_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
 }
 
 ORACLES = {
     "op3_mixing": mixing.OP3_SQL,
+    "op4_decontamination": fm_index.OP4_SQL,
     "op5_secret_scan": secrets.OP5_SQL,
+    "op8_near_dedup": minhash.OP8_SQL,
 }
