@@ -1,9 +1,10 @@
 """The operators' queries over their whole tables, and DuckDB SQL where SQL can express them."""
 
-from . import fm_index, minhash, mixing, pivot_search, secrets, token_counts
+from . import fm_index, minhash, mixing, pivot_search, secrets, token_counts, warc
 
 QUERIES = {
     "op1_topk_search": pivot_search.op1_topk_search,
+    "op2_warc": warc.op2_warc,
     "op3_mixing": mixing.op3_mixing,
     "op4_decontamination": fm_index.op4_decontamination,
     "op5_secret_scan": secrets.op5_secret_scan,
@@ -13,6 +14,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_topk_search": pivot_search.OP1_SQL,
+    "op2_warc": warc.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op4_decontamination": fm_index.OP4_SQL,
     "op5_secret_scan": secrets.OP5_SQL,
