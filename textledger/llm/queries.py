@@ -1,6 +1,6 @@
 """The operators' queries over their whole tables, and DuckDB SQL where SQL can express them."""
 
-from . import fm_index, minhash, mixing, pivot_search, secrets, token_counts, warc
+from . import cotraining, fm_index, minhash, mixing, pivot_search, secrets, token_counts, warc
 
 QUERIES = {
     "op1_topk_search": pivot_search.op1_topk_search,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_secret_scan": secrets.op5_secret_scan,
     "op8_near_dedup": minhash.op8_near_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_quality": cotraining.op10_quality,
 }
 
 ORACLES = {
