@@ -1,6 +1,6 @@
 """The operators' queries over their whole tables, and DuckDB SQL where SQL can express them."""
 
-from . import cotraining, fm_index, minhash, mixing, pivot_search, quotes, secrets, token_counts, warc
+from . import chaining, cotraining, fm_index, minhash, mixing, pivot_search, quotes, secrets, token_counts, warc
 
 QUERIES = {
     "op1_topk_search": pivot_search.op1_topk_search,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_decontamination": fm_index.op4_decontamination,
     "op5_secret_scan": secrets.op5_secret_scan,
+    "op6_substring_dedup": chaining.op6_substring_dedup,
     "op7_chat_format": quotes.op7_chat_format,
     "op8_near_dedup": minhash.op8_near_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
