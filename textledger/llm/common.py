@@ -7,11 +7,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 #: Words between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,6 +32,7 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives lost executors."""
+    ship(df.sparkSession)
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
