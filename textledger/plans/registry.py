@@ -1,4 +1,8 @@
 """All queries over the reference's operators, by name, with their DuckDB SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from . import corpus, scalars
+
+QUERIES, ORACLES = {}, {}
+for part in (scalars, corpus):
+    QUERIES |= part.QUERIES
+    ORACLES |= part.ORACLES
