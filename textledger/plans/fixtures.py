@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+LOWER = "abcdefghijklmnopqrstuvwxyz"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,7 +34,7 @@ def edited(content: Column) -> Column:
 
     def line(x: Column, i: Column) -> Column:
         n = i + 1
-        kept = F.when(n % 7 == 3, F.array().cast("array<string>")).when(n % 11 == 5, F.array(F.upper(x))).otherwise(F.array(x))
+        kept = F.when(n % 7 == 3, F.array().cast("array<string>")).when(n % 11 == 5, F.array(F.translate(x, LOWER, LOWER.upper()))).otherwise(F.array(x))
         more = F.when(n % 9 == 4, F.array(F.concat(F.lit("inserted after "), n.cast("string")))).otherwise(F.array().cast("array<string>"))
         return F.concat(kept, more)
 
@@ -56,7 +59,7 @@ def files_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILES_V2 = """files_v2 AS (
   SELECT (CASE WHEN doc_id % 13 = 5 THEN 'archive/' ELSE 'docs/' END) || source || '/' || lang || '/' || lpad(doc_id::VARCHAR, 7, '0') || '.txt' AS path,
     CASE WHEN doc_id % 13 <> 5 AND doc_id % 5 = 1 THEN array_to_string(flatten(list_transform(string_split(coalesce(text, ''), chr(10)),
-      lambda x, n: list_concat(CASE WHEN n % 7 = 3 THEN []::VARCHAR[] WHEN n % 11 = 5 THEN [upper(x)] ELSE [x] END,
+      lambda x, n: list_concat(CASE WHEN n % 7 = 3 THEN []::VARCHAR[] WHEN n % 11 = 5 THEN [translate(x, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')] ELSE [x] END,
         CASE WHEN n % 9 = 4 THEN ['inserted after ' || n] ELSE []::VARCHAR[] END))), chr(10)) ELSE coalesce(text, '') END AS content
   FROM documents WHERE doc_id % 17 <> 3
   UNION ALL SELECT 'bench/' || lpad(item_id::VARCHAR, 7, '0') || '.txt', coalesce(text, '') FROM benchmark)"""

@@ -1,8 +1,8 @@
 """All queries over the reference's operators, by name, with their DuckDB SQL."""
 
-from . import corpus, scalars
+from . import corpus, scalars, search
 
 QUERIES, ORACLES = {}, {}
-for part in (scalars, corpus):
+for part in (scalars, corpus, search):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
