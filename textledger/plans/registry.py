@@ -1,8 +1,8 @@
 """All queries over the reference's operators, by name, with their DuckDB SQL."""
 
-from . import corpus, scalars, search
+from . import corpus, metrics, scalars, search, snapshots
 
 QUERIES, ORACLES = {}, {}
-for part in (scalars, corpus, search):
+for part in (scalars, corpus, search, snapshots, metrics):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
