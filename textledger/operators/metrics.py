@@ -73,7 +73,7 @@ def debounce(events: DataFrame, quiet_ms: int, most_ms: int) -> DataFrame:
     that runs over midnight is cut there.
     """
     day = F.to_date("ts")
-    times = events.groupBy("stream", day.alias("day")).agg(F.array_sort(F.collect_list(F.unix_micros("ts"))).alias("times"))
+    times = events.groupBy("stream", day.alias("day")).agg(F.array_sort(F.collect_list(F.unix_micros(F.col("ts").cast("timestamp")))).alias("times"))
     empty = F.array().cast("array<struct<first:bigint,last:bigint,n:int>>")
 
     def step(acc: Column, t: Column) -> Column:
