@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -155,6 +156,22 @@ def hop(fragments: list[tuple[int, int, int]], lo: int, hi: int) -> tuple[int, i
     return new_lo, new_lo if lo == hi else (new_hi if y is None else y), hit
 
 
+def hops(fragments: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hop for many ranges at once."""
+    shift, empty = 0, lo == hi
+    hit, new_lo, new_hi = np.zeros(len(lo), bool), lo.copy(), hi.copy()
+    for p, o, n in fragments:
+        if o > 0:
+            hit |= np.where(empty, (p < lo) & (lo < p + o), (p < hi) & (p + o > lo))
+        else:
+            hit |= np.where(empty, p == lo, (lo < p) & (p < hi))
+        # A bound in the replaced stretch goes to its edge; one behind it has moved by all before.
+        new_lo = np.where((p + o <= lo) & ((o > 0) | (p <= lo)), lo + shift + n - o, np.where((p < lo) & (lo < p + o), p + shift, new_lo))
+        new_hi = np.where((p + o <= hi) & ((o > 0) | (p < hi)), hi + shift + n - o, np.where((p < hi) & (hi < p + o), p + shift + n, new_hi))
+        shift += n - o
+    return new_lo, np.where(empty, new_lo, new_hi), hit
+
+
 def map_ranges(refs: DataFrame, fragments: DataFrame) -> DataFrame:
     """refs (ref_id, path, since, lo, hi) carried through all later changes of their path, in order.
 
@@ -164,16 +181,16 @@ def map_ranges(refs: DataFrame, fragments: DataFrame) -> DataFrame:
     schema = "ref_id string, lo long, hi long, touched array<long>"
 
     def run(r: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        by_change = {c: list(zip(g["pos"], g["old_n"], g["new_n"], strict=True)) for c, g in f.sort_values(["change_id", "seq"]).groupby("change_id")}
-        out = []
-        for ref, since, lo, hi in zip(r["ref_id"], r["since"], r["lo"], r["hi"], strict=True):
-            touched = []
-            for c in sorted(x for x in by_change if x > since):
-                lo, hi, hit = hop(by_change[c], lo, hi)
-                if hit:
-                    touched.append(int(c))
-            out.append((ref, int(lo), int(hi), touched))
-        return pd.DataFrame(out, columns=["ref_id", "lo", "hi", "touched"])
+        r = r.sort_values("since", kind="stable")
+        since, lo, hi = (r[c].to_numpy().copy() for c in ("since", "lo", "hi"))
+        touched: list[list[int]] = [[] for _ in since]
+        for c, g in f.sort_values(["change_id", "seq"]).groupby("change_id", sort=True):
+            n = int(np.searchsorted(since, c))  # the references that are older
+            if n:
+                lo[:n], hi[:n], hit = hops(g[["pos", "old_n", "new_n"]].to_numpy(), lo[:n], hi[:n])
+                for k in np.flatnonzero(hit):
+                    touched[k].append(int(c))
+        return pd.DataFrame({"ref_id": r["ref_id"].to_numpy(), "lo": lo, "hi": hi, "touched": touched})
 
     return refs.groupBy("path").cogroup(fragments.groupBy("path")).applyInPandas(run, schema)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import search as S
+from ..sources.tables import work_path
 from .fixtures import FILES_V1, FILES_V2, LINES_V1, files_v1, files_v2, lines_of
 
 QUERIES, ORACLES = {}, {}
@@ -43,6 +44,19 @@ HITS = f"hits AS (SELECT query_id::BIGINT AS query_id, path, line_no::INT AS lin
 TRI = "(SELECT path, (line_no - 1) // 256 AS chunk_no, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), i, 3))) AS tri FROM lines WHERE length(text) >= 3)"
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark, d):
+    """The trigram index as a table, built once for each session and data folder, sorted by trigram."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes:
+        at = work_path(spark, "trigram-index")
+        S.trigram_index(lines(spark, d)).repartition("tri").sortWithinPartitions("tri").write.parquet(at)
+        _indexes[key] = at
+    return spark.read.parquet(_indexes[key])
+
+
 @query("build_trigram_index", f"WITH {BASE} SELECT DISTINCT tri, path, chunk_no::INT AS chunk_no FROM {TRI}")
 def build_trigram_index(spark, d):
     return S.trigram_index(lines(spark, d))
@@ -83,7 +97,7 @@ def sync_word_index(spark, d):
 
 
 def literal_hits(spark, d):
-    return S.search_literal(listed(spark, LITERALS), lines(spark, d), build_trigram_index(spark, d))
+    return S.search_literal(listed(spark, LITERALS), lines(spark, d), stored_index(spark, d))
 
 
 @query("search_literal", f"WITH {BASE}, {HITS} SELECT * FROM hits")
@@ -98,7 +112,7 @@ def search_scan(spark, d):
 
 @query("search_regex", f"WITH {BASE} SELECT query_id::BIGINT AS query_id, path, line_no::INT AS line_no, text FROM lines JOIN {values(REGEXES)} ON regexp_matches(text, pattern)")
 def search_regex(spark, d):
-    return S.search_regex(listed(spark, REGEXES), REGEXES, lines(spark, d), build_trigram_index(spark, d))
+    return S.search_regex(listed(spark, REGEXES), REGEXES, lines(spark, d), stored_index(spark, d))
 
 
 @query(
@@ -176,7 +190,7 @@ def context_groups(spark, d):
 def dnf_candidates(spark, d):
     """Chunks of either clause: all trigrams of "licens", or all of "mit "."""
     needles = spark.createDataFrame([(1, 0, "licens"), (1, 1, "mit ")], "query_id long, clause int, literal string")
-    return S.candidates(needles, build_trigram_index(spark, d)).select("path", "chunk_no").distinct()
+    return S.candidates(needles, stored_index(spark, d)).select("path", "chunk_no").distinct()
 
 
 TERMS = f"""tw AS (SELECT query_id, unnest(regexp_extract_all(pattern, '[\\p{{L}}\\p{{Nd}}]+')) AS w FROM {values(WORDS)}),
