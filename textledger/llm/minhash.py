@@ -6,9 +6,10 @@ Documents of similarity s share a table unless one collection matches nowhere: w
 1 - (1 - (1 - s^2)^8)^2, 0.06 % at 0.8 and 0.007 % at 0.85.
 
 Equal sets are one class before any table is built, so exact copies cost one row each. In a table's
-bucket no pairs are written out. In rounds, 4^t representatives of each bucket, the least ids of as
+bucket no pairs are written out. In rounds, 4^t representatives of each bucket, one of each of as
 many hash parts, are compared with the members of other components; every comparison uses the full
-sets. Verified links join components (alternating large and small stars, on tables in the shared
+sets. Representatives are those with the most rows in all their buckets, so the text that a group's
+copies come from is the first. Verified links join components (alternating large and small stars, on tables in the shared
 folder); representatives leave their buckets, their pairs being decided, and buckets of one component
 are done. A bucket of one large group of near copies so needs about one comparison for each member.
 
@@ -112,13 +113,18 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
 
 
 def table_keys(classes: DataFrame) -> DataFrame:
-    """(key, node) for every pair of half keys, where more than one node has the key."""
+    """(key, node, size, weight) for every pair of half keys, where more than one node has the key.
+
+    weight: the rows of all the node's buckets. It is largest for the text that a group was copied from.
+    """
     pairs = F.flatten(
         F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(x, y, i * HALF_KEYS + j)))
     )
-    keys = classes.select(F.explode(pairs).alias("key"), "node")
-    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    return keys.join(shared.select("key"), "key")
+    keys = classes.select(F.explode(pairs).alias("key"), "node", "size")
+    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high")
+    rows = written(keys.join(shared.select("key", "n"), "key"), "shared-keys")
+    weights = written(rows.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    return rows.join(weights, "node").select("key", "node", "size", "weight")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -181,31 +187,32 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link_components(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Components of the nodes in the buckets (key, node) under verified links, in rounds."""
+    """Components of the nodes in the buckets (key, node, size, weight) under verified links, in rounds."""
     id_type = buckets.schema["node"].dataType.simpleString()
     session = buckets.sparkSession
     comps = session.createDataFrame([], f"node {id_type}, comp {id_type}")
     tested = session.createDataFrame([], f"u {id_type}, v {id_type}")
     step, old = 0, None
     while True:
-        named = buckets.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+        named = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         open_ = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-        live = written(named.join(open_.select("key"), "key").select("key", "node", "comp"), "buckets")
+        live = written(named.join(open_.select("key"), "key").select("key", "node", "size", "weight", "comp"), "buckets")
         if old is not None:
             delete(old)
         if live.isEmpty():
             return comps
         part = F.pmod(F.xxhash64("node"), F.lit(4**step))
-        reps = live.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "comp")).alias("r"))
-        reps = reps.select("key", F.col("r.node").alias("rep"), F.col("r.comp").alias("rep_comp"))
-        pairs = live.alias("l").join(reps.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("comp") != F.col("rep_comp")))
+        reps = live.groupBy("key", part.alias("part")).agg(F.max_by(F.struct("node", "comp", "size"), F.struct("weight", -F.col("node"))).alias("r"))
+        reps = reps.select("key", F.col("r.node").alias("rep"), F.col("r.comp").alias("rep_comp"), F.col("r.size").alias("rep_size"))
+        near = 100 * F.least("size", "rep_size") >= percent * F.greatest("size", "rep_size")  # else they can't be linked
+        pairs = live.alias("l").join(reps.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("comp") != F.col("rep_comp")) & near)
         pairs = pairs.select(F.least("node", "rep").alias("u"), F.greatest("node", "rep").alias("v")).distinct()
         pairs = written(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
         links = verified(pairs, sets, percent)
         comps = written(components(links.union(comps.select("node", "comp"))), "components")
         tested = tested.union(pairs)
         gone = reps.select("key", F.col("rep").alias("node"))
-        buckets, old, step = live.select("key", "node").join(gone, ["key", "node"], "left_anti"), live, step + 1
+        buckets, old, step = live.drop("comp").join(gone, ["key", "node"], "left_anti"), live, step + 1
 
 
 def near_duplicates(
@@ -213,7 +220,9 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row."""
     sigs = written(signatures(docs, id_col, text_col, width), "signatures")
-    classes = sigs.where("cls is not null").groupBy("cls").agg(F.min("id").alias("node"), F.first("a").alias("a"), F.first("b").alias("b"))
+    classes = sigs.where("cls is not null").groupBy("cls").agg(
+        F.min("id").alias("node"), F.first("n_shingles").alias("size"), F.first("a").alias("a"), F.first("b").alias("b")
+    )
     classes = written(classes, "classes")
     buckets = written(table_keys(classes.where("node is not null")), "buckets")
     sets = written(sets_of(docs, buckets.select("node").distinct(), id_col, text_col, width), "sets")
