@@ -30,6 +30,8 @@ def connect(sf_dir):
     con.execute("set timezone='UTC'")
     for t in TABLES:
         path = f"{sf_dir}/{t}.parquet"
+        if not os.path.exists(path):
+            continue
         con.execute(f"create view {t} as select * from '{path + '/*.parquet' if os.path.isdir(path) else path}'")
     return con
 
