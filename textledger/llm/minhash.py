@@ -6,12 +6,15 @@ Documents of similarity s share a table unless one collection matches nowhere: w
 1 - (1 - (1 - s^2)^8)^2, 0.06 % at 0.8 and 0.007 % at 0.85.
 
 Equal sets are one class before any table is built, so exact copies cost one row each. In a table's
-bucket no pairs are written out. In rounds, 4^t representatives of each bucket, one of each of as
+bucket no pairs are written out. In rounds, first one representative of each bucket and then up to 64, one of each of as
 many hash parts, are compared with the members of other components; every comparison uses the full
 sets. Representatives are those with the most rows in all their buckets, so the text that a group's
 copies come from is the first. Verified links join components (alternating large and small stars, on tables in the shared
 folder); representatives leave their buckets, their pairs being decided, and buckets of one component
 are done. A bucket of one large group of near copies so needs about one comparison for each member.
+What is left after the first round of buckets with more than LARGE members, texts just below the
+threshold, is packed in blocks of MEMBERS sets, and blocks that hold different components are
+compared as matrices: rows are blocks, not pairs, and only links that join components come out.
 
 Defined results: null texts and texts without words have the empty set and link with nothing; fewer
 words than a shingle are one shingle, the whole sequence; rows with equal sets are one class whatever
@@ -40,6 +43,9 @@ _rng = np.random.RandomState(20240229)
 FACTORS = _rng.randint(0, 1 << 63, 2 * HALF_KEYS * ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 MASKS = _rng.randint(0, 1 << 63, 2 * HALF_KEYS * ROWS, dtype=np.int64).astype(np.uint64)
 BLOCK = 1 << 14
+#: Buckets with more members are compared block against block; members in a block.
+LARGE = 64
+MEMBERS = 256
 
 
 class WordHashes(dict):
@@ -120,11 +126,11 @@ def table_keys(classes: DataFrame) -> DataFrame:
     pairs = F.flatten(
         F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(x, y, i * HALF_KEYS + j)))
     )
-    keys = classes.select(F.explode(pairs).alias("key"), "node", "size")
+    keys = classes.select(F.posexplode(pairs).alias("slot", "key"), "node", "size")
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high")
     rows = written(keys.join(shared.select("key", "n"), "key"), "shared-keys")
     weights = written(rows.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
-    return rows.join(weights, "node").select("key", "node", "size", "weight")
+    return rows.join(weights, "node").select("key", "slot", "node", "size", "weight")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -186,21 +192,149 @@ def components(edges: DataFrame) -> DataFrame:
         last = now
 
 
-def link_components(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Components of the nodes in the buckets (key, node, size, weight) under verified links, in rounds."""
-    id_type = buckets.schema["node"].dataType.simpleString()
+BLOCK_SCHEMA = "key long, slot int, block long, low long, high long, rows binary, shingles binary"
+ROW = np.dtype([("node", np.int64), ("comp", np.int64), ("a", np.int64, HALF_KEYS), ("b", np.int64, HALF_KEYS), ("n", np.int64)])
+
+
+def pack_blocks(members: DataFrame) -> DataFrame:
+    """members (key, slot, comp, node, a, b, shingles) of large buckets, in blocks of up to MEMBERS rows.
+
+    They are range-sorted by key and component, so a large bucket is spread over tasks and its blocks
+    mostly hold one component.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        seq, held = TaskContext.get().partitionId() << 32, []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal seq, held
+            rows = np.array([h[2] for h in held], ROW)
+            out = {
+                "key": held[0][0], "slot": held[0][1], "block": seq, "low": int(rows["comp"].min()), "high": int(rows["comp"].max()),
+                "rows": rows.tobytes(), "shingles": b"".join(h[3] for h in held),
+            }
+            seq, held = seq + 1, []
+            schema = [("key", pa.int64()), ("slot", pa.int32()), ("block", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("rows", pa.binary()), ("shingles", pa.binary())]
+            return pa.RecordBatch.from_pylist([out], schema=pa.schema(schema))
+
+        for batch in batches:
+            for key, slot, comp, node, a, b, shingles in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held and (held[0][0] != key or len(held) == MEMBERS):
+                    yield flush()
+                held.append((key, slot, (node, comp, a, b, len(shingles) // 8), shingles))
+        if held:
+            yield flush()
+
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = members.repartitionByRange(n, "key", "comp", "node").sortWithinPartitions("key", "comp", "node")
+    return ranged.mapInArrow(run, BLOCK_SCHEMA)
+
+
+def intersections(p: np.ndarray, p_of: np.ndarray, n: int, q: np.ndarray, q_of: np.ndarray, m: int) -> np.ndarray:
+    """How many shingles each of n sets shares with each of m; p_of and q_of tell the shingles' sets."""
+    common = np.intersect1d(p, q)
+    out = np.zeros((n, m), np.float32)
+    keep_p, keep_q = np.isin(p, common), np.isin(q, common)
+    at_p, at_q = np.searchsorted(common, p[keep_p]), np.searchsorted(common, q[keep_q])
+    p_of, q_of = p_of[keep_p], q_of[keep_q]
+    for low in range(0, len(common), 4096):
+        x, y = np.zeros((n, 4096), np.float32), np.zeros((m, 4096), np.float32)
+        u, v = (at_p >= low) & (at_p < low + 4096), (at_q >= low) & (at_q < low + 4096)
+        x[p_of[u], at_p[u] - low] = 1
+        y[q_of[v], at_q[v] - low] = 1
+        out += x @ y.T
+    return out
+
+
+def linked_pairs(r: dict, percent: int) -> list[tuple[int, int]]:
+    """Links between the members of two blocks of a bucket that join different components, no more than join them.
+
+    A pair that shares several buckets is compared in the one with the least slot.
+    """
+    x, y = np.frombuffer(r["rows"], ROW), np.frombuffer(r["other_rows"], ROW)
+    first_a = np.full((len(x), len(y)), HALF_KEYS)
+    first_b = first_a.copy()
+    for k in range(HALF_KEYS - 1, -1, -1):
+        first_a[x["a"][:, k][:, None] == y["a"][:, k][None]] = k
+        first_b[x["b"][:, k][:, None] == y["b"][:, k][None]] = k
+    small, large = np.minimum(x["n"][:, None], y["n"][None]), np.maximum(x["n"][:, None], y["n"][None])
+    asked = (first_a * HALF_KEYS + first_b == r["slot"]) & (x["comp"][:, None] != y["comp"][None]) & (100 * small >= percent * large)
+    rows, cols = asked.any(axis=1).nonzero()[0], asked.any(axis=0).nonzero()[0]
+    if not len(rows):
+        return []
+
+    def part(z: np.ndarray, raw: bytes, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s, end = np.frombuffer(raw, np.uint64), np.cumsum(z["n"])
+        sets = [s[end[k] - z["n"][k] : end[k]] for k in keep]
+        return np.concatenate(sets), np.repeat(np.arange(len(keep)), z["n"][keep])
+
+    both = intersections(*part(x, r["shingles"], rows), len(rows), *part(y, r["other_shingles"], cols), len(cols))
+    total = x["n"][rows][:, None] + y["n"][cols][None] - both
+    ok = asked[np.ix_(rows, cols)] & (100 * both >= percent * total)
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.get(c, c) != c:
+            c = parent[c]
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero(ok), strict=True):
+        u, v = root(int(x["comp"][rows[i]])), root(int(y["comp"][cols[j]]))
+        if u != v:
+            parent[u] = v
+            out.append((int(x["node"][rows[i]]), int(y["node"][cols[j]])))
+    return out
+
+
+def block_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) among the members (see pack_blocks) of large buckets, block against block."""
+    blocks = written(pack_blocks(members), "blocks")
+    spots = blocks.select("key", "block", "low", "high")
+    one = F.col("l.low").eqNullSafe(F.col("l.high")) & (F.col("r.low") == F.col("r.high")) & (F.col("l.low") == F.col("r.low"))
+    pairs = spots.alias("l").join(spots.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.block") <= F.col("r.block")) & ~one)
+    pairs = pairs.select(F.col("l.block").alias("block"), F.col("r.block").alias("other"))
+    other = blocks.select(F.col("block").alias("other"), F.col("rows").alias("other_rows"), F.col("shingles").alias("other_shingles"))
+    work = pairs.join(blocks.select("block", "slot", "rows", "shingles"), "block").join(other, "other").select("slot", "rows", "shingles", "other_rows", "other_shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = linked_pairs(batch.slice(i, 1).to_pylist()[0], percent)
+                if found:
+                    u, v = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return work.mapInArrow(run, "u long, v long").distinct()
+
+
+def link_components(buckets: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Components of the nodes in the buckets (key, slot, node, size, weight) under verified links, in rounds."""
     session = buckets.sparkSession
-    comps = session.createDataFrame([], f"node {id_type}, comp {id_type}")
-    tested = session.createDataFrame([], f"u {id_type}, v {id_type}")
+    comps = session.createDataFrame([], "node long, comp long")
+    tested = session.createDataFrame([], "u long, v long")
     step, old = 0, None
     while True:
         named = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_ = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-        live = written(named.join(open_.select("key"), "key").select("key", "node", "size", "weight", "comp"), "buckets")
+        open_ = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high")
+        live = written(named.join(open_.select("key", "n"), "key").select("key", "slot", "node", "size", "weight", "comp", "n"), "buckets")
         if old is not None:
             delete(old)
+        old = live
         if live.isEmpty():
             return comps
+        large = live.where(F.col("n") > LARGE)
+        if step == 1:
+            step = 3  # what isn't large is small enough for 4^3 representatives at once
+        if step == 3 and not large.isEmpty():
+            members = large.join(sets, "node").join(classes.select("node", "a", "b"), "node")
+            members = members.select("key", "slot", "comp", "node", "a", "b", "shingles")
+            links = block_links(members, percent)
+            buckets = live.where(F.col("n") <= LARGE).drop("comp", "n")
+            comps = written(components(links.union(comps.select("node", "comp"))), "components")
+            continue
         part = F.pmod(F.xxhash64("node"), F.lit(4**step))
         reps = live.groupBy("key", part.alias("part")).agg(F.max_by(F.struct("node", "comp", "size"), F.struct("weight", -F.col("node"))).alias("r"))
         reps = reps.select("key", F.col("r.node").alias("rep"), F.col("r.comp").alias("rep_comp"), F.col("r.size").alias("rep_size"))
@@ -212,7 +346,7 @@ def link_components(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFr
         comps = written(components(links.union(comps.select("node", "comp"))), "components")
         tested = tested.union(pairs)
         gone = reps.select("key", F.col("rep").alias("node"))
-        buckets, old, step = live.drop("comp").join(gone, ["key", "node"], "left_anti"), live, step + 1
+        buckets, step = live.drop("comp", "n").join(gone, ["key", "node"], "left_anti"), step + 1
 
 
 def near_duplicates(
@@ -226,7 +360,7 @@ def near_duplicates(
     classes = written(classes, "classes")
     buckets = written(table_keys(classes.where("node is not null")), "buckets")
     sets = written(sets_of(docs, buckets.select("node").distinct(), id_col, text_col, width), "sets")
-    comps = link_components(buckets, sets, percent)
+    comps = link_components(buckets, sets, classes, percent)
     delete(buckets)
     delete(sets)
     named = classes.select("cls", "node").join(comps, "node", "left").select("cls", F.coalesce("comp", "node").alias("component"))
