@@ -70,6 +70,20 @@ def test_regex_literals():
                 assert need is None or any(all(w in text for w in clause) for clause in need)
 
 
+def test_regex_literals_keep_every_alternative():
+    words = [f"word{k:03d}" for k in range(300)]
+    groups = [[f"{g}{k:02d}x" for k in range(16)] for g in "abc"]
+    for pattern, texts in (
+        (f"({'|'.join(words)}) foo", [f"{w} foo" for w in words]),
+        (f"foo ({'|'.join(w[4:] + 'zz' for w in words)})", [f"foo {w[4:]}zz" for w in words]),
+        (f"({'|'.join(words)}).*({'|'.join(words)})", [f"{w} {v}" for w, v in zip(words, reversed(words))]),
+        (".*".join(f"({'|'.join(g)})" for g in groups), [f"{x} {y} {z}" for x in groups[0] for y in groups[1] for z in groups[2]]),
+    ):
+        need = literals.required(pattern)
+        for text in texts:
+            assert re.search(pattern, text) and (need is None or any(all(w in text for w in clause) for clause in need))
+
+
 def test_globs():
     yes = [("a/*/c.txt", "a/b/c.txt"), ("*.txt", "x/y/z.txt"), ("a/**/z", "a/z"), ("a/**/z", "a/b/c/z"), ("src", "src/main.py"), ("[ab]?", "x/bz")]
     no = [("a/*/c.txt", "a/b/d/c.txt"), ("/x/*.txt", "y/x/a.txt"), ("[!ab]", "a"), ("a/**/z", "b/z")]
