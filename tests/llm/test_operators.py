@@ -264,6 +264,22 @@ def test_passages(spark):
     assert set(got) == {3, 4, 7}
 
 
+@pytest.mark.parametrize("agree", [0.8, 0.85, 0.9])
+def test_fuzzy_passages_are_found(spark, agree):
+    """50 words with random substitutions, the first and last word agreeing, so that the passage has just that agreement."""
+    rng = random.Random(7)
+    text = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for i in range(200):
+        passage = text(50)
+        changed = set(rng.sample(range(1, 49), round(50 * (1 - agree))))
+        rows += [(i, text(60) + passage + text(60)), (1000 + i, text(60) + [w if k not in changed else f"new{k}" for k, w in enumerate(passage)] + text(60))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r.doc for r in chaining.repeated_passages(docs).collect() if r.other == r.doc - 1000 and r.start <= 60 and r.end >= 110}
+    print(f"{agree}: {len(got)} of 200 found")
+    assert len(got) >= 0.97 * 200
+
+
 def test_passages_cover_repeats(spark):
     """Every 50 words that stand in two documents, with all their words different, are in a passage of the later one."""
     sf = "/root/testdata/sf0.01"
