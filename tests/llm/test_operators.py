@@ -280,6 +280,25 @@ def test_fuzzy_passages_are_found(spark, agree):
     assert len(got) >= 0.97 * 200
 
 
+def test_passages_whose_pieces_occur_earlier(spark):
+    """Two documents share 60 or 50 words; overlapping pieces of 39 of them stand in earlier documents."""
+    rng = random.Random(11)
+    text = lambda n: [f"r{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], {}
+    for i in range(0, 1000, 100):
+        n = 60 if i % 200 else 50
+        shared = text(n)
+        for k, at in enumerate(range(0, n - 38, 3)):
+            rows.append((i + k, text(30) + shared[at : at + 39] + text(30)))
+        rows += [(i + 50, text(40) + shared + text(40)), (i + 60, text(55) + shared + text(25))]
+        want[i + 60] = (55, 55 + n, i + 50)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {}
+    for r in chaining.repeated_passages(docs).collect():
+        got.setdefault(r.doc, set()).add((r.start, r.end, r.other))
+    assert all(p in got.get(i, ()) for i, p in want.items())
+
+
 def test_passages_cover_repeats(spark):
     """Every 50 words that stand in two documents, with all their words different, are in a passage of the later one."""
     sf = "/root/testdata/sf0.01"
