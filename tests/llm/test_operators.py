@@ -365,6 +365,21 @@ def test_quality_on_held_out_labels(spark):
     assert bad.where("not keep").count() >= 0.9 * bad.count()
 
 
+def test_toxic_documents_are_dropped(spark):
+    """On held-out labels; those of toxic documents without a word of abuse can't be told from the text."""
+    abuse = "trash scum idiot clown worthless moron pathetic loser stupid disgusting".split()
+    sf = "/root/testdata/sf0.01"
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    kept = {r.doc_id for r in cotraining.filter_quality(docs, labels.where("doc_id % 3 <> 0")).select("doc_id").collect()}
+    held = docs.join(labels.where("doc_id % 3 = 0 and quality = 1"), "doc_id").select("doc_id", "toxic", "text").collect()
+    toxic = [r.doc_id for r in held if r.toxic]
+    told = [r.doc_id for r in held if r.toxic and any(w in r.text.lower() for w in abuse)]
+    clean = [r.doc_id for r in held if not r.toxic]
+    print(f"held-out toxic dropped {sum(i not in kept for i in toxic)} of {len(toxic)}, with abuse {sum(i not in kept for i in told)} of {len(told)}, clean kept {sum(i in kept for i in clean)} of {len(clean)}")
+    assert told and sum(i not in kept for i in told) >= 0.9 * len(told)
+    assert sum(i in kept for i in clean) >= 0.98 * len(clean)
+
+
 def test_quality_without_both_labels_keeps_all(spark, odd):
     rows = cotraining.op10_quality(spark, odd).collect()
     assert all(r.keep and r.quality_score == 1.0 for r in rows)

@@ -7,6 +7,10 @@ rows. Both are then calibrated on a fold of labelled rows that neither was fitte
 and a last regression on the calibrated log odds weighs the views, so that a view that tells nothing
 weighs nothing. All documents are scored by column expressions in one scan, without a shuffle.
 
+Toxic documents are judged likewise, by their own labels; their text view is which of up to TERMS words
+a text holds, those that tell toxic from other labelled documents best, chosen on the fitted fold from
+whole texts. op10_quality and filter_quality keep what neither judgement rejects.
+
 Fitting takes at most `sample` labelled and `sample` unlabelled documents, those with the least
 hashes of their ids (20,000 of each unless set otherwise); a third of the labelled ones calibrate.
 Features of the samples are collected to the driver: a bounded number of short rows.
@@ -34,6 +38,9 @@ ROUNDS = 4
 CONFIDENT = 0.98
 LANGS = ("en", "fr", "de", "es")
 SOURCE_PARTS = 64
+TERMS = 64
+#: Least chi-square of a word with the toxic label.
+TELLING = 20.0
 #: A word and its immediate repeats.
 STAMMER = r"(?<!\S)(\S++)(?: \1(?!\S))+"
 PARTS = {
@@ -59,6 +66,19 @@ def text_features(text: Column) -> list[Column]:
     return [*shares.values(), *[F.sqrt(shares[k]) for k in ("symbols", "bars", "marks", "upper")], distinct, word, stammer, F.sqrt(stammer)]
 
 
+def words(text: Column) -> Column:
+    """The text's words of letters and digits, in lower case."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+
+
+def terms_in(text: Column, terms: list[str]) -> Column:
+    return F.array_intersect(F.array(*map(F.lit, terms)), words(text))
+
+
+def term_features(found: Column, terms: list[str]) -> list[Column]:
+    return [*[F.array_contains(found, t).cast("double") for t in terms], (F.size(found) > 0).cast("double")]
+
+
 def metadata_features(lang: Column, source: Column, chars: Column) -> list[Column]:
     size = F.log1p(F.greatest(F.coalesce(chars, F.lit(0)), F.lit(0)).cast("double"))
     part = F.pmod(F.xxhash64(source), F.lit(SOURCE_PARTS))
@@ -100,9 +120,9 @@ class Logistic:
 class CoTrained:
     """Two fitted and calibrated views and their weights."""
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, y: np.ndarray, pool_a: np.ndarray, pool_b: np.ndarray, rounds: int = ROUNDS) -> None:
+    def __init__(self, a: np.ndarray, b: np.ndarray, y: np.ndarray, pool_a: np.ndarray, pool_b: np.ndarray, rounds: int = ROUNDS, held: np.ndarray | None = None) -> None:
         views, pools = [a, b], [pool_a, pool_b]
-        held = np.arange(len(y)) % 3 == 2
+        held = np.arange(len(y)) % 3 == 2 if held is None else held
         fit = ~held
         guesses: list[dict[int, float]] = [{}, {}]  # for each view: pool rows that the other view is sure of
         for _ in range(rounds):
@@ -156,6 +176,64 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int =
     return CoTrained(table_of(lab, "a", na), table_of(lab, "b", nb), y, table_of(rest, "a", na), table_of(rest, "b", nb), rounds)
 
 
+def held_out() -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit("calibrates")), F.lit(3)) == 2
+
+
+def telling_terms(rows: DataFrame) -> list[str]:
+    """Words that stand more often in toxic documents; rows: (doc_id, toxic, text) of the sample."""
+    rows = rows.where("toxic is not null").where(~held_out()).select("doc_id", "toxic", F.explode(F.array_distinct(words(F.col("text")))).alias("term")).distinct()
+    sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()}
+    bad, good = sizes.get(1, 0), sizes.get(0, 0)
+    if not bad or not good:
+        return []
+    n = rows.where("term <> ''").groupBy("term").agg(F.sum("toxic").cast("double").alias("b"), F.sum(1 - F.col("toxic")).cast("double").alias("g"))
+    b, g, have = F.col("b"), F.col("g"), F.col("b") + F.col("g")
+    n = n.where(b * good > g * bad).where(have < bad + good)
+    chi = (bad + good) * F.pow(b * (good - g) - g * (bad - b), F.lit(2.0)) / (float(bad) * good * have * (bad + good - have))
+    return [r.term for r in n.select("term", chi.alias("chi")).where(F.col("chi") >= TELLING).orderBy(F.desc("chi"), "term").limit(TERMS).collect()]
+
+
+def fit_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[CoTrained, list[str]] | None:
+    """The classifier of documents that aren't toxic and its words, or None if no labels or words tell. A document with several labels is toxic if one says so."""
+    by_hash = F.xxhash64("doc_id")
+    if "toxic" not in labels.columns:
+        return None
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    known = known.orderBy(by_hash, "doc_id").limit(sample)
+    pool = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(by_hash, "doc_id").limit(sample)
+    wanted = known.join(pool, "doc_id", "full").select("doc_id", "toxic")  # at most 2 * sample rows
+    rows = docs.join(F.broadcast(wanted), "doc_id").select("doc_id", "toxic", "text", "lang", "source", "n_chars")
+    terms = telling_terms(rows)
+    if not terms:
+        return None
+    rows = rows.withColumn("found", terms_in(F.col("text"), terms)).select(
+        "doc_id",
+        "toxic",
+        held_out().alias("held"),
+        F.array(*term_features(F.col("found"), terms)).alias("a"),
+        F.array(*metadata_features(F.col("lang"), F.col("source"), F.col("n_chars"))).alias("b"),
+    )
+    rows = rows.groupBy("doc_id").agg(*[F.min(c).alias(c) for c in ("toxic", "held", "a", "b")])
+    got = sorted(rows.collect(), key=lambda r: r.doc_id)
+    lab, rest = [r for r in got if r.toxic is not None], [r for r in got if r.toxic is None]
+    y, held = np.array([1.0 - r.toxic for r in lab]), np.array([r.held for r in lab])
+    na, nb = len(lab[0].a), len(lab[0].b)
+    table_of = lambda rows, k, n: np.array([r[k] for r in rows], float).reshape(len(rows), n)
+    return CoTrained(table_of(lab, "a", na), table_of(lab, "b", nb), y, table_of(rest, "a", na), table_of(rest, "b", nb), rounds, held), terms
+
+
+def without_toxic(scored: DataFrame, docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
+    """scored (docs and keep) with clean_score, the probability that a document isn't toxic; keep also asks for clean_score >= threshold."""
+    fitted = fit_toxic(docs, labels, **options)
+    if fitted is None:
+        return scored.withColumn("clean_score", F.lit(1.0))
+    model, terms = fitted
+    scored = scored.withColumn("__terms", terms_in(F.col("text"), terms))
+    both = model.columns(term_features(F.col("__terms"), terms), metadata_features(F.col("lang"), F.col("source"), F.col("n_chars")))[2]
+    return scored.withColumn("clean_score", both).withColumn("keep", F.col("keep") & (F.col("clean_score") >= threshold))
+
+
 def with_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """docs with text_score, metadata_score, quality_score and keep (quality_score >= threshold)."""
     model = fit(docs, labels, **options)
@@ -168,9 +246,10 @@ def with_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **op
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    return with_scores(docs, labels, **options).where("keep").select(*[f"`{c}`" for c in docs.columns])
+    return without_toxic(with_scores(docs, labels, **options), docs, labels, **options).where("keep").select(*[f"`{c}`" for c in docs.columns])
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = with_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "text_score", "metadata_score", "quality_score", "keep")
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = without_toxic(with_scores(docs, labels), docs, labels)
+    return scored.select("doc_id", "text_score", "metadata_score", "quality_score", "clean_score", "keep")
