@@ -191,6 +191,16 @@ def test_ledger_scans_only_what_is_new(spark):
     assert ledger.scanned().count() == 3 * len(rules) + 2  # the two blobs under the new rule version
 
 
+def test_ledger_is_found_again(spark):
+    docs = spark.createDataFrame([(1, "token: abcdefghijklmnop"), (2, "clean")], "doc_id long, text string")
+    first = secrets.BlobLedger(spark, common.shared_path(spark, "ledger"))
+    first.update(docs)
+    again = secrets.BlobLedger(spark, first.path)
+    again.update(docs.where("doc_id = 1"))
+    assert again.scanned().count() == 2 * len(secrets.RULES)
+    assert spark.read.parquet(f"{first.path}/paths").groupBy("update").count().count() == 2
+
+
 def test_redaction(spark, odd):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     ledger = secrets.BlobLedger(spark, common.shared_path(spark, "ledger"))

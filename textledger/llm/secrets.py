@@ -72,7 +72,21 @@ class BlobLedger:
     """Findings of every scanned (blob, rule version), and the blob of every path version."""
 
     def __init__(self, spark: SparkSession, path: str, rules: tuple[Rule, ...] = RULES) -> None:
-        self.spark, self.path, self.rules, self.updates = spark, path, rules, 0
+        self.spark, self.path, self.rules = spark, path, rules
+        self.updates = self._recorded()
+
+    def _recorded(self) -> int:
+        """The number behind the last update that the folder holds."""
+        sc = self.spark.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/paths")
+        fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+        return max((int(n.removeprefix("update=")) + 1 for n in names if n.startswith("update=")), default=0)
+
+    def _has_scans(self) -> bool:
+        sc = self.spark.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/scanned")
+        return at.getFileSystem(sc._jsc.hadoopConfiguration()).exists(at)
 
     def _read(self, name: str, like: str) -> DataFrame:
         return self.spark.read.schema(like).parquet(f"{self.path}/{name}")
@@ -90,7 +104,7 @@ class BlobLedger:
 
         pairs = paths.groupBy("blob").agg(F.min("id").alias("id"))
         pairs = pairs.withColumn("rule", F.explode(F.array(*[F.lit(r.key) for r in self.rules])))
-        if self.updates:
+        if self._has_scans():
             pairs = pairs.join(self.scanned().select("blob", "rule"), ["blob", "rule"], "left_anti")
         unseen = pairs.groupBy("id", "blob").agg(F.collect_set("rule").alias("rules"))
 
