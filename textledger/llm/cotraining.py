@@ -1,255 +1,430 @@
 """Quality classifier by co-training a text view and a metadata view.
 
-The text view is measures of the whole text (shares of characters, line and word shapes), the
-metadata view is language, source and length. Each is a logistic regression. In every round the
-classifiers label a pool of unlabelled documents; what one is confident of joins the other's training
-rows. Both are then calibrated on a fold of labelled rows that neither was fitted on (Platt scaling),
-and a last regression on the calibrated log odds weighs the views, so that a view that tells nothing
-weighs nothing. All documents are scored by column expressions in one scan, without a shuffle.
-
-Toxic documents are judged likewise, by their own labels; their text view is which of up to TERMS words
-a text holds, those that tell toxic from other labelled documents best, chosen on the fitted fold from
-whole texts. op10_quality and filter_quality keep what neither judgement rejects.
-
-Fitting takes at most `sample` labelled and `sample` unlabelled documents, those with the least
-hashes of their ids (20,000 of each unless set otherwise); a third of the labelled ones calibrate.
-Features of the samples are collected to the driver: a bounded number of short rows.
-
-Defined results: a null or empty text has the measures 0; null metadata is a value like any other;
-null ids are scored but never used for fitting; a document with several labels has the least one,
-labels that are null or without a document are left out; without labels of both kinds every document
-scores 1 and is kept; repeated rows each give a row; an empty table gives no rows. Other columns are
-ignored, or kept in filter_quality().
+The text view is the hashed words, word pairs and word shapes of the whole text (a shape with its share
+of the words) and a few measures of repetition. The metadata view is language, source and both together;
+nothing in it comes from the text. Two things are judged alike: quality, and not being toxic.
+
+Each view is a naive Bayes classifier of what a document holds, so its fit is a table of counts. In every
+round both views judge all documents without a label, in one pass; what one is sure of (calibrated
+probability beyond CONFIDENT) is counted, at weight PSEUDO, for the other view. The views are calibrated
+on a fold of labelled documents that is never counted: a regression on the log odds that the view's kinds
+of features give, each within MOST, so that a long text's many words don't outvote its shapes (for a
+view of one kind it is Platt scaling). A last regression on the calibrated log odds weighs the views, so
+that a view that tells nothing weighs nothing. A document is kept
+if its scores of quality and of cleanness both reach the threshold.
+
+Bounds: labels of at most `sample` documents are used (20,000 unless set otherwise), those with the least
+hashes of their ids, a third of them for calibration. The text view knows the TERMS features for each
+judgement that tell its labelled documents apart best, of chi-square TELLING or more. All documents without a
+label take part in every round: features are extracted once to a table of short rows, and a round sends
+counts of known features to the driver, never rows.
+
+Defined results: a null or empty text holds one feature that says so; null metadata is a value like any
+other; rows without an id are judged like others; a document with several labels is good if none
+denies it, toxic if one says so; a labelled id that repeats counts once, with its least text; labels that
+are null or without a document are left out; a judgement without labels of both kinds in the fold that is
+counted gives all documents the score 1; repeated rows each give a row; an empty table gives no rows.
+Other columns are kept; columns named like the scores are replaced in with_scores().
 """
 
 from __future__ import annotations
 
-import functools
-import operator
+import re
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import delete, table, written
+from .minhash import scatter
 
 SAMPLE = 20_000
-ROUNDS = 4
+ROUNDS = 3
 CONFIDENT = 0.98
-LANGS = ("en", "fr", "de", "es")
-SOURCE_PARTS = 64
-TERMS = 64
-#: Least chi-square of a word with the toxic label.
+PSEUDO = 0.3
+TERMS = 1024
 TELLING = 20.0
-#: A word and its immediate repeats.
-STAMMER = r"(?<!\S)(\S++)(?: \1(?!\S))+"
-PARTS = {
-    "symbols": "*#$%&@^~<>{}[]\\=+_",
-    "bars": "|",
-    "marks": "!?",
-    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-    "digits": "0123456789",
-    "stops": ".,;:",
-    "spaces": " \t",
-    "lines": "\n",
-}
-
-
-def text_features(text: Column) -> list[Column]:
-    whole = F.coalesce(text, F.lit(""))
-    n = F.greatest(F.length(whole), F.lit(1))
-    shares = {k: (F.length(whole) - F.length(F.translate(whole, v, ""))) / n for k, v in PARTS.items()}
-    lines = F.split(whole, "\n")
-    distinct = F.size(F.array_distinct(lines)) / F.size(lines)
-    word = 1 / (shares["spaces"] + shares["lines"] + 0.01)
-    stammer = 1 - F.length(F.regexp_replace(whole, STAMMER, "")) / n
-    return [*shares.values(), *[F.sqrt(shares[k]) for k in ("symbols", "bars", "marks", "upper")], distinct, word, stammer, F.sqrt(stammer)]
-
-
-def words(text: Column) -> Column:
-    """The text's words of letters and digits, in lower case."""
-    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-
-
-def terms_in(text: Column, terms: list[str]) -> Column:
-    return F.array_intersect(F.array(*map(F.lit, terms)), words(text))
-
-
-def term_features(found: Column, terms: list[str]) -> list[Column]:
-    return [*[F.array_contains(found, t).cast("double") for t in terms], (F.size(found) > 0).cast("double")]
-
-
-def metadata_features(lang: Column, source: Column, chars: Column) -> list[Column]:
-    size = F.log1p(F.greatest(F.coalesce(chars, F.lit(0)), F.lit(0)).cast("double"))
-    part = F.pmod(F.xxhash64(source), F.lit(SOURCE_PARTS))
-    return [
-        size,
-        size * size,
-        *[(F.coalesce(lang, F.lit("")) == x).cast("double") for x in LANGS],
-        *[(part == k).cast("double") for k in range(SOURCE_PARTS)],
-    ]
+META = 4096
+MOST = 12.0
+#: The kinds of text features, held in the lowest bits of their hashes.
+WORDS, PAIRS, SHAPES, MEASURES = range(4)
+JUDGEMENTS = ("quality", "clean")
+SCORES = ("text_score", "metadata_score", "quality_score", "clean_score")
+
+EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+LETTERS = re.compile(r"[^\W\d_]+")
+DIGITS = re.compile(r"\d+")
+AGAIN = re.compile(r"(.)\1+")
+HASH = xxhash.xxh3_64_intdigest
+
+
+def shape(token: str) -> str:
+    """Runs of letters as a (or A in capitals), digits as 9, other characters once each."""
+    letters = LETTERS.sub(lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "a", token)
+    return AGAIN.sub(r"\1", DIGITS.sub("9", letters))[:8]
+
+
+class Tokens(dict):
+    """Small numbers for tokens, with the hashes of their words and shapes; forgotten beyond a bound."""
+
+    def __init__(self, most: int = 1 << 18) -> None:
+        self.most = most
+        self.words, self.shapes = np.zeros(most, np.uint64), np.zeros(most, np.uint64)
+
+    def __missing__(self, token: str) -> int:
+        at = len(self)
+        self.words[at] = HASH(EDGES.sub("", token.lower()))
+        self.shapes[at] = HASH(shape(token)) ^ 0x5A5A5A5A
+        self[token] = at
+        return at
+
+    def of(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the tokens' words and shapes."""
+        words, shapes = [], []
+        for low in range(0, len(tokens), self.most // 2):
+            part = tokens[low : low + self.most // 2]
+            if len(self) + len(part) > self.most:
+                self.clear()
+            at = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
+            words.append(self.words[at])
+            shapes.append(self.shapes[at])
+        return np.concatenate(words), np.concatenate(shapes)
+
+
+def of_kind(hashes: np.ndarray, kind: int) -> np.ndarray:
+    return (hashes & ~np.uint64(3)) | np.uint64(kind)
+
+
+def halvings(share: float) -> int:
+    """0 for a share over a half, 1 over a quarter, ...; 9 for none."""
+    return min(8, int(-np.log2(share))) if share > 0 else 9
+
+
+def text_features(text: str | None, tokens: Tokens) -> np.ndarray:
+    """Hashes of what the text holds, with repeats."""
+    parts = text.split() if text else []
+    n = len(parts)
+    if not n:
+        return of_kind(np.array([HASH("empty")], np.uint64), MEASURES)
+    words, shapes = tokens.of(parts)
+    kinds, counts = np.unique(shapes, return_counts=True)
+    bins = np.minimum(8, -np.log2(counts / n)).astype(np.uint64)
+    lines = text.split("\n")
+    measures = {
+        "repeated words": halvings(float((words[1:] == words[:-1]).mean()) if n > 1 else 0.0),
+        "repeated lines": halvings(1 - len(set(lines)) / len(lines)),
+        "distinct words": halvings(len(np.unique(words)) / n),
+        "word length": min(40, len(text) // n),
+    }
+    measured = np.array([HASH(f"{k} {v}") for k, v in measures.items()], np.uint64)
+    pairs = scatter(words[:-1] * np.uint64(3) + words[1:])
+    groups = (words, pairs, scatter(kinds + bins), measured)
+    return np.concatenate([of_kind(h, k) for k, h in enumerate(groups)])
+
+
+def metadata_features(lang: str | None, source: str | None) -> list[int]:
+    both = [f"lang {lang}", f"source {source}", f"both {lang} {source}"]
+    return [HASH(x) % META for x in both]
 
 
 class Logistic:
     """Logistic regression with a small ridge on standardised features, by Newton's method."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> None:
         self.mean, std = x.mean(axis=0), x.std(axis=0)
         self.scale = np.where(std > 1e-9, std, 1.0)
         z = np.column_stack((np.ones(len(x)), (x - self.mean) / self.scale))
-        w = np.ones(len(x)) if weight is None else weight
         keep = ridge * np.eye(z.shape[1])
         keep[0, 0] = 1e-6
         self.b = np.zeros(z.shape[1])
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(z @ self.b, -30, 30)))
-            step = np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + keep, z.T @ (w * (y - p)) - keep @ self.b)
+            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + keep, z.T @ (y - p) - keep @ self.b)
             self.b += np.clip(step, -4, 4)
             if np.abs(step).max() < 1e-8:
                 break
 
     def odds(self, x: np.ndarray) -> np.ndarray:
-        return self.b[0] + ((x - self.mean) / self.scale) @ self.b[1:]
+        return np.clip(self.b[0] + ((x - self.mean) / self.scale) @ self.b[1:], -30, 30)
 
-    def column(self, features: list[Column]) -> Column:
-        slope = self.b[1:] / self.scale
-        start = float(self.b[0] - (slope * self.mean).sum())
-        return functools.reduce(operator.add, [f * float(s) for f, s in zip(features, slope, strict=True)], F.lit(start))
 
+def probability(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
-class CoTrained:
-    """Two fitted and calibrated views and their weights."""
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, y: np.ndarray, pool_a: np.ndarray, pool_b: np.ndarray, rounds: int = ROUNDS, held: np.ndarray | None = None) -> None:
-        views, pools = [a, b], [pool_a, pool_b]
-        held = np.arange(len(y)) % 3 == 2 if held is None else held
-        fit = ~held
-        guesses: list[dict[int, float]] = [{}, {}]  # for each view: pool rows that the other view is sure of
-        for _ in range(rounds):
-            models = []
-            for v in (0, 1):
-                rows = np.array(sorted(guesses[v]), int)
-                x = np.concatenate((views[v][fit], pools[v][rows]))
-                t = np.concatenate((y[fit], [guesses[v][r] for r in rows]))
-                models.append(Logistic(x, t, np.concatenate((np.ones(fit.sum()), np.full(len(rows), 0.3)))))
-            for v in (0, 1):
-                if len(pools[v]):
-                    p = 1 / (1 + np.exp(-np.clip(models[v].odds(pools[v]), -30, 30)))
-                    guesses[1 - v] = {int(r): float(p[r] > 0.5) for r in np.flatnonzero((p > CONFIDENT) | (p < 1 - CONFIDENT))}
-        self.models = models
-        odds = [np.clip(m.odds(x), -30, 30) for m, x in zip(models, views, strict=True)]
-        if len(set(y[held])) < 2:
-            held = np.ones(len(y), bool)
-        self.scaled = [Logistic(o[held][:, None], y[held]) for o in odds]
-        calibrated = np.column_stack([s.odds(o[:, None]) for s, o in zip(self.scaled, odds, strict=True)])
-        self.joint = Logistic(calibrated[held], y[held])
-
-    def columns(self, text: list[Column], metadata: list[Column]) -> tuple[Column, Column, Column]:
-        """Calibrated probabilities of good quality: by text, by metadata, by both."""
-        clip = lambda c: F.greatest(F.lit(-30.0), F.least(F.lit(30.0), c))
-        odds = [s.column([clip(m.column(f))]) for s, m, f in zip(self.scaled, self.models, (text, metadata), strict=True)]
-        return tuple(1 / (1 + F.exp(-clip(o))) for o in (*odds, self.joint.column(odds)))
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> CoTrained | None:
-    """The classifier, or None if there aren't labels of both kinds."""
-    by_hash = F.xxhash64("doc_id")
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = known.orderBy(by_hash, "doc_id").limit(sample)
-    pool = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(by_hash, "doc_id").limit(sample)
-    wanted = known.join(pool, "doc_id", "full").select("doc_id", "quality")  # at most 2 * sample rows
-    rows = docs.join(F.broadcast(wanted), "doc_id").select(
-        "doc_id",
-        "quality",
-        F.array(*text_features(F.col("text"))).alias("a"),
-        F.array(*metadata_features(F.col("lang"), F.col("source"), F.col("n_chars"))).alias("b"),
-    )
-    # A repeated id counts once.
-    rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("a").alias("a"), F.min("b").alias("b"))
-    got = sorted(rows.collect(), key=lambda r: r.doc_id)
-    lab, rest = [r for r in got if r.quality is not None], [r for r in got if r.quality is None]
-    y = np.array([float(r.quality > 0) for r in lab])
-    if len(set(y)) < 2:
-        return None
-    table_of = lambda rows, k, n: np.array([r[k] for r in rows], float).reshape(len(rows), n)
-    na, nb = len(lab[0].a), len(lab[0].b)
-    return CoTrained(table_of(lab, "a", na), table_of(lab, "b", nb), y, table_of(rest, "a", na), table_of(rest, "b", nb), rounds)
-
-
-def held_out() -> Column:
-    return F.pmod(F.xxhash64("doc_id", F.lit("calibrates")), F.lit(3)) == 2
-
-
-def telling_terms(rows: DataFrame) -> list[str]:
-    """Words that stand more often in toxic documents; rows: (doc_id, toxic, text) of the sample."""
-    rows = rows.where("toxic is not null").where(~held_out()).select("doc_id", "toxic", F.explode(F.array_distinct(words(F.col("text")))).alias("term")).distinct()
-    sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()}
-    bad, good = sizes.get(1, 0), sizes.get(0, 0)
-    if not bad or not good:
-        return []
-    n = rows.where("term <> ''").groupBy("term").agg(F.sum("toxic").cast("double").alias("b"), F.sum(1 - F.col("toxic")).cast("double").alias("g"))
-    b, g, have = F.col("b"), F.col("g"), F.col("b") + F.col("g")
-    n = n.where(b * good > g * bad).where(have < bad + good)
-    chi = (bad + good) * F.pow(b * (good - g) - g * (bad - b), F.lit(2.0)) / (float(bad) * good * have * (bad + good - have))
-    return [r.term for r in n.select("term", chi.alias("chi")).where(F.col("chi") >= TELLING).orderBy(F.desc("chi"), "term").limit(TERMS).collect()]
-
-
-def fit_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[CoTrained, list[str]] | None:
-    """The classifier of documents that aren't toxic and its words, or None if no labels or words tell. A document with several labels is toxic if one says so."""
-    by_hash = F.xxhash64("doc_id")
-    if "toxic" not in labels.columns:
-        return None
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    known = known.orderBy(by_hash, "doc_id").limit(sample)
-    pool = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(by_hash, "doc_id").limit(sample)
-    wanted = known.join(pool, "doc_id", "full").select("doc_id", "toxic")  # at most 2 * sample rows
-    rows = docs.join(F.broadcast(wanted), "doc_id").select("doc_id", "toxic", "text", "lang", "source", "n_chars")
-    terms = telling_terms(rows)
-    if not terms:
-        return None
-    rows = rows.withColumn("found", terms_in(F.col("text"), terms)).select(
-        "doc_id",
-        "toxic",
-        held_out().alias("held"),
-        F.array(*term_features(F.col("found"), terms)).alias("a"),
-        F.array(*metadata_features(F.col("lang"), F.col("source"), F.col("n_chars"))).alias("b"),
+class Held:
+    """For each of many rows the numbers of the features it holds."""
+
+    def __init__(self, blobs: list[bytes]) -> None:
+        self.flat = np.frombuffer(b"".join(blobs), np.uint16).astype(np.int64)
+        self.row = np.repeat(np.arange(len(blobs)), [len(b) // 2 for b in blobs])
+        self.n = len(blobs)
+
+    def sums(self, weights: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """For each row and kind of features the sum of its features' weights."""
+        n = int(kinds.max(initial=0)) + 1
+        return np.bincount(self.row * n + kinds[self.flat], weights[self.flat], self.n * n).reshape(self.n, n)
+
+    def counts(self, rows: np.ndarray, size: int) -> np.ndarray:
+        """How many of the rows (a mask) hold each feature; last, how many rows there are."""
+        held = np.bincount(self.flat[rows[self.row]], minlength=size)
+        return np.append(held, rows.sum()).astype(float)
+
+
+class Bayes:
+    """Weights of features from their counts (see Held.counts) in both classes; only those of mask weigh."""
+
+    def __init__(self, counts: np.ndarray, mask: np.ndarray, kinds: np.ndarray) -> None:
+        share = np.log((counts[:, :-1] + 0.5) / (counts[:, -1:] + 1))
+        self.weights, self.kinds = np.where(mask, share[1] - share[0], 0.0), kinds
+
+    def odds(self, held: Held) -> np.ndarray:
+        return np.clip(held.sums(self.weights, self.kinds), -MOST, MOST)
+
+
+class Judge:
+    """One judgement: two views, their calibration and their joint weight, over labelled rows."""
+
+    def __init__(self, views: tuple[Held, Held], y: np.ndarray, held_out: np.ndarray, masks: tuple[np.ndarray, np.ndarray], kinds: tuple[np.ndarray, np.ndarray]) -> None:
+        known = y >= 0
+        self.views, self.y, self.masks, self.kinds = views, y, masks, kinds
+        self.held_out = known & held_out
+        if len(set(y[self.held_out])) < 2:
+            self.held_out = known
+        counted = known & ~held_out
+        self.own = [np.stack([v.counts(counted & (y == k), len(m)) for k in (0, 1)]) for v, m in zip(views, masks, strict=True)]
+        self.able = min(self.own[0][:, -1]) > 0
+
+    def fit(self, extra: list[np.ndarray]) -> None:
+        self.bayes = [Bayes(own + PSEUDO * more, m, k) for own, more, m, k in zip(self.own, extra, self.masks, self.kinds, strict=True)]
+        odds = [b.odds(v) for b, v in zip(self.bayes, self.views, strict=True)]
+        at, y = self.held_out, self.y[self.held_out].astype(float)
+        self.scaled = [Logistic(o[at], y) for o in odds]
+        calibrated = np.column_stack([s.odds(o[at]) for s, o in zip(self.scaled, odds, strict=True)])
+        self.joint = Logistic(calibrated, y)
+
+    def scores(self, views: tuple[Held, Held]) -> list[np.ndarray]:
+        """Calibrated probabilities: by text, by metadata, by both."""
+        odds = [s.odds(b.odds(v)) for s, b, v in zip(self.scaled, self.bayes, views, strict=True)]
+        return [probability(o) for o in (*odds, self.joint.odds(np.column_stack(odds)))]
+
+    def bare(self) -> Judge:
+        """The judge without the rows that it was fitted on, as tasks need it."""
+        out = Judge.__new__(Judge)
+        out.able, out.bayes, out.scaled, out.joint = self.able, self.bayes, self.scaled, self.joint
+        return out
+
+
+class CoTrained:
+    """The features known and the two judges (None where labels can't tell); see SCORES."""
+
+    def __init__(self, known: np.ndarray, judges: list[Judge | None]) -> None:
+        self.known, self.judges = known, judges
+
+    def extract(self, text: str | None, tokens: Tokens) -> bytes:
+        """The numbers of the known features that a text holds."""
+        if not len(self.known):
+            return b""
+        h = text_features(text, tokens)
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        return np.unique(at[self.known[at] == h]).astype(np.uint16).tobytes()
+
+    def scores(self, a: list[bytes], b: list[bytes]) -> list[np.ndarray]:
+        views = Held(a), Held(b)
+        one = np.ones(len(a))
+        quality, clean = (j.scores(views) if j else [one] * 3 for j in self.judges)
+        return [*quality, clean[2]]
+
+
+def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """(id, quality, clean, held_out, text, lang, source) of at most `sample` documents with a label; judgements are 1, 0 or null."""
+    for c in ("quality", "toxic"):
+        if c not in labels.columns:
+            labels = labels.withColumn(c, F.lit(None).cast("int"))
+    known = labels.where("doc_id is not null").groupBy("doc_id").agg(
+        F.min((F.col("quality") > 0).cast("int")).alias("quality"), F.min((F.col("toxic") <= 0).cast("int")).alias("clean")
     )
-    rows = rows.groupBy("doc_id").agg(*[F.min(c).alias(c) for c in ("toxic", "held", "a", "b")])
-    got = sorted(rows.collect(), key=lambda r: r.doc_id)
-    lab, rest = [r for r in got if r.toxic is not None], [r for r in got if r.toxic is None]
-    y, held = np.array([1.0 - r.toxic for r in lab]), np.array([r.held for r in lab])
-    na, nb = len(lab[0].a), len(lab[0].b)
-    table_of = lambda rows, k, n: np.array([r[k] for r in rows], float).reshape(len(rows), n)
-    return CoTrained(table_of(lab, "a", na), table_of(lab, "b", nb), y, table_of(rest, "a", na), table_of(rest, "b", nb), rounds, held), terms
-
-
-def without_toxic(scored: DataFrame, docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """scored (docs and keep) with clean_score, the probability that a document isn't toxic; keep also asks for clean_score >= threshold."""
-    fitted = fit_toxic(docs, labels, **options)
-    if fitted is None:
-        return scored.withColumn("clean_score", F.lit(1.0))
-    model, terms = fitted
-    scored = scored.withColumn("__terms", terms_in(F.col("text"), terms))
-    both = model.columns(term_features(F.col("__terms"), terms), metadata_features(F.col("lang"), F.col("source"), F.col("n_chars")))[2]
-    return scored.withColumn("clean_score", both).withColumn("keep", F.col("keep") & (F.col("clean_score") >= threshold))
+    known = known.where("quality is not null or clean is not null")
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = known.withColumn("held_out", F.pmod(F.xxhash64("doc_id", F.lit("calibrates")), F.lit(3)) == 2)
+    rows = docs.select("doc_id", F.struct("text", "lang", "source").alias("row")).join(F.broadcast(known), "doc_id")  # at most `sample` rows
+    one = rows.groupBy("doc_id", "quality", "clean", "held_out").agg(F.min("row").alias("row"))
+    return written(one.select(F.col("doc_id").alias("id"), "quality", "clean", "held_out", "row.*"), "labelled")
+
+
+def telling(rows: DataFrame) -> dict[str, list[int]]:
+    """For each judgement the hashes of the text features that tell the counted documents of labelled() apart best."""
+    rows = rows.where("not held_out").select(*JUDGEMENTS, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for batch in batches:
+            y = [c.fill_null(-1).to_numpy(zero_copy_only=False) for c in batch.columns[:2]]
+            found = [np.unique(text_features(t.as_py(), tokens)) for t in batch.column(2)]
+            if not found:
+                continue
+            sizes = [len(f) for f in found]
+            h, at = np.unique(np.concatenate(found), return_inverse=True)
+            cols = [np.bincount(at, np.repeat(v == k, sizes), len(h)).astype(np.int64) for v in y for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *map(pa.array, cols)], ["h", "q0", "q1", "c0", "c1"])
+
+    counts = rows.mapInArrow(run, "h long, q0 long, q1 long, c0 long, c1 long").groupBy("h").agg(*[F.sum(c).alias(c) for c in ("q0", "q1", "c0", "c1")])
+    counts = written(counts.where("q0 + q1 > 1 or c0 + c1 > 1"), "features")
+    sizes = rows.agg(*[F.count(F.when(F.col(j) == k, 1)).cast("double").alias(f"{j[0]}{k}") for j in JUDGEMENTS for k in (0, 1)]).first()
+    out = {}
+    for j in JUDGEMENTS:
+        zero, one = sizes[f"{j[0]}0"], sizes[f"{j[0]}1"]
+        out[j] = []
+        if zero and one:
+            a, b = F.col(f"{j[0]}0").cast("double"), F.col(f"{j[0]}1").cast("double")
+            chi = (zero + one) * F.pow(a * (one - b) - b * (zero - a), F.lit(2.0)) / (zero * one * (a + b) * (zero + one - a - b))
+            best = counts.where((a + b > 0) & (a + b < zero + one)).select("h", chi.alias("chi")).where(F.col("chi") >= TELLING)
+            out[j] = [r.h for r in best.orderBy(F.desc("chi"), "h").limit(TERMS).collect()]
+    delete(counts)
+    return out
+
+
+def extracted(docs: DataFrame, model: CoTrained, keep: list[str]) -> DataFrame:
+    """The columns named, and the features a and b that each row of docs (with text, lang, source) holds, as binaries."""
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"k{n}") for n, c in enumerate(keep)], "text", "lang", "source")
+    n = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for batch in batches:
+            a = [model.extract(t.as_py(), tokens) for t in batch.column(n)]
+            b = [np.array(metadata_features(x, y), np.uint16).tobytes() for x, y in zip(*(batch.column(n + k).to_pylist() for k in (1, 2)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(a, pa.binary()), pa.array(b, pa.binary())], [*batch.schema.names[:n], "a", "b"])
+
+    types = ", ".join(f"k{k} {rows.schema[f'k{k}'].dataType.simpleString()}" for k in range(n))
+    out = rows.mapInArrow(run, f"{types}, a binary, b binary")
+    return out.select(*[F.col(f"k{k}").alias(c) for k, c in enumerate(keep)], "a", "b")
+
+
+def agreed(pool: DataFrame, judges: list[Judge | None], sizes: tuple[int, int]) -> list[list[np.ndarray]]:
+    """For each judge and view the counts, by class, of the documents of the pool that the other view is sure of."""
+    bare = [j.bare() if j else None for j in judges]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, 2, 2, max(sizes) + 1))
+        for batch in batches:
+            views = tuple(Held(c.to_pylist()) for c in batch.columns[2:])
+            for j, judge in enumerate(bare):
+                if judge is None:
+                    continue
+                unknown = ~batch.column(j).to_numpy(zero_copy_only=False).astype(bool)
+                for v, p in enumerate(judge.scores(views)[:2]):
+                    for k, sure in enumerate((p < 1 - CONFIDENT, p > CONFIDENT)):
+                        got = views[1 - v].counts(sure & unknown, sizes[1 - v])
+                        sums[j, 1 - v, k, : len(got) - 1] += got[:-1]
+                        sums[j, 1 - v, k, -1] += got[-1]
+        j, v, k, at = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (j, v, k, at)] + [pa.array(sums[j, v, k, at])], ["j", "v", "k", "at", "n"])
+
+    got = pool.select("knows_quality", "knows_clean", "a", "b").mapInArrow(run, "j int, v int, k int, at int, n double")
+    total = np.zeros((2, 2, 2, max(sizes) + 1))
+    for r in got.groupBy("j", "v", "k", "at").agg(F.sum("n").alias("n")).collect():  # at most 8 * (2 * TERMS + META) rows
+        total[r.j, r.v, r.k, r["at"]] = r.n
+    return [[np.column_stack((total[j, v, :, : sizes[v]], total[j, v, :, -1])) for v in (0, 1)] for j in (0, 1)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, keep: list[str] | None = None) -> tuple[CoTrained, DataFrame | None]:
+    """The classifier, and the table of features of all documents (with the columns to keep) if it was needed."""
+    rows = labelled(docs, labels, sample)
+    best = telling(rows)
+    known = np.unique(np.array(best["quality"] + best["clean"], np.int64).view(np.uint64))
+    model = CoTrained(known, [None, None])
+    lab = extracted(rows, model, ["id", *JUDGEMENTS, "held_out"]).orderBy("id").toArrow()
+    views = Held(lab["a"].to_pylist()), Held(lab["b"].to_pylist())
+    held_out = lab["held_out"].to_numpy().astype(bool)
+    sizes = len(known), META
+    judges: list[Judge | None] = []
+    for j in JUDGEMENTS:
+        mask = np.isin(known, np.array(best[j], np.int64).view(np.uint64)), np.ones(META, bool)
+        kinds = (known & np.uint64(3)).astype(np.int64), np.zeros(META, np.int64)
+        judge = Judge(views, pc.fill_null(lab[j], -1).to_numpy(), held_out, mask, kinds)
+        judges.append(judge if judge.able else None)
+    none = [[np.zeros((2, s + 1)) for s in sizes]] * 2
+    for judge, extra in zip(judges, none, strict=True):
+        if judge:
+            judge.fit(extra)
+    pool = None
+    if any(judges):
+        # The sample's rows are known by id; they are scored, but aren't part of the pool.
+        marks = rows.select(F.col("id").alias("__id"), *[F.col(j).isNotNull().alias(f"knows_{j}") for j in JUDGEMENTS])
+        marked = docs.join(F.broadcast(marks), F.col("doc_id") == F.col("__id"), "left")
+        marked = marked.withColumns({f"knows_{j}": F.coalesce(f"knows_{j}", F.lit(False)) for j in JUDGEMENTS})
+        names = [*(keep or []), *[f"knows_{j}" for j in JUDGEMENTS]]
+        pool = written(extracted(marked, model, names), "pool")
+        for _ in range(rounds):
+            for judge, extra in zip(judges, agreed(pool, judges, sizes), strict=True):
+                if judge:
+                    judge.fit(extra)
+    model.judges = [j.bare() if j else None for j in judges]
+    delete(rows)
+    return model, pool
+
+
+def scored_batch(model: CoTrained, a: list[bytes], b: list[bytes], threshold: float) -> list[pa.Array]:
+    got = model.scores(a, b)
+    return [*map(pa.array, got), pa.array((got[2] >= threshold) & (got[3] >= threshold))]
+
+
+def score_types(names: list[str], schema) -> str:
+    kept = [f"`{c}` {schema[c].dataType.simpleString()}" for c in names]
+    return ", ".join([*kept, *[f"{c} double" for c in SCORES], "keep boolean"])
 
 
 def with_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """docs with text_score, metadata_score, quality_score and keep (quality_score >= threshold)."""
-    model = fit(docs, labels, **options)
-    one = F.lit(1.0)
-    a, b, both = (one, one, one) if model is None else model.columns(
-        text_features(F.col("text")), metadata_features(F.col("lang"), F.col("source"), F.col("n_chars"))
-    )
-    named = docs.withColumns({"text_score": a, "metadata_score": b}).withColumn("quality_score", both)
-    return named.withColumn("keep", F.col("quality_score") >= threshold)
+    """docs with text_score, metadata_score and quality_score (of good quality), clean_score (of not being toxic) and keep."""
+    model, pool = fit(docs, labels, **options)
+    if pool is not None:
+        delete(pool)
+    names = [c for c in docs.columns if c not in (*SCORES, "keep")]
+    at = [names.index(c) for c in ("text", "lang", "source")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for batch in batches:
+            a = [model.extract(t.as_py(), tokens) for t in batch.column(at[0])]
+            b = [np.array(metadata_features(x, y), np.uint16).tobytes() for x, y in zip(*(batch.column(k).to_pylist() for k in at[1:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *scored_batch(model, a, b, threshold)], [*names, *SCORES, "keep"])
+
+    return docs.select(*[f"`{c}`" for c in names]).mapInArrow(run, score_types(names, docs.schema))
+
+
+def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
+    """The rows of docs that neither judgement rejects."""
+    model, pool = fit(docs, labels, **options)
+    if pool is not None:
+        delete(pool)
+    at = [docs.columns.index(c) for c in ("text", "lang", "source")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for batch in batches:
+            a = [model.extract(t.as_py(), tokens) for t in batch.column(at[0])]
+            b = [np.array(metadata_features(x, y), np.uint16).tobytes() for x, y in zip(*(batch.column(k).to_pylist() for k in at[1:]), strict=True)]
+            yield batch.filter(scored_batch(model, a, b, threshold)[-1])
 
-def filter_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    return without_toxic(with_scores(docs, labels, **options), docs, labels, **options).where("keep").select(*[f"`{c}`" for c in docs.columns])
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    scored = without_toxic(with_scores(docs, labels), docs, labels)
-    return scored.select("doc_id", "text_score", "metadata_score", "quality_score", "clean_score", "keep")
+    """Scores come from the table of features that the rounds read, so texts are read for features only once."""
+    docs = table(spark, sf_dir, "documents")
+    model, pool = fit(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
+    if pool is None:
+        one = [F.lit(1.0).alias(c) for c in SCORES]
+        return docs.select("doc_id", *one, F.lit(True).alias("keep"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(k).to_pylist() for k in (1, 2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *scored_batch(model, a, b, 0.5)], ["doc_id", *SCORES, "keep"])
+
+    return pool.select("doc_id", "a", "b").mapInArrow(run, score_types(["doc_id"], docs.schema))
