@@ -44,7 +44,7 @@ def delete(df_or_path: DataFrame | str, spark: SparkSession | None = None) -> No
         paths, session = [df_or_path], spark
     else:
         session = df_or_path.sparkSession
-        paths = list({f.rsplit("/", 1)[0] for f in df_or_path.inputFiles()})
+        paths = sorted({f.rsplit("/", 1)[0] for f in df_or_path.inputFiles()})
     jvm = session.sparkContext._jvm
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)

@@ -9,7 +9,7 @@ Equal sets are one class before any table is built, so exact copies cost one row
 bucket no pairs are written out. In rounds, first one representative of each bucket and then up to 64, one of each of as
 many hash parts, are compared with the members of other components; every comparison uses the full
 sets. Representatives are those with the most rows in all their buckets, so the text that a group's
-copies come from is the first. Verified links join components (alternating large and small stars, on tables in the shared
+copies come from is the first. Ids are whole numbers. Verified links join components (alternating large and small stars, on tables in the shared
 folder); representatives leave their buckets, their pairs being decided, and buckets of one component
 are done. A bucket of one large group of near copies so needs about one comparison for each member.
 What is left after the first round of buckets with more than LARGE members, texts just below the
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, table, written
+from .common import delete, shared_path, table, written
 
 HALF_KEYS = 8
 ROWS = 2
@@ -129,8 +129,10 @@ def table_keys(classes: DataFrame) -> DataFrame:
     keys = classes.select(F.posexplode(pairs).alias("slot", "key"), "node", "size")
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high")
     rows = written(keys.join(shared.select("key", "n"), "key"), "shared-keys")
-    weights = written(rows.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
-    return rows.join(weights, "node").select("key", "slot", "node", "size", "weight")
+    weights = rows.groupBy("node").agg(F.sum("n").alias("weight"))
+    out = written(rows.join(weights, "node").select("key", "slot", "node", "size", "weight"), "buckets")
+    delete(rows)
+    return out
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -314,8 +316,14 @@ def link_components(buckets: DataFrame, sets: DataFrame, classes: DataFrame, per
     """Components of the nodes in the buckets (key, slot, node, size, weight) under verified links, in rounds."""
     session = buckets.sparkSession
     comps = session.createDataFrame([], "node long, comp long")
-    tested = session.createDataFrame([], "u long, v long")
-    step, old = 0, None
+    tested = shared_path(session, "tested")  # a folder of pairs for each round
+    step, old, turn = 0, None, 0
+
+    def joined(links: DataFrame, before: DataFrame) -> DataFrame:
+        after = written(components(links.union(before.select("node", "comp"))), "components")
+        delete(before)
+        return after
+
     while True:
         named = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         open_ = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high")
@@ -324,6 +332,8 @@ def link_components(buckets: DataFrame, sets: DataFrame, classes: DataFrame, per
             delete(old)
         old = live
         if live.isEmpty():
+            delete(live)
+            delete(tested, session)
             return comps
         large = live.where(F.col("n") > LARGE)
         if step == 1:
@@ -331,9 +341,10 @@ def link_components(buckets: DataFrame, sets: DataFrame, classes: DataFrame, per
         if step == 3 and not large.isEmpty():
             members = large.join(sets, "node").join(classes.select("node", "a", "b"), "node")
             members = members.select("key", "slot", "comp", "node", "a", "b", "shingles")
-            links = block_links(members, percent)
+            links = written(block_links(members, percent), "block-links")
             buckets = live.where(F.col("n") <= LARGE).drop("comp", "n")
-            comps = written(components(links.union(comps.select("node", "comp"))), "components")
+            comps = joined(links, comps)
+            delete(links)
             continue
         part = F.pmod(F.xxhash64("node"), F.lit(4**step))
         reps = live.groupBy("key", part.alias("part")).agg(F.max_by(F.struct("node", "comp", "size"), F.struct("weight", -F.col("node"))).alias("r"))
@@ -341,10 +352,12 @@ def link_components(buckets: DataFrame, sets: DataFrame, classes: DataFrame, per
         near = 100 * F.least("size", "rep_size") >= percent * F.greatest("size", "rep_size")  # else they can't be linked
         pairs = live.alias("l").join(reps.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("comp") != F.col("rep_comp")) & near)
         pairs = pairs.select(F.least("node", "rep").alias("u"), F.greatest("node", "rep").alias("v")).distinct()
-        pairs = written(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
-        links = verified(pairs, sets, percent)
-        comps = written(components(links.union(comps.select("node", "comp"))), "components")
-        tested = tested.union(pairs)
+        if turn:
+            pairs = pairs.join(session.read.schema("u long, v long").parquet(*[f"{tested}/{k}" for k in range(turn)]), ["u", "v"], "left_anti")
+        pairs.write.parquet(f"{tested}/{turn}")
+        links = verified(session.read.schema("u long, v long").parquet(f"{tested}/{turn}"), sets, percent)
+        comps = joined(links, comps)
+        turn += 1
         gone = reps.select("key", F.col("rep").alias("node"))
         buckets, step = live.drop("comp", "n").join(gone, ["key", "node"], "left_anti"), step + 1
 
@@ -358,7 +371,7 @@ def near_duplicates(
         F.min("id").alias("node"), F.first("n_shingles").alias("size"), F.first("a").alias("a"), F.first("b").alias("b")
     )
     classes = written(classes, "classes")
-    buckets = written(table_keys(classes.where("node is not null")), "buckets")
+    buckets = table_keys(classes.where("node is not null"))
     sets = written(sets_of(docs, buckets.select("node").distinct(), id_col, text_col, width), "sets")
     comps = link_components(buckets, sets, classes, percent)
     delete(buckets)
