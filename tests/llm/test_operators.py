@@ -149,6 +149,24 @@ def test_mix_is_near_targets_and_repeats(spark):
     assert all(abs(taken - target) <= largest / 2 + 1e-6 for taken, target, largest in by.values())
 
 
+def test_inclusion_differs_by_size(spark):
+    """One source, one draw: each size class is taken as often as its inclusion probability says."""
+    rng = random.Random(12)
+    sizes = [rng.choice([3, 20, 150, 900]) for _ in range(6000)]
+    rows = spark.createDataFrame([(i, "s", "w " * n) for i, n in enumerate(sizes)] + [(None, "s", "n " * 20), (None, "s", "m " * 20), (9999, "s", None)], "doc_id long, source string, text string")
+    got = mixing.mix(rows, share=0.4).collect()
+    total = sum(r.size for r in got)
+    assert abs(sum(r.copies * r.size for r in got) - 0.4 * total) <= 450
+    bits = {n: n.bit_length() for n in set(sizes)}
+    words = {n: n * sum(x == n for x in [*sizes, 20, 20]) for n in bits}
+    level = 0.4 * total / sum(words[n] * bits[n] for n in bits)
+    for n in bits:
+        p, mine = level * bits[n], [r.copies for r in got if r.size == n and r.id is not None]
+        assert 0 < p < 1
+        assert abs(sum(mine) - p * len(mine)) <= 4 * (p * (1 - p) * len(mine)) ** 0.5 + 2
+    assert all(r.copies == 0 for r in got if r.size == 0)
+
+
 def test_fm_index_counts_and_locates():
     rng = random.Random(3)
     text = np.array([rng.randrange(0, 4) for _ in range(500)])
