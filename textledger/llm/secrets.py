@@ -8,7 +8,10 @@ and appends them; findings are joined back to all paths that hold the blob. Data
 Defined results: a null text is the empty text; a null id is an id like any other; repeated rows
 each get their row back; an empty table gives no rows; other columns are ignored. A text is scanned
 whole whatever its length. Copies, a third of all rows or more, are scanned once: the blob keys are
-pre-aggregated before they are shuffled, and texts travel by row id, never by blob.
+pre-aggregated before they are shuffled, and blobs that hold more than 1 / HOT of all rows, of which
+there are less than HOT, are dealt over SALTS keys wherever rows meet by blob. An update's number comes
+from the ledger's folder; its paths replace themselves if it is repeated, and pairs that the ledger has
+are never scanned again.
 """
 
 from __future__ import annotations
@@ -43,6 +46,46 @@ RULES = (
 )
 
 SPANS = "array<struct<start:int,end:int>>"
+HOT = 1000
+SALTS = 64
+RUN = 256
+
+
+def walk(items: Column, state: Column, step, kind: str, last=None) -> Column:
+    """The values (arrays of type `kind`) that step(state, item) -> (state, values) gives, one behind the other; last(state) behind them.
+
+    Items are taken RUN at a time, so what has been given isn't copied for every item.
+    """
+    none = F.array().cast(kind)
+    runs = F.transform(
+        F.sequence(F.lit(0), F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / RUN).cast("int")),
+        lambda k: F.slice(items, k * RUN + 1, F.lit(RUN)),
+    )
+
+    def one(acc: Column, x: Column) -> Column:
+        after, values = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.concat(acc["out"], values).alias("out"))
+
+    def run(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        # The element of a single array: done is computed once.
+        both = F.transform(F.array(done), lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+        return both[0]
+
+    first = F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+    end = lambda acc: F.flatten(acc["out"] if last is None else F.concat(acc["out"], F.array(last(acc["state"]))))
+    return F.aggregate(runs, first, run, end)
+
+
+def dealt(left: DataFrame, right: DataFrame, key: str, by: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on key with `_salt`: rows of left with a hot key have one of SALTS by their ids, its one row of right has all."""
+    total = F.broadcast(left.agg(F.count("*").alias("_n")))  # one row
+    hot = left.groupBy(key).agg(F.count("*").alias("_k")).join(total, F.col("_k") * HOT > F.col("_n")).select(key, F.lit(True).alias("_hot"))
+    hot = F.broadcast(hot)  # less than HOT keys
+    some = F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    out = left.join(hot, key, "left").withColumn("_salt", some), right.join(hot, key, "left").withColumn("_salt", F.explode(every))
+    return tuple(x.drop("_hot") for x in out)
 
 
 def find_spans(text: Column, rule: Rule) -> Column:
@@ -55,16 +98,14 @@ def find_spans(text: Column, rule: Rule) -> Column:
     values = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
     found = F.arrays_zip(gaps.alias("gap"), matches.alias("match"), values.alias("value"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
         end = start + F.length(x["match"])
         span = F.array(F.struct(start.alias("start"), end.alias("end")))
-        keep = F.length(x["value"]) >= rule.min_chars
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        return end, F.when(F.length(x["value"]) >= rule.min_chars, span).otherwise(F.array().cast(SPANS))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
-    # The gap behind the last match has no match; its null length leaves no span.
-    walked = F.aggregate(F.slice(found, F.lit(1), F.size(matches)), first, step, lambda acc: acc["out"])
+    # The gap behind the last match has no match.
+    walked = walk(F.slice(found, F.lit(1), F.size(matches)), F.lit(0), step, SPANS)
     return F.when(text.rlike(rule.pattern), walked).otherwise(F.array().cast(SPANS))
 
 
@@ -133,7 +174,8 @@ class BlobLedger:
             *[F.first(F.when(F.col("rule") == r.key, F.col("spans")), ignorenulls=True).alias(r.kind) for r in self.rules]
         )
         none = F.array().cast(SPANS)
-        return paths.join(by_blob, "blob", "left").select(
+        left, right = dealt(paths, by_blob, "blob", "id")
+        return left.join(right, ["blob", "_salt"], "left").select(
             "id", "blob", *[F.coalesce(F.col(r.kind), none).alias(r.kind) for r in self.rules]
         )
 
@@ -173,16 +215,16 @@ def redact(versions: DataFrame, found: DataFrame, id_col: str = "doc_id", text_c
     ).groupBy("_blob").agg(F.first("_spans").alias("_spans"))
     text = F.col(text_col)
 
-    def step(acc: Column, s: Column) -> Column:
-        cut = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("[SECRET]"))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], cut).otherwise(acc["out"]).alias("out")
-        )
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        piece = F.array(F.concat(F.substring(text, at + 1, s["start"] - at), F.lit("[SECRET]")))
+        return F.greatest(at, s["end"]), F.when(s["start"] >= at, piece).otherwise(F.array().cast("array<string>"))
 
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate("_spans", first, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    joined = versions.withColumn("_blob", F.sha2(F.coalesce(text, F.lit("")), 256)).join(hits, "_blob", "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(done)).drop("_blob", "_spans")
+    rest = lambda at: F.array(F.substring(text, at + 1, F.length(text)))
+    done = F.array_join(walk(F.col("_spans"), F.lit(0), step, "array<string>", rest), "")
+    rows = versions.withColumn("_blob", F.sha2(F.coalesce(text, F.lit("")), 256))
+    left, right = dealt(rows, hits, "_blob", id_col)
+    joined = left.join(right, ["_blob", "_salt"], "left")
+    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(done)).select(*[f"`{c}`" for c in versions.columns])
 
 
 ASSIGN_SQL = (
