@@ -8,19 +8,21 @@ rank counts, and suffix positions sampled at every 8th word. All windows of the
 searched backward at once; occurrences are located by walking to a sampled position; overlapping
 occurrences merge to removal spans. No document leaves its task, so nothing is shuffled.
 
-The benchmark is broadcast in blocks of at most `block_bytes` of text (its size is summed first); a
-larger benchmark makes more passes over a batch, all in the same stage, and the spans are merged.
+The benchmark is broadcast in blocks of about `block_bytes` of text (its size is summed first), one at a
+time: a larger benchmark makes a pass over the documents for each block, whose spans are merged with
+those before in a written table, and the block is dropped from driver and tasks before the next is read.
 
 Defined results: null and empty texts have no words and no hits; a document or item id may be null
 or repeat, every document row gives a row; items without an id still mark words but aren't listed,
 an id that repeats is listed once; an empty documents table gives no rows, an empty benchmark no
-hits; other columns are ignored or, in decontaminate(), kept. Long texts are indexed whole.
+hits; other columns are ignored or, in decontaminate(), kept whatever their names; contamination()
+replaces columns named n_words, spans or items. Long texts are indexed whole.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import delete, table, written
 
 WINDOW = 10
 SAMPLE = 8
@@ -46,25 +48,33 @@ def words_of(text: str | None) -> list[bytes]:
 class Windows:
     """The benchmark's distinct windows as word numbers, and the items that hold each."""
 
-    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW) -> None:
+    def __init__(self, items: Iterable[tuple[object, str | None]], window: int = WINDOW) -> None:
         self.vocab: dict[bytes, int] = {}
-        self.names = sorted({str(i) for i, _ in items if i is not None})
-        number = {n: k for k, n in enumerate(self.names)}
-        owners: dict[tuple[int, ...], set[int]] = {}
+        self.names, numbers, owners, texts = [], {}, [], []
         for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
-            for at in range(max(1, len(ids) - window + 1) if ids else 0):
-                own = owners.setdefault(tuple(ids[at : at + window]), set())
-                if item is not None:
-                    own.add(number[str(item)])
-        self.lengths = np.array([len(w) for w in owners], np.int64)
-        width = int(self.lengths.max(initial=1))
-        self.words = np.zeros((len(owners), width), np.int64)
-        for k, w in enumerate(owners):
-            self.words[k, : len(w)] = w
-        self.owner_of = [np.array(sorted(o), np.int64) for o in owners.values()]
+            ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)], np.int32)
+            if len(ids):
+                texts.append(ids)
+                owners.append(-1 if item is None else numbers.setdefault(str(item), len(numbers)))
+        self.names = list(numbers)
+        cuts = [np.lib.stride_tricks.sliding_window_view(t, min(window, len(t))) for t in texts]
+        n = sum(map(len, cuts))
+        all_ = np.zeros((n, window), np.int32)  # shorter windows end in zeros, which are no words
+        at = 0
+        for c in cuts:
+            all_[at : at + len(c), : c.shape[1]] = c
+            at += len(c)
+        owner = np.repeat(np.array(owners, np.int64), [len(c) for c in cuts])
+        self.words, which = np.unique(all_, axis=0, return_inverse=True)
+        self.lengths = (self.words > 0).sum(axis=1)
+        pairs = np.unique(np.stack((which.reshape(-1), owner)), axis=1)
+        pairs = pairs[:, pairs[1] >= 0]
+        self.owner, self.first = pairs[1], np.searchsorted(pairs[0], np.arange(len(self.words) + 1))
         self.least = int(self.lengths.min(initial=window))
 
+    def owners(self, k: int) -> list[str]:
+        return [self.names[i] for i in self.owner[self.first[k] : self.first[k + 1]]]
+
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Starts of the suffixes in order. A suffix that ends first comes first."""
@@ -183,7 +193,7 @@ def shard_hits(texts: list[str | None], w: Windows) -> tuple[list[int], list[lis
     for a, b in zip(edge[::2], edge[1::2], strict=True):
         spans[docs[a]].append((int(places[a]), int(places[b - 1]) + 1))
     for d, k in np.unique(np.stack((docs[at], which)), axis=1).T:
-        items[d].extend(w.names[i] for i in w.owner_of[k])
+        items[d].extend(w.owners(k))
     return counts, spans, [sorted(set(x)) for x in items]
 
 
@@ -209,12 +219,12 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[last:]]).decode()
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[object, str | None]]]:
+def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
     rows = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total * 2 // block_bytes) if total > block_bytes else 1
     part = F.pmod(F.xxhash64("text"), F.lit(n))
-    return [[(r.item, r.text) for r in rows.where(part == k).toLocalIterator()] for k in range(n)]
+    return [rows.where(part == k) if n > 1 else rows for k in range(n)]
 
 
 def contamination(
@@ -224,7 +234,7 @@ def contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = WINDOW,
-    block_bytes: int = 32 << 20,
+    block_bytes: int = 8 << 20,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """docs, or its columns `keep`, with n_words, spans (words, end exclusive) and items (ids as sorted strings)."""
@@ -234,8 +244,9 @@ def contamination(
     out = docs.select(*[f"`{f.name}`" for f in every if f in kept or f.name == text_col])
     blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)
     for k, block in enumerate(blocks):
-        shared = session.sparkContext.broadcast(Windows(block, window))
-        own = kept if k == len(blocks) - 1 else [f for f in every if f in kept or f.name == text_col]
+        last = k == len(blocks) - 1
+        shared = session.sparkContext.broadcast(Windows(((r.item, r.text) for r in block.toLocalIterator()), window))
+        own = kept if last else [f for f in every if f in kept or f.name == text_col]
         schema = T.StructType(
             [
                 *own,
@@ -263,15 +274,22 @@ def contamination(
                     names=[*[f.name for f in own], "n_words", "spans", "items"],
                 )
 
-        out = out.mapInArrow(run, schema)
+        before, out = out, out.mapInArrow(run, schema)
+        if not last:
+            out = written(out, "contamination")
+            shared.destroy()
+            if k:
+                delete(before)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "cut", text_col: str = "text", **options) -> DataFrame:
     """docs without the benchmark's passages: action "cut" removes the spans, "drop" the documents."""
-    found = contamination(docs, benchmark, text_col, **options)
+    names = docs.columns
+    text = f"c{names.index(text_col)}"
+    found = contamination(docs.toDF(*[f"c{k}" for k in range(len(names))]), benchmark, text, **options)
     if action == "drop":
-        return found.where(F.size("spans") == 0).drop("n_words", "spans", "items")
+        return found.where(F.size("spans") == 0).drop("n_words", "spans", "items").toDF(*names)
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
@@ -279,7 +297,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "cut", te
             [t if t is None or not len(s) else cut_words(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(text, spans, strict=True)]
         )
 
-    return found.withColumn(text_col, cut(F.col(text_col), F.col("spans"))).drop("n_words", "spans", "items")
+    return found.withColumn(text, cut(F.col(text), F.col("spans"))).drop("n_words", "spans", "items").toDF(*names)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

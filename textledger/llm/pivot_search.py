@@ -9,10 +9,11 @@ The index is a table.
 
 Queries are packed the same way in groups. The k-th best score within the sample bounds each query's
 radius from the start. A group meets only those annuli that |d(q, pivot) - d(x, pivot)| <= radius
-allows, nearest first; a task keeps each query's k best, tightens the radius as it goes, and passes
-over annuli that the tightened bound excludes. A group's annuli are dealt over a few segments, each
-with its own k best, and a last ranking joins them. Bounds have a margin for rounding; scores are exact
-integers.
+allows, in two passes: first its NEAREST ones, whose k-th best scores tighten the radii, then those that
+the tightened radii still allow, so that what the bound excludes is never shipped. A task keeps each
+query's k best, tightens the radius as it goes, and passes over annuli that it then excludes. In the
+second pass a group's annuli are dealt over a few segments, each with its own k best, and a last ranking
+joins all. Bounds have a margin for rounding; scores are exact integers.
 
 Defined results: rows without id, without vector, or with a null, NaN or infinite component take no
 part; a shorter vector counts as padded with zeros; each row of an id that repeats is a candidate;
@@ -37,7 +38,10 @@ SAMPLE = 2048
 BLOCK = 1024
 GROUP = 128
 SEGMENTS = 4
+NEAREST = 4
 MARGIN = 1e-6
+FOUND = "query_id long, vec_id long, score long, query_group long, least binary"
+FOUND_NAMES = [c.split(" ")[0] for c in FOUND.split(", ")]
 RESULT = "query_id long, rank int, vec_id long, score long"
 
 
@@ -170,7 +174,7 @@ def unpack(vectors: bytes, kind: str, dim: int) -> np.ndarray:
 
 
 def annuli(groups: DataFrame, fit, dim: int) -> DataFrame:
-    """Of each query group and pivot: the distances within which an annulus may hold a result."""
+    """Of each query group (with least, the scores known to be reached) and pivot: the distances within which an annulus may hold a result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = fit.value
@@ -178,7 +182,10 @@ def annuli(groups: DataFrame, fit, dim: int) -> DataFrame:
             for r in b.to_pylist():
                 ids, q = np.frombuffer(r["ids"], np.int64), unpack(r["vectors"], r["kind"], dim)
                 d = distances(q, np.zeros(len(q)), f.pivots)
-                radius = radii(q, f.floor_scores(ids, q), f.top)
+                least = f.floor_scores(ids, q)
+                if r["least"]:
+                    least = np.maximum(least, np.frombuffer(r["least"], np.int64))
+                radius = radii(q, least, f.top)
                 n = len(f.pivots)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r["block"]] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)),
@@ -200,10 +207,12 @@ def radii(queries: np.ndarray, scores: np.ndarray, top: float) -> np.ndarray:
 class Best:
     """The k best (score, id) of each query of a group; ties to the smaller id."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, fit: Fit) -> None:
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, fit: Fit, least: bytes | None = None) -> None:
         self.ids, self.q, self.fit, self.k = ids, queries, fit, fit.k
         self.d = distances(queries, np.zeros(len(queries)), fit.pivots)
         self.least = fit.floor_scores(ids, queries)
+        if least:
+            self.least = np.maximum(self.least, np.frombuffer(least, np.int64))
         self.size = float(np.abs(queries).max(initial=0)) * queries.shape[1]
         self.who, self.score, self.vec = (np.empty(0, np.int64) for _ in range(3))
 
@@ -231,6 +240,11 @@ class Best:
             [pa.array(self.ids[self.who]), pa.array(self.vec), pa.array(self.score)], ["query_id", "vec_id", "score"]
         )
 
+    def reached(self, group: int) -> pa.RecordBatch:
+        """The k-th best scores so far, as a row of their own."""
+        none = pa.nulls(1, pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, pa.array([group]), pa.array([self.least.tobytes()])], FOUND_NAMES)
+
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of vectors with the largest inner products for each query.
@@ -247,30 +261,52 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     index = written(packed(vectors, fit, dim, BLOCK, True), "pivot-index")
     groups = written(packed(queries, fit, dim, GROUP, False), "query-groups")
 
-    rings = annuli(groups, fit, dim)
     places = index.select("block", "pivot", "low", "high")
     gap = F.greatest(F.col("low") - F.col("far"), F.col("near") - F.col("high"), F.lit(0.0))
-    pairs = places.join(rings, "pivot").where("high >= inner and low <= outer")
-    pairs = pairs.select("query_group", "block", gap.alias("gap"), F.pmod(F.xxhash64("block"), F.lit(SEGMENTS)).alias("segment"))
-    queries_of = groups.select(F.col("block").alias("query_group"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("kind").alias("q_kind"))
-    work = pairs.join(index, "block").join(queries_of, "query_group")
-    work = work.repartition("query_group", "segment").sortWithinPartitions("query_group", "segment", "gap", "block")
+
+    def allowed(least: DataFrame) -> DataFrame:
+        """(query_group, block, gap) of the annuli that may hold a result, given least (query_group, least)."""
+        known = groups.join(least.withColumnRenamed("query_group", "block"), "block", "left")
+        pairs = places.join(annuli(known, fit, dim), "pivot").where("high >= inner and low <= outer")
+        return pairs.select("query_group", "block", gap.alias("gap"))
+
+    def searched(pairs: DataFrame, least: DataFrame) -> DataFrame:
+        """FOUND of pairs (query_group, block, gap, segment)."""
+        queries_of = groups.select(F.col("block").alias("query_group"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("kind").alias("q_kind"))
+        queries_of = queries_of.join(least, "query_group", "left")
+        work = pairs.join(index, "block").join(queries_of, "query_group")
+        work = work.repartition("query_group", "segment").sortWithinPartitions("query_group", "segment", "gap", "block")
+        return work.mapInArrow(search, FOUND)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, best = None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            rows = best.rows()
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.nulls(rows.num_rows, pa.int64()), pa.nulls(rows.num_rows, pa.binary())], FOUND_NAMES)
+            yield best.reached(now[0])
+
         for b in batches:
-            for i in range(b.num_rows):
-                r = b.slice(i, 1).to_pylist()[0]
+            for cells in zip(*b.columns, strict=True):  # a block at a time
+                r = {n: c.as_py() for n, c in zip(b.schema.names, cells, strict=True)}
                 if (r["query_group"], r["segment"]) != now:
                     if best is not None:
-                        yield best.rows()
+                        yield from done()
                     now = r["query_group"], r["segment"]
-                    best = Best(np.frombuffer(r["q_ids"], np.int64), unpack(r["q_vectors"], r["q_kind"], dim), fit.value)
+                    best = Best(np.frombuffer(r["q_ids"], np.int64), unpack(r["q_vectors"], r["q_kind"], dim), fit.value, r["least"])
                 best.meet(r["pivot"], r["low"], r["high"], np.frombuffer(r["ids"], np.int64), unpack(r["vectors"], r["kind"], dim))
         if best is not None:
-            yield best.rows()
-
-    found = work.mapInArrow(search, "query_id long, vec_id long, score long")
+            yield from done()
+
+    nothing = session.createDataFrame([], "query_group long, least binary")
+    by_gap = Window.partitionBy("query_group").orderBy("gap", "block")
+    near = allowed(nothing).withColumn("n", F.row_number().over(by_gap)).where(F.col("n") <= NEAREST)
+    near = written(near.select("query_group", "block", "gap", F.lit(0).alias("segment")), "near-pairs")
+    first = written(searched(near, nothing), "near-found")
+    least = written(first.where("least is not null").select("query_group", "least"), "reached")
+    rest = allowed(least).join(near, ["query_group", "block"], "left_anti")
+    rest = rest.withColumn("segment", F.pmod(F.xxhash64("block"), F.lit(SEGMENTS)).cast("int"))
+    found = first.unionByName(searched(rest, least)).where("query_id is not null").select("query_id", "vec_id", "score")
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -4,7 +4,9 @@ Each task streams Arrow batches (Spark bounds them by rows and bytes). A text lo
 split at safe boundaries: a single space between two ASCII letters or digits. The model has no piece
 with a character other than a space before a space (checked when it is loaded), and it puts a space
 before a text, so the pieces' counts add up to the text's. Pieces are encoded in groups of equal
-bytes, so memory doesn't depend on the longest text's length or on the rows in a batch.
+bytes, so memory doesn't depend on the rows in a batch, nor on a text's length as long as it has safe
+boundaries; a text or stretch without one (script without spaces, one long run of letters) is encoded
+whole, since nothing says where it may be cut.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); ids may be null or repeat, every
 row gives a row; an empty table gives no rows; other columns are ignored.

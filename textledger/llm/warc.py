@@ -162,8 +162,8 @@ def write_warc(
         done: list[dict] = []
         names = [c.split(" ")[0] for c in MANIFEST.split(", ")]
         for b in batches:
-            for i in range(b.num_rows):
-                r = b.slice(i, 1).to_pylist()[0]
+            for cells in zip(*b.columns, strict=True):  # a payload at a time
+                r = {n: c.as_py() for n, c in zip(b.schema.names, cells, strict=True)}
                 if files is None or files.shard != r["shard"]:
                     done.append(files.close() if files else None)
                     files = ShardFiles(folder, r["shard"], file_bytes)
