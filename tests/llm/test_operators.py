@@ -190,6 +190,8 @@ def test_decontaminate_in_blocks_cuts_the_same(spark, odd):
     cut = {r.doc_id: r.text for r in fm_index.decontaminate(docs, bench).collect()}
     assert cut[8] == "x  y" and cut[3] is None and cut[6] == ""
     assert fm_index.contamination(fm_index.decontaminate(docs, bench), bench).where("size(spans) > 0").count() == 0
+    assert fm_index.decontaminate(docs, bench).columns == docs.columns
+    assert {r.spans for r in fm_index.decontaminate(docs, bench, action="drop").collect()} == {"clash"}
 
 
 def test_ledger_scans_only_what_is_new(spark):
@@ -204,7 +206,6 @@ def test_ledger_scans_only_what_is_new(spark):
     found = {r.id: (len(r.assign), len(r.access), len(r.hex)) for r in ledger.findings(paths).collect()}
     assert found == {1: (0, 0, 0), 4: (1, 0, 0), 5: (1, 1, 0)}
     newer = secrets.BlobLedger(spark, ledger.path, (*rules[:2], secrets.Rule("hex", "[0-9a-f]{20,}", 0, 20, version=2)))
-    newer.updates = ledger.updates
     newer.update(versions([(1, "clean"), (4, text)]))
     assert ledger.scanned().count() == 3 * len(rules) + 2  # the two blobs under the new rule version
 
@@ -219,6 +220,23 @@ def test_ledger_is_found_again(spark):
     assert spark.read.parquet(f"{first.path}/paths").groupBy("update").count().count() == 2
 
 
+def test_secrets_of_long_and_hot_texts(spark, monkeypatch):
+    """Texts with thousands of findings, and copies that hold most rows."""
+    rng = random.Random(13)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(20)) for _ in range(3000)]
+    long = "é ".join(hexes)
+    rows = [(1, long), (2, f"x {hexes[0]} y")] + [(10 + i, f"token: {'k' * 14}") for i in range(50)]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, salt string")
+    ledger = secrets.BlobLedger(spark, common.shared_path(spark, "ledger"))
+    found = ledger.findings(ledger.update(docs))
+    got = {r.id: r for r in found.collect()}
+    assert len(got) == 52 and [(s.start, s.end) for s in got[1].hex] == [(22 * k, 22 * k + 20) for k in range(3000)]
+    assert all([(s.start, s.end) for s in got[10 + i].assign] == [(0, 21)] for i in range(50))
+    clean = {r.doc_id: r for r in secrets.redact(docs, found).collect()}
+    assert clean[1].text == "é ".join(["[SECRET]"] * 3000) and clean[2].text == "x [SECRET] y"
+    assert len(clean) == 52 and clean[10].text == "[SECRET]" and clean[10].salt == "clash"
+
+
 def test_redaction(spark, odd):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     ledger = secrets.BlobLedger(spark, common.shared_path(spark, "ledger"))
@@ -241,6 +259,31 @@ def test_quotes_against_duckdb(spark, odd):
     oracle.same(quotes.op7_chat_format(spark, odd), con, quotes.OP7_SQL)
 
 
+def test_generated_quotes_against_duckdb(spark, tmp_path):
+    """Thousands of messages, half of which quote earlier ones, nested, in part, with changed case and spaces."""
+    rng = random.Random(14)
+    sentence = lambda: " ".join(rng.choice("alpha beta gamma delta omega".split()) + str(rng.randrange(40)) for _ in range(rng.randrange(1, 8)))
+    rows = []
+    for conv in range(300):
+        said = []
+        for turn in range(rng.randrange(2, 22)):
+            parts = []
+            if said and rng.random() < 0.6:
+                if rng.random() < 0.3:
+                    parts.append("On Monday someone wrote:")
+                quoted = rng.choice(said).split("\n")
+                quoted = quoted[: rng.randrange(1, len(quoted) + 1)]
+                parts += [">" + " " * rng.randrange(2) + (q.upper() if rng.random() < 0.2 else q) for q in quoted]
+            parts += [sentence() for _ in range(rng.randrange(0, 3))]
+            text = "\n".join(parts)
+            said.append(text or "x")
+            rows.append((conv, turn, rng.choice(["user", "assistant", None]), text if rng.random() > 0.02 else None))
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = quotes.op7_chat_format(spark, f"file://{tmp_path}")
+    assert got.where("reply_to is not null").count() > 300
+    oracle.same(got, oracle.connect(str(tmp_path)), quotes.OP7_SQL)
+
+
 def sets(rows, width):
     out = {}
     for i, t in rows:
@@ -327,6 +370,35 @@ def test_passages_whose_pieces_occur_earlier(spark):
     assert all(p in got.get(i, ()) for i, p in want.items())
 
 
+def test_passage_of_scattered_pieces(spark):
+    """Six documents each hold one 30-word piece of the 180 words that two later ones share."""
+    rng = random.Random(15)
+    text = lambda n: [f"s{rng.randrange(10**6)}" for _ in range(n)]
+    pieces = [text(30) for _ in range(6)]
+    rows = [(i, text(40) + p + text(40)) for i, p in enumerate(pieces)]
+    whole = [w for p in pieces for w in p]
+    rows += [(10, text(20) + whole + text(20)), (11, text(20) + whole + text(30))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = [r for r in chaining.repeated_passages(docs).collect() if r.doc == 11]
+    assert {k for r in got for k in range(r.start, r.end)} == set(range(20, 200)) and all(r.other == 10 for r in got)
+
+
+def test_fuzzy_passages_are_no_chance_matches(spark):
+    """Random texts over few words, which share many seeds but no passage; and every passage has the agreement that it claims."""
+    rng = random.Random(16)
+    rows = [(i, [f"c{min(rng.randrange(30), rng.randrange(30))}" for _ in range(400)]) for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    words = dict(rows)
+    for r in chaining.repeated_passages(docs).collect():
+        a, b = words[r.doc][r.start : r.end], words[r.other][r.other_start : r.other_end]
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        assert len(a) >= 50 and 100 * row[-1] >= 80 * max(len(a), len(b))
+
+
 def test_passages_cover_repeats(spark):
     """Every 50 words that stand in two documents, with all their words different, are in a passage of the later one."""
     sf = "/root/testdata/sf0.01"

@@ -10,8 +10,7 @@ probability beyond CONFIDENT) is counted, at weight PSEUDO, for the other view.
 on a fold of labelled documents that is never counted: a regression on the log odds that the view's kinds
 of features give, each within MOST, so that a long text's many words don't outvote its shapes (for a
 view of one kind it is Platt scaling). A last regression on the calibrated log odds weighs the views, so
-that a view that tells nothing weighs nothing. A document is kept
-if its scores of quality and of cleanness both reach the threshold.
+that a view that tells nothing weighs nothing. A document is kept if its scores of quality and of cleanness both reach the threshold.
 
 Bounds: labels of at most `sample` documents are used (20,000 unless set otherwise), those with the least
 hashes of their ids, a third of them for calibration. The text view knows the TERMS features for each
@@ -29,7 +28,11 @@ Other columns are kept; columns named like the scores are replaced in with_score
 
 from __future__ import annotations
 
+import functools
+import math
 import re
+import string
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,6 +62,7 @@ EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 LETTERS = re.compile(r"[^\W\d_]+")
 DIGITS = re.compile(r"\d+")
 AGAIN = re.compile(r"(.)\1+")
+PUNCTUATION = string.punctuation
 HASH = xxhash.xxh3_64_intdigest
 
 
@@ -72,13 +76,23 @@ class Tokens(dict):
     """Small numbers for tokens, with the hashes of their words and shapes; forgotten beyond a bound."""
 
     def __init__(self, most: int = 1 << 18) -> None:
-        self.most = most
-        self.words, self.shapes = np.zeros(most, np.uint64), np.zeros(most, np.uint64)
+        self.most, self.words, self.shapes, self.seen = most, array("Q"), array("Q"), {}
 
     def __missing__(self, token: str) -> int:
         at = len(self)
-        self.words[at] = HASH(EDGES.sub("", token.lower()))
-        self.shapes[at] = HASH(shape(token)) ^ 0x5A5A5A5A
+        core = token.strip(PUNCTUATION)
+        if core.isalpha():  # the same as below, without regular expressions
+            letters = "A" if len(core) > 1 and core.isupper() else "a"
+            self.words.append(HASH(core.lower()))
+            first = token.index(core) if len(core) < len(token) else 0
+            key = token[:first] + letters + token[first + len(core) :]
+        else:
+            self.words.append(HASH(EDGES.sub("", token.lower())))
+            key = token
+        h = self.seen.get(key)
+        if h is None:
+            h = self.seen[key] = HASH(shape(key)) ^ 0x5A5A5A5A
+        self.shapes.append(h)
         self[token] = at
         return at
 
@@ -89,19 +103,25 @@ class Tokens(dict):
             part = tokens[low : low + self.most // 2]
             if len(self) + len(part) > self.most:
                 self.clear()
+                self.words, self.shapes, self.seen = array("Q"), array("Q"), {}
             at = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
-            words.append(self.words[at])
-            shapes.append(self.shapes[at])
+            words.append(np.frombuffer(self.words, np.uint64)[at])
+            shapes.append(np.frombuffer(self.shapes, np.uint64)[at])
         return np.concatenate(words), np.concatenate(shapes)
 
 
+@functools.lru_cache(1 << 16)
+def measure(name: str, value: object) -> int:
+    return HASH(f"{name} {value}")
+
+
 def of_kind(hashes: np.ndarray, kind: int) -> np.ndarray:
     return (hashes & ~np.uint64(3)) | np.uint64(kind)
 
 
 def halvings(share: float) -> int:
     """0 for a share over a half, 1 over a quarter, ...; 9 for none."""
-    return min(8, int(-np.log2(share))) if share > 0 else 9
+    return min(8, int(-math.log2(share))) if share > 0 else 9
 
 
 def text_features(text: str | None, tokens: Tokens) -> np.ndarray:
@@ -120,15 +140,14 @@ def text_features(text: str | None, tokens: Tokens) -> np.ndarray:
         "distinct words": halvings(len(np.unique(words)) / n),
         "word length": min(40, len(text) // n),
     }
-    measured = np.array([HASH(f"{k} {v}") for k, v in measures.items()], np.uint64)
+    measured = np.array([measure(k, v) for k, v in measures.items()], np.uint64)
     pairs = scatter(words[:-1] * np.uint64(3) + words[1:])
     groups = (words, pairs, scatter(kinds + bins), measured)
     return np.concatenate([of_kind(h, k) for k, h in enumerate(groups)])
 
 
 def metadata_features(lang: str | None, source: str | None) -> list[int]:
-    both = [f"lang {lang}", f"source {source}", f"both {lang} {source}"]
-    return [HASH(x) % META for x in both]
+    return [measure("lang", lang) % META, measure("source", source) % META, HASH(f"both {lang} {source}") % META]
 
 
 class Logistic:
@@ -224,12 +243,15 @@ class CoTrained:
 
     def __init__(self, known: np.ndarray, judges: list[Judge | None]) -> None:
         self.known, self.judges = known, judges
+        self.likely = np.zeros(1 << 16, bool)
+        self.likely[(known >> np.uint64(48)).astype(np.int64)] = True
 
     def extract(self, text: str | None, tokens: Tokens) -> bytes:
         """The numbers of the known features that a text holds."""
         if not len(self.known):
             return b""
         h = text_features(text, tokens)
+        h = h[self.likely[(h >> np.uint64(48)).astype(np.int64)]]
         at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
         return np.unique(at[self.known[at] == h]).astype(np.uint16).tobytes()
 
