@@ -416,6 +416,20 @@ def test_passages_cover_repeats(spark):
     assert asked > 10_000 and missed <= 0.01 * asked
 
 
+def test_cover_is_whole_and_least():
+    import itertools
+
+    rng = random.Random(17)
+    for _ in range(300):
+        n = rng.randrange(1, 8)
+        start = np.array([rng.randrange(20) for _ in range(n)])
+        end = start + np.array([rng.randrange(1, 9) for _ in range(n)])
+        words = lambda ks: {w for k in ks for w in range(start[k], end[k])}  # noqa: B023, E731
+        got = chaining.cover(start, end)
+        assert words(got) == words(range(n))
+        assert len(got) == min(len(c) for r in range(n + 1) for c in itertools.combinations(range(n), r) if words(c) == words(range(n)))
+
+
 def test_chains_are_best():
     rng = random.Random(8)
     for _ in range(60):
