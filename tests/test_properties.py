@@ -1,5 +1,6 @@
 """Properties of what SQL doesn't express: diffs, range mapping, regex literals, streams."""
 
+import random
 import re
 
 from hypothesis import given, settings
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from textledger.functions import globs, literals
 from textledger.functions import text as T
 from textledger.operators import history as H
-from textledger.plans import history, snapshots, streams
+from textledger.operators import metrics as M
+from textledger.plans import fixtures, history, snapshots, streams
 from textledger.plans.fixtures import fragments
 
 SF = "/root/testdata/sf0.001"
@@ -56,6 +58,124 @@ def test_map_ranges_equals_repeated_hops(spark):
         assert mapped[r.ref_id] == (lo, hi, touched)
 
 
+def texts(spark, files):
+    return {r.path: r.lines for r in files(spark, SF).select("path", T.split_lines(F.col("content")).alias("lines")).collect()}
+
+
+def test_undo_against_later_changes(spark):
+    """The plan against diffs line by line: what an undo would write over, and which later fragments are in the way."""
+    v1, v2, v3 = (texts(spark, f) for f in (fixtures.files_v1, fixtures.files_v2, fixtures.files_v3))
+    plan = {(r.path, r.seq): r for r in history.undo_plan(spark, SF).collect()}
+    want = set()
+    for path in v1.keys() & v2.keys():
+        first = H.line_fragments(v1[path], v2[path])
+        later = H.line_fragments(v2[path], v3[path])
+        frags = [(s, e - s, v - u) for s, e, u, v in later]
+        for n, (_, _, lo, hi) in enumerate(first, 1):
+            want.add((path, n))
+            r = plan[path, n]
+            at, end, hit = H.hop(frags, lo, hi)
+            by = [k for k, f in enumerate(frags, 1) if H.hop([f], lo, hi)[2]]
+            assert (r.lo, r.hi, r.status == "conflict", r.by) == (at, end, hit, by)
+            if not hit:
+                assert v3[path][r.lo : r.hi] == v2[path][lo:hi]
+    assert set(plan) == want and {r.status for r in plan.values()} == {"ok", "conflict"}
+
+
+def test_undo_preview_gives_the_version(spark):
+    v1, v2, v3 = (texts(spark, f) for f in (fixtures.files_v1, fixtures.files_v2, fixtures.files_v3))
+    rows = history.undo_preview(spark, SF).collect()
+    untouched = {r.path for r in rows if v3[r.path] == v2[r.path]}
+    assert untouched
+    import hashlib
+
+    for r in rows:
+        if r.path in untouched:
+            assert r.version == hashlib.sha256("\n".join(v1[r.path]).encode()).hexdigest()[:6]
+
+
+def test_version_check(spark):
+    v1, v2 = (texts(spark, f) for f in (fixtures.files_v1, fixtures.files_v2))
+    verdicts = set()
+    for r in history.version_check(spark, SF).collect():
+        path, line = r.ref_id.rsplit("#", 1)
+        lo, hi = int(line) - 1, int(line) + (3 if int(line) % 20 == 0 else 0)
+        verdicts.add(r.verdict)
+        if path not in v2:
+            assert r.verdict == "gone"
+        elif v1[path] == v2[path]:
+            assert r.verdict == "current" and (r.start_line, r.finish_line) == (lo + 1, hi)
+        else:
+            at, end, hit = H.hop([(s, e - s, v - u) for s, e, u, v in H.line_fragments(v1[path], v2[path])], lo, hi)
+            assert r.verdict == ("conflict" if hit else "mapped")
+            assert hit or ((r.start_line, r.finish_line) == (at + 1, end) and v2[path][at:end] == v1[path][lo:hi])
+    assert verdicts == {"gone", "current", "mapped", "conflict"}
+
+
+def test_hot_paths_map_the_same(spark, monkeypatch):
+    """A path whose references are dealt over many tasks."""
+    monkeypatch.setattr(H, "REFS_IN_TASK", 3)
+    rng = random.Random(1)
+    frags, byc = [], {}
+    for c in range(1, 60):
+        pos = 0
+        for seq in range(rng.randrange(1, 5)):
+            pos += rng.randrange(1, 9)
+            old, new = rng.randrange(0, 3), rng.randrange(0, 3)
+            if old or new:
+                frags.append(("p" if c % 4 else "q", c, seq, pos, old, new))
+                byc.setdefault(("p" if c % 4 else "q", c), []).append((pos, old, new))
+            pos += old + 1
+    refs = [(f"r{i}", rng.choice("pq"), rng.randrange(0, 60), lo := rng.randrange(0, 40), lo + rng.choice([0, 1, 5])) for i in range(200)]
+    got = {r.ref_id: (r.lo, r.hi, r.touched) for r in H.map_ranges(
+        spark.createDataFrame(refs, "ref_id string, path string, since long, lo long, hi long"),
+        spark.createDataFrame(frags, "path string, change_id long, seq long, pos long, old_n long, new_n long"),
+    ).collect()}
+    for i, path, since, lo, hi in refs:
+        touched = []
+        for c in range(since + 1, 60):
+            if (path, c) in byc:
+                lo, hi, hit = H.hop(byc[path, c], lo, hi)
+                touched += [c] * hit
+        assert got[i] == (lo, hi, touched)
+
+
+def batches_of(times, quiet, most):
+    out = []
+    for t in sorted(times):
+        if out and t - out[-1][1] <= quiet and t - out[-1][0] <= most:
+            out[-1] = (out[-1][0], t, out[-1][2] + 1)
+        else:
+            out.append((t, t, 1))
+    return out
+
+
+def test_stream_debounce_closes_by_timer(spark):
+    """Every batch whose quiet time is over before the newest event comes out, once, whatever turn it began in."""
+    quiet, most = 600_000_000, 1_800_000_000
+    rows = spark.read.parquet(f"{SF}/events.parquet").select((F.col("user_id") % 50).alias("s"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).collect()
+    newest, want, open_ = max(r.us for r in rows), set(), set()
+    for s in {r.s for r in rows}:
+        for b in batches_of([r.us for r in rows if r.s == s], quiet, most):
+            (want if b[1] + quiet + 1000 < newest else open_).add((s, *b))
+    got = [(r.stream, r.first_us, r.last_us, r.n) for r in streams.stream_debounce(spark, SF).collect()]
+    assert len(got) == len(set(got)) and want <= set(got) <= want | open_
+
+
+def test_stream_windows_are_closed_days(spark):
+    got = {(r.window_start.date().isoformat(), r.command, r.bucket): (r.n, r.total_us) for r in streams.stream_metrics_windows(spark, SF).collect()}
+    rows = fixtures.calls(spark, SF).withColumn("bucket", M.bucket(F.col("duration_us"))).groupBy(F.to_date("ts").alias("day"), "command", "bucket").agg(F.count("*").alias("n"), F.sum("duration_us").alias("t"))
+    want = {(r.day.isoformat(), r.command, r.bucket): (r.n, r.t) for r in rows.collect()}
+    last = max(k[0] for k in want)
+    assert got and got == {k: v for k, v in want.items() if k[0] < last}
+
+
+def test_history_sink_replaces_batches(spark):
+    rows = {r.batch_id: r.changes for r in history.history_sink(spark, SF).collect()}
+    n = fixtures.changes(spark, SF).count()
+    assert set(rows) == {1, 2} and sum(rows.values()) == n
+
+
 def test_regex_literals():
     assert literals.required("abc.*def") == [frozenset({"abc", "def"})]
     assert literals.required("(abc|def)g") == [frozenset({"abcg"}), frozenset({"defg"})]

@@ -9,6 +9,8 @@ BOM = "﻿"
 TRIGRAM_LIMIT = 12
 WORD = r"[\p{L}\p{Nd}]+"
 CAMEL = r"(?<=[\p{Ll}\p{Nd}])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
+#: A word with a place where CAMEL splits.
+HUMP = r"[\p{Ll}\p{Nd}]\p{Lu}|\p{Lu}\p{Lu}\p{Ll}"
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -113,8 +115,8 @@ def words_text(text: Column) -> Column:
     """Every word, lower-cased, followed by its camelCase parts if it has several."""
 
     def expand(w: Column) -> Column:
-        parts = camel_parts(w)
-        return F.when(F.size(parts) > 1, F.concat(F.array(F.lower(w)), F.transform(parts, lambda p: F.lower(p)))).otherwise(F.array(F.lower(w)))
+        parts = F.transform(camel_parts(w), lambda p: F.lower(p))
+        return F.when(w.rlike(HUMP), F.concat(F.array(F.lower(w)), parts)).otherwise(F.array(F.lower(w)))
 
     return F.flatten(F.transform(word_tokens(text), expand))
 

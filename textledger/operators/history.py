@@ -14,46 +14,77 @@ from ..sources.tables import durable
 FRAGMENTS = "path string, seq int, pos int, old array<string>, new array<string>"
 
 
+def middle(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+    """A place (i, j) halfway along a shortest edit of x to y, which differ at both ends: forward and backward search meet there.
+
+    For each diagonal i - j the furthest place that so many edits reach is kept, all diagonals at once.
+    """
+    n, m = len(x), len(y)
+    delta, none = n - m, -(1 << 40)
+    zero = m + 1  # where diagonal 0 stands
+    far = [np.full(n + m + 3, none), np.full(n + m + 3, none)]
+    sides = (x, y), (x[::-1], y[::-1])
+    for d in range((n + m + 1) // 2 + 1):
+        k = np.arange(max(-d, -m + (m + d) % 2), min(d, n - (n + d) % 2) + 1, 2)
+        for way, (a, b) in enumerate(sides):
+            v, at = far[way], zero + k
+            if d:
+                right, down = v[at - 1], v[at + 1]
+                i = np.maximum(np.where((right >= 0) & (right < n), right + 1, none), np.where((down >= 0) & (down - k <= m), down, none))
+            else:
+                i = np.zeros(1, np.int64)
+            live = np.flatnonzero((i >= 0) & (i < n) & (i - k < m))
+            while len(live := live[a[i[live]] == b[i[live] - k[live]]]):
+                i[live] += 1
+                live = live[(i[live] < n) & (i[live] - k[live] < m)]
+            v[at] = i
+            if (delta % 2 == 1) == (way == 0):
+                other = zero + delta - k
+                inside = (other >= 0) & (other < len(v))
+                back = np.where(inside, far[1 - way][np.clip(other, 0, len(v) - 1)], none)
+                met = np.flatnonzero((i >= 0) & (back >= 0) & (i + back >= n))
+                if len(met):
+                    p, q = int(i[met[0]]), int(i[met[0]] - k[met[0]])
+                    return (p, q) if way == 0 else (n - p, m - q)
+    raise AssertionError("the searches meet")
+
+
+def matched(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
+    """Runs (i, j, length) of equal lines that a shortest edit of x to y keeps, in order; memory grows with the lines, not with the edits."""
+    out, work = [], [(0, len(x), 0, len(y))]
+    while work:
+        a, b, c, d = work.pop()
+        n = min(b - a, d - c)
+        unequal = np.flatnonzero(x[a : a + n] != y[c : c + n])
+        head = int(unequal[0]) if len(unequal) else n
+        if head:
+            out.append((a, c, head))
+        a, c = a + head, c + head
+        n = min(b - a, d - c)
+        unequal = np.flatnonzero(x[b - n : b][::-1] != y[d - n : d][::-1])
+        tail = int(unequal[0]) if len(unequal) else n
+        if tail:
+            out.append((b - tail, d - tail, tail))
+        b, d = b - tail, d - tail
+        if a < b and c < d:
+            i, j = middle(x[a:b], y[c:d])
+            work += [(a, a + i, c, c + j), (a + i, b, c + j, d)]
+    return sorted(out)
+
+
 def line_fragments(a: list[str], b: list[str]) -> list[tuple[int, int, int, int]]:
     """Maximal differing stretches (start, end, other start, other end) of a shortest edit of a to b.
 
-    Greedy search by number of edits: for each diagonal the furthest place that d edits reach.
+    Lines are numbers; those that only one side has are in no match and are left out of the search.
     """
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    reach, trail = {1: 0}, []
-    for d in range(len(x) + len(y) + 1):
-        trail.append(dict(reach))
-        for k in range(-d, d + 1, 2):
-            i = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
-            while i < len(x) and i - k < len(y) and x[i] == y[i - k]:
-                i += 1
-            reach[k] = i
-            if i >= len(x) and i - k >= len(y):
-                break
-        else:
-            continue
-        break
-    i, j, kept = len(x), len(y), []
-    for d in range(len(trail) - 1, -1, -1):
-        far, k = trail[d], i - j
-        down = k == -d or (k != d and far.get(k - 1, -1) < far.get(k + 1, -1))
-        pi = far[k + 1] if down else far.get(k - 1, 0)
-        pj = pi - (k + 1 if down else k - 1)
-        while i > max(pi, 0) and j > max(pj, 0) and (d == 0 or i > pi + (0 if down else 1) or j > pj + (1 if down else 0)):
-            i, j = i - 1, j - 1
-            kept.append((i, j))
-        if d:
-            i, j = pi, pj
+    number: dict[str, int] = {}
+    x, y = (np.fromiter((number.setdefault(line, len(number)) for line in v), np.int64, len(v)) for v in (a, b))
+    in_x, in_y = np.flatnonzero(np.isin(x, y)), np.flatnonzero(np.isin(y, x))
     out, at, to = [], 0, 0
-    for i, j in [*reversed(kept), (len(x), len(y))]:
+    kept = [(int(in_x[i + k]), int(in_y[j + k])) for i, j, n in matched(x[in_x], y[in_y]) for k in range(n)] if len(in_x) else []
+    for i, j in [*kept, (len(a), len(b))]:
         if i > at or j > to:
-            out.append((head + at, head + i, head + to, head + j))
+            out.append((at, i, to, j))
         at, to = i + 1, j + 1
     return out
 
@@ -112,9 +143,10 @@ def apply_fragments(lines: DataFrame, fragments: DataFrame) -> DataFrame:
 
 
 def map_hop(ranges: DataFrame, fragments: DataFrame, key: str = "change_id") -> DataFrame:
-    """Ranges (ref_id, key, lo, hi), half open from 0, carried through one change: (ref_id, lo, hi, hit).
+    """Ranges (ref_id, key, lo, hi), half open from 0, carried through one change: (ref_id, lo, hi, hit, by).
 
     Each bound moves by the fragments before it; one that lies in a replaced stretch goes to its edge.
+    by: the numbers of the fragments that hit the range.
     """
     f = shifts(fragments, key)
     p, o, n, lo, hi = (F.col(c) for c in ("pos", "old_n", "new_n", "lo", "hi"))
@@ -128,11 +160,11 @@ def map_hop(ranges: DataFrame, fragments: DataFrame, key: str = "change_id") ->
     in_lo = F.when((p < lo) & (lo < p + o), p + F.col("shift"))
     in_hi = F.when((p < hi) & (hi < p + o), p + F.col("shift") + n)
     rows = ranges.join(f, key, "left").groupBy("ref_id", "lo", "hi").agg(
-        F.coalesce(F.max(hit), F.lit(False)).alias("hit"), F.coalesce(F.sum(add_lo), F.lit(0)).alias("a"),
+        F.coalesce(F.max(hit), F.lit(False)).alias("hit"), F.array_sort(F.collect_set(F.when(hit, F.col("seq")))).alias("by"), F.coalesce(F.sum(add_lo), F.lit(0)).alias("a"),
         F.coalesce(F.sum(add_hi), F.lit(0)).alias("b"), F.max(in_lo).alias("x"), F.max(in_hi).alias("y"),
     )
     new_lo = F.coalesce("x", F.col("lo") + F.col("a"))
-    return rows.select("ref_id", new_lo.alias("lo"), F.when(empty, new_lo).otherwise(F.coalesce("y", F.col("hi") + F.col("b"))).alias("hi"), "hit")
+    return rows.select("ref_id", new_lo.alias("lo"), F.when(empty, new_lo).otherwise(F.coalesce("y", F.col("hi") + F.col("b"))).alias("hi"), "hit", "by")
 
 
 def hop(fragments: list[tuple[int, int, int]], lo: int, hi: int) -> tuple[int, int, bool]:
@@ -157,42 +189,137 @@ def hop(fragments: list[tuple[int, int, int]], lo: int, hi: int) -> tuple[int, i
 
 
 def hops(fragments: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """hop for many ranges at once."""
-    shift, empty = 0, lo == hi
-    hit, new_lo, new_hi = np.zeros(len(lo), bool), lo.copy(), hi.copy()
-    for p, o, n in fragments:
-        if o > 0:
-            hit |= np.where(empty, (p < lo) & (lo < p + o), (p < hi) & (p + o > lo))
-        else:
-            hit |= np.where(empty, p == lo, (lo < p) & (p < hi))
-        # A bound in the replaced stretch goes to its edge; one behind it has moved by all before.
-        new_lo = np.where((p + o <= lo) & ((o > 0) | (p <= lo)), lo + shift + n - o, np.where((p < lo) & (lo < p + o), p + shift, new_lo))
-        new_hi = np.where((p + o <= hi) & ((o > 0) | (p < hi)), hi + shift + n - o, np.where((p < hi) & (hi < p + o), p + shift + n, new_hi))
-        shift += n - o
-    return new_lo, np.where(empty, new_lo, new_hi), hit
+    """hop for many ranges at once; fragments (pos, old_n, new_n) in order. What lies before a bound is found by bisection."""
+    p, o, n = fragments.T
+    shift = np.concatenate(([0], np.cumsum(n - o)))
+    padded = np.append(p, np.iinfo(np.int64).max)
+
+    def moved(bound: np.ndarray, ends: np.ndarray, grow: np.ndarray) -> np.ndarray:
+        before = np.searchsorted(ends, bound, "right")
+        inside = padded[before] < bound  # the next fragment has begun: to its edge
+        edge = padded[before] + shift[before] + np.append(grow, 0)[before]
+        return np.where(inside, edge, bound + shift[before])
+
+    new_lo = moved(lo, p + o, np.zeros_like(n))
+    new_hi = moved(hi, p + o + (o == 0), n)
+    empty = lo == hi
+    some, none = o > 0, o == 0
+    count = lambda keys, bound, side: np.searchsorted(keys, bound, side)
+    over = count(p[some], hi, "left") > count((p + o)[some], lo, "right")
+    between = count(p[none], hi, "left") > count(p[none], lo, "right")
+    at = count(p[none], lo, "right") > count(p[none], lo, "left")
+    return new_lo, np.where(empty, new_lo, new_hi), over | np.where(empty, at, between)
+
+
+REFS_IN_TASK = 4096
 
 
 def map_ranges(refs: DataFrame, fragments: DataFrame) -> DataFrame:
     """refs (ref_id, path, since, lo, hi) carried through all later changes of their path, in order.
 
-    fragments (path, change_id, seq, pos, old_n, new_n). A path's fragments meet its refs in one group
-    each, since hops depend on one another; paths are the parallel dimension.
+    fragments (path, change_id, seq, pos, old_n, new_n). A path's refs are dealt over as many parts as
+    hold REFS_IN_TASK each, and its fragments go to every part. A part is read in order of changes and
+    holds only its refs that have begun, so neither a path with most refs nor one with most changes is
+    one group in memory.
     """
-    schema = "ref_id string, lo long, hi long, touched array<long>"
-
-    def run(r: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        r = r.sort_values("since", kind="stable")
-        since, lo, hi = (r[c].to_numpy().copy() for c in ("since", "lo", "hi"))
-        touched: list[list[int]] = [[] for _ in since]
-        for c, g in f.sort_values(["change_id", "seq"]).groupby("change_id", sort=True):
-            n = int(np.searchsorted(since, c))  # the references that are older
-            if n:
-                lo[:n], hi[:n], hit = hops(g[["pos", "old_n", "new_n"]].to_numpy(), lo[:n], hi[:n])
+    parts = refs.groupBy("path").agg(F.ceil(F.count("*") / REFS_IN_TASK).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("ref_id"), F.col("parts")).cast("int").alias("part")
+    none = [F.lit(0).cast("long").alias(c) for c in ("seq", "pos", "old_n", "new_n")]
+    mine = refs.join(parts, "path").select("path", part, F.col("since").cast("long").alias("at"), F.lit(1).alias("kind"), *none, "ref_id", F.col("lo").cast("long"), F.col("hi").cast("long"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    moves = fragments.join(parts, "path").select("path", every, F.col("change_id").cast("long").alias("at"), F.lit(0).alias("kind"), *[F.col(c).cast("long").alias(c) for c in ("seq", "pos", "old_n", "new_n")], F.lit("").alias("ref_id"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))
+    # A change moves the refs that began before it, so it stands ahead of those that begin with it.
+    order = ["path", "part", "at", "kind", "seq"]
+    rows = moves.unionByName(mine).repartition("path", "part").sortWithinPartitions(*order)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, ids, lo, hi, touched = None, [], np.empty(0, np.int64), np.empty(0, np.int64), []
+
+        def done() -> pd.DataFrame:
+            return pd.DataFrame({"ref_id": ids, "lo": lo, "hi": hi, "touched": touched})
+
+        held = None
+        for frame in frames:
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            at = frame["at"].to_numpy()
+            names = list(zip(frame["path"], frame["part"], strict=True))
+            kind, spots = frame["kind"].to_numpy(), frame[["pos", "old_n", "new_n"]].to_numpy()
+            los, his, refs_ = frame["lo"].to_numpy(), frame["hi"].to_numpy(), frame["ref_id"].to_list()
+            edges = [i for i in range(len(frame)) if i == 0 or names[i] != names[i - 1] or at[i] != at[i - 1] or kind[i] != kind[i - 1]]
+            for a, b in zip(edges, edges[1:]):  # the last change or refs may go on in the next frame
+                if names[a] != key:
+                    if ids:
+                        yield done()
+                    key, ids, lo, hi, touched = names[a], [], np.empty(0, np.int64), np.empty(0, np.int64), []
+                if kind[a]:
+                    ids, touched = ids + refs_[a:b], touched + [[] for _ in range(a, b)]
+                    lo, hi = np.concatenate((lo, los[a:b])), np.concatenate((hi, his[a:b]))
+                elif ids:
+                    lo, hi, hit = hops(spots[a:b], lo, hi)
+                    for k in np.flatnonzero(hit):
+                        touched[k].append(int(at[a]))
+            held = frame.iloc[edges[-1] :] if edges else None
+        if held is not None and len(held):
+            a = held.iloc[0]
+            if (a["path"], a["part"]) != key:
+                if ids:
+                    yield done()
+                ids, lo, hi, touched = [], np.empty(0, np.int64), np.empty(0, np.int64), []
+            if a["kind"]:
+                ids, touched = ids + held["ref_id"].to_list(), touched + [[] for _ in range(len(held))]
+                lo, hi = np.concatenate((lo, held["lo"].to_numpy())), np.concatenate((hi, held["hi"].to_numpy()))
+            elif ids:
+                lo, hi, hit = hops(held[["pos", "old_n", "new_n"]].to_numpy(), lo, hi)
                 for k in np.flatnonzero(hit):
-                    touched[k].append(int(c))
-        return pd.DataFrame({"ref_id": r["ref_id"].to_numpy(), "lo": lo, "hi": hi, "touched": touched})
+                    touched[k].append(int(a["at"]))
+        if ids:
+            yield done()
+
+    return rows.mapInPandas(run, "ref_id string, lo long, hi long, touched array<long>")
+
+
+def undo_plan(fragments: DataFrame, later: DataFrame, key: str = "path") -> DataFrame:
+    """Where an undo of fragments (key, seq, pos, old, new) would write, after the later ones: (key, seq, lo, hi, status, by).
+
+    lo..hi are the lines that the change made, where they stand now. Lines that a later change touched
+    are a conflict, and by names its fragments.
+    """
+    counts = lambda f: f.withColumns({"old_n": F.size("old"), "new_n": F.size("new")}).select(key, "seq", "pos", "old_n", "new_n")
+    made = shifts(counts(fragments), key).select(key, "seq", (F.col("pos") + F.col("shift")).alias("lo"), (F.col("pos") + F.col("shift") + F.col("new_n")).alias("hi"))
+    ranges = made.select(F.struct(key, "seq").alias("ref_id"), key, "lo", "hi")
+    moved = map_hop(ranges, counts(later), key)
+    status = F.when(F.col("hit"), "conflict").otherwise("ok")
+    return moved.select(f"ref_id.{key}", "ref_id.seq", "lo", "hi", status.alias("status"), "by")
 
-    return refs.groupBy("path").cogroup(fragments.groupBy("path")).applyInPandas(run, schema)
+
+def undo_fragments(plan: DataFrame, fragments: DataFrame, key: str = "path") -> DataFrame:
+    """The fragments (key, seq, pos, old, new) that carry out an undo plan, of files without a conflict."""
+    clean = plan.groupBy(key).agg(F.max(F.col("status") == "conflict").alias("bad")).where("not bad").select(key)
+    rows = plan.join(clean, key).join(fragments.select(key, "seq", "old", "new"), [key, "seq"])
+    return rows.select(key, "seq", F.col("lo").cast("int").alias("pos"), F.col("new").alias("old"), F.col("old").alias("new"))
+
+
+def reconstruct(lines: DataFrame, steps: list[DataFrame]) -> DataFrame:
+    """Lines (path, line_no, text) taken back through changes, newest first: (path, line_no, text, mismatch).
+
+    A step is fragments (path, seq, pos, old, new), which are reversed, or moves (path, from_path).
+    mismatch: a line that a step replaced isn't the one that it had made, so the chain is broken there.
+    """
+    bad = None
+    for step in steps:
+        if "from_path" in step.columns:
+            moved = lambda rows: rows.join(step.select("path", "from_path"), "path", "left").withColumn("path", F.coalesce("from_path", "path")).drop("from_path")  # noqa: B023, E731
+            lines = moved(lines)
+            bad = moved(bad).distinct() if bad is not None else None
+            continue
+        frags = step.withColumns({"old_n": F.size("old"), "new_n": F.size("new")})
+        after = durable(apply_fragments(lines, reversed_fragments(frags, "path")))
+        now = after.where("mismatch").select("path").distinct()
+        bad = now if bad is None else bad.union(now).distinct()
+        lines = after.drop("mismatch")
+    if bad is None:
+        return lines.withColumn("mismatch", F.lit(False))
+    return lines.join(bad.withColumn("mismatch", F.lit(True)), "path", "left").withColumn("mismatch", F.coalesce("mismatch", F.lit(False)))
 
 
 def as_of(versions: DataFrame, change_id: int) -> DataFrame:
@@ -247,9 +374,12 @@ def latest_undoable(changes: DataFrame) -> DataFrame:
     return rows.groupBy("author").agg(F.max("change_id").alias("change_id"))
 
 
-def cumulative(rows: DataFrame, key: str, size: str, width: int) -> DataFrame:
-    """rows with before: the sum of size over all smaller keys, from sums of ranges of `width` keys and sums inside each."""
-    part = F.floor(F.col(key) / width)
+def cumulative(rows: DataFrame, key: str, size: str, parts: int = 4096) -> DataFrame:
+    """rows with before: the sum of size over all smaller keys, from sums of `parts` equal ranges of keys and sums inside each."""
+    ends = rows.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+    if ends.low is None:
+        return rows.withColumn("before", F.lit(0).cast("long"))
+    part = F.floor((F.col(key) - ends.low) / max(1, -(-(ends.high - ends.low + 1) // parts)))
     sums = rows.groupBy(part.alias("part")).agg(F.sum(size).alias("n"))
     sums = sums.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy("part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)

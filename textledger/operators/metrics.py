@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,18 +71,28 @@ def classify_commands(runs: DataFrame, tool: str, fallback: list[str], wrappers:
 def debounce(events: DataFrame, quiet_ms: int, most_ms: int) -> DataFrame:
     """(stream, first_ts, last_ts, n): batches that close after a quiet time, or a time after their first event.
 
-    A stream's times are folded in order; a stream's events within one day are one array, so a batch
-    that runs over midnight is cut there.
+    Quiet gaps cut a stream into runs, whatever batches do; they are found day by day, with what the days
+    before leave over, so a busy stream is many tasks. Only inside a run are batches folded in order.
     """
-    day = F.to_date("ts")
-    times = events.groupBy("stream", day.alias("day")).agg(F.array_sort(F.collect_list(F.unix_micros(F.col("ts").cast("timestamp")))).alias("times"))
-    empty = F.array().cast("array<struct<first:bigint,last:bigint,n:int>>")
-
-    def step(acc: Column, t: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joins = (t - last["last"] <= quiet_ms * 1000) & (t - last["first"] <= most_ms * 1000)
-        grown = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["first"].alias("first"), t.alias("last"), (last["n"] + 1).alias("n"))))
-        return F.when(joins, grown).otherwise(F.concat(acc, F.array(F.struct(t.alias("first"), t.alias("last"), F.lit(1).alias("n")))))
-
-    out = times.select("stream", F.explode(F.aggregate("times", empty, step)).alias("b"))
-    return out.select("stream", F.timestamp_micros("b.first").alias("first_ts"), F.timestamp_micros("b.last").alias("last_ts"), "b.n")
+    rows = events.select("stream", F.to_date("ts").alias("day"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    in_day, days = Window.partitionBy("stream", "day").orderBy("us"), Window.partitionBy("stream").orderBy("day")
+    before = days.rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("stream", "day").agg(F.max("us").alias("end")).withColumn("end", F.lag("end").over(days))
+    last = F.coalesce(F.lag("us").over(in_day), F.col("end"))
+    rows = rows.join(ends, ["stream", "day"])
+    rows = rows.withColumn("start", F.when(last.isNull() | (F.col("us") - last > quiet_ms * 1000), F.col("us"))).drop("end")
+    starts = rows.groupBy("stream", "day").agg(F.max("start").alias("open")).withColumn("open", F.last("open", ignorenulls=True).over(before))
+    run = F.coalesce(F.last("start", ignorenulls=True).over(in_day.rangeBetween(Window.unboundedPreceding, 0)), F.col("open"))
+    rows = rows.join(starts, ["stream", "day"]).withColumn("run", run)
+
+    def batches(part: pd.DataFrame) -> pd.DataFrame:
+        t, at, out = np.sort(part["us"].to_numpy()), 0, []
+        while at < len(t):
+            end = int(np.searchsorted(t, t[at] + most_ms * 1000, "right"))
+            out.append((part["stream"].iloc[0], t[at], t[end - 1], end - at))
+            at = end
+        return pd.DataFrame(out, columns=["stream", "first", "last", "n"])
+
+    schema = f"stream {events.schema['stream'].dataType.simpleString()}, first long, last long, n int"
+    out = rows.select("stream", "run", "us").groupBy("stream", "run").applyInPandas(batches, schema)
+    return out.select("stream", F.timestamp_micros("first").alias("first_ts"), F.timestamp_micros("last").alias("last_ts"), "n")

@@ -1,12 +1,15 @@
 """Batch search: trigram postings pick candidate chunks, lines are verified exactly.
 
-Many queries are one table (query_id, mode, text). Postings are (tri, path, chunk_no) of 256-line
-chunks. A query's rarest trigrams by document frequency are joined, the rest are left to the exact
-check, so a frequent trigram's long posting list isn't read for queries that have a rarer one.
+Many queries are one table (query_id, mode, text). Files are kept as chunks (path, chunk_no, lines) of
+256 lines, postings are (tri, path, chunk_no). A query's rarest trigrams by document frequency are
+joined, the rest are left to the exact check, so a frequent trigram's long posting list isn't read for
+queries that have a rarer one; only candidate chunks are taken apart into lines.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,16 +20,28 @@ CHUNK = 256
 RAREST = 4
 K1, B = 1.2, 0.75
 HITS, MOST_HITS, BEST = 20, 200, 3
+#: Most queries that are sent to all tasks at once.
+BLOCK = 10_000
+
+
+def chunks_of(files: DataFrame) -> DataFrame:
+    """(path, chunk_no, lines) of files (path, content); files without lines have none."""
+    rows = files.select("path", T.split_lines(F.col("content")).alias("all"))
+    last = F.floor((F.size("all") - 1) / CHUNK).cast("int")
+    parts = F.when(F.size("all") > 0, F.transform(F.sequence(F.lit(0), last), lambda c: F.slice("all", c * CHUNK + 1, F.lit(CHUNK))))
+    return rows.select("path", F.posexplode(parts).alias("chunk_no", "lines"))
 
 
-def with_chunk(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("chunk_no", F.floor((F.col("line_no") - 1) / CHUNK).cast("int"))
+def lines_in(chunks: DataFrame, *keep: str) -> DataFrame:
+    """(keep, path, line_no, text) of chunks."""
+    rows = chunks.select(*keep, "path", "chunk_no", F.posexplode("lines").alias("i", "text"))
+    return rows.select(*keep, "path", (F.col("chunk_no") * CHUNK + F.col("i") + 1).alias("line_no"), "text")
 
 
-def trigram_index(lines: DataFrame) -> DataFrame:
-    """(tri, path, chunk_no), each once."""
-    rows = with_chunk(lines).select("path", "chunk_no", F.explode(T.trigrams(F.col("text"))).alias("tri"))
-    return rows.distinct().select("tri", "path", "chunk_no")
+def trigram_index(chunks: DataFrame) -> DataFrame:
+    """(tri, path, chunk_no), each once. A chunk's trigrams are made distinct where it is read, so nothing is shuffled."""
+    tris = F.array_distinct(F.flatten(F.transform("lines", T.trigrams)))
+    return chunks.select(F.explode(tris).alias("tri"), "path", "chunk_no")
 
 
 def word_index(files: DataFrame) -> DataFrame:
@@ -34,13 +49,21 @@ def word_index(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(T.words_text(F.col("content"))).alias("token")).groupBy("token", "path").agg(F.count("*").alias("tf"))
 
 
-def doc_stats(files: DataFrame) -> DataFrame:
-    return files.select("path", F.size(T.words_text(F.col("content"))).cast("long").alias("dl"))
+def doc_stats(files: DataFrame, postings: DataFrame) -> DataFrame:
+    """(path, dl): how many words each file has, 0 if none."""
+    dl = postings.groupBy("path").agg(F.sum("tf").alias("dl"))
+    return files.select("path").join(dl, "path", "left").select("path", F.coalesce("dl", F.lit(0)).alias("dl"))
+
+
+def changed_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(path, chunk_no) of the chunks that only one side has or whose lines differ."""
+    a, b = (c.select("path", "chunk_no", F.xxhash64("lines").alias(n)) for c, n in ((old, "old"), (new, "new")))
+    return a.join(b, ["path", "chunk_no"], "full_outer").where("not (old <=> new)").select("path", "chunk_no")
 
 
 def replaced(index: DataFrame, fresh: DataFrame, changed: DataFrame) -> DataFrame:
-    """An index with the rows of changed paths (path) replaced by fresh ones."""
-    return index.join(changed, "path", "left_anti").unionByName(fresh)
+    """An index with the rows of what changed (path, or path and chunk_no) replaced by fresh ones."""
+    return index.join(changed, changed.columns, "left_anti").unionByName(fresh)
 
 
 def candidates(needles: DataFrame, index: DataFrame) -> DataFrame:
@@ -58,11 +81,11 @@ def candidates(needles: DataFrame, index: DataFrame) -> DataFrame:
     return hits.join(need, ["query_id", "clause"]).where("n = need").select("query_id", "clause", "path", "chunk_no")
 
 
-def verified(found: DataFrame, lines: DataFrame, queries: DataFrame, match: Column) -> DataFrame:
+def verified(found: DataFrame, chunks: DataFrame, queries: DataFrame, match: Column) -> DataFrame:
     """(query_id, path, line_no, text) of candidate chunks' lines that match. match uses columns text and pattern."""
     spots = found.select("query_id", "path", "chunk_no").distinct()
-    rows = with_chunk(lines).join(spots, ["path", "chunk_no"]).join(queries.select("query_id", F.col("text").alias("pattern")), "query_id")
-    return rows.where(match).select("query_id", "path", "line_no", "text")
+    rows = chunks.join(spots, ["path", "chunk_no"]).join(queries.select("query_id", F.col("text").alias("pattern")), "query_id")
+    return lines_in(rows, "query_id", "pattern").where(match).select("query_id", "path", "line_no", "text")
 
 
 def literal_match() -> Column:
@@ -73,16 +96,19 @@ def regex_match() -> Column:
     return F.expr("text rlike pattern")
 
 
-def search_literal(queries: DataFrame, lines: DataFrame, index: DataFrame) -> DataFrame:
+def search_literal(queries: DataFrame, chunks: DataFrame, index: DataFrame) -> DataFrame:
     """Hits of literals of at least three characters."""
     needles = queries.where(F.length("text") >= 3).select("query_id", F.lit(0).alias("clause"), F.col("text").alias("literal"))
-    return verified(candidates(needles, index), lines, queries, literal_match())
+    return verified(candidates(needles, index), chunks, queries, literal_match())
 
 
 def search_scan(queries: DataFrame, lines: DataFrame, match: Column) -> DataFrame:
-    """Hits by reading all lines, for queries that no trigram helps. The query table is the caller's list."""
+    """Hits by reading all lines, for queries that no trigram helps, in blocks of about BLOCK queries."""
     asked = queries.select("query_id", F.col("text").alias("pattern"))
-    return lines.join(F.broadcast(asked), match).select("query_id", "path", "line_no", "text")
+    blocks = max(1, -(-asked.count() // BLOCK))
+    part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    found = [lines.join(F.broadcast(asked.where(part == k)), match).select("query_id", "path", "line_no", "text") for k in range(blocks)]
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def regex_needles(queries: list[tuple[int, str]]) -> tuple[list[tuple[int, int, str]], list[int]]:
@@ -97,12 +123,12 @@ def regex_needles(queries: list[tuple[int, str]]) -> tuple[list[tuple[int, int,
     return rows, scans
 
 
-def search_regex(queries: DataFrame, patterns: list[tuple[int, str]], lines: DataFrame, index: DataFrame) -> DataFrame:
+def search_regex(queries: DataFrame, patterns: list[tuple[int, str]], chunks: DataFrame, index: DataFrame) -> DataFrame:
     """Hits of regular expressions: by required literals where there are any, by a scan otherwise."""
     rows, scans = regex_needles(patterns)
-    needles = lines.sparkSession.createDataFrame(rows, "query_id long, clause int, literal string")
-    indexed = verified(candidates(needles, index), lines, queries, regex_match())
-    return indexed.unionByName(search_scan(queries.where(F.col("query_id").isin(scans)), lines, regex_match()))
+    needles = chunks.sparkSession.createDataFrame(rows, "query_id long, clause int, literal string")
+    indexed = verified(candidates(needles, index), chunks, queries, regex_match())
+    return indexed.unionByName(search_scan(queries.where(F.col("query_id").isin(scans)), lines_in(chunks), regex_match()))
 
 
 def top_hits(hits: DataFrame, k: int = HITS) -> DataFrame:

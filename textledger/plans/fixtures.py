@@ -65,6 +65,12 @@ FILES_V2 = """files_v2 AS (
   UNION ALL SELECT 'bench/' || lpad(item_id::VARCHAR, 7, '0') || '.txt', coalesce(text, '') FROM benchmark)"""
 
 
+def files_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): files_v2 with later edits in a third of the files."""
+    files = files_v2(spark, sf_dir)
+    return files.select("path", F.when(F.crc32("path") % 3 == 0, edited(F.col("content"))).otherwise(F.col("content")).alias("content"))
+
+
 def files_styled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content): files_v1 with CRLF endings, BOMs and NULs in some."""
     d = F.col("doc_id") % 23

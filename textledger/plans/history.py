@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import history as H
 from ..operators import reconcile as R
-from .fixtures import CHANGES, FILES_V1, FILES_V2, FRAGMENTS, changes, files_v1, files_v2, fragments, lines_of, table
+from .fixtures import CHANGES, FILES_V1, FILES_V2, FRAGMENTS, changes, files_v1, files_v2, files_v3, fragments, lines_of, table
 from .snapshots import REC
 
 QUERIES, ORACLES = {}, {}
@@ -58,7 +58,7 @@ HOP = f"""{SHIFTED}, {HOP_REFS}, hop AS (SELECT ref_id, any_value(r.lo) AS lo0,
 
 @query("map_range_hop", f"WITH {HOP} SELECT ref_id, lo1 AS lo, CASE WHEN lo0 = hi0 THEN lo1 ELSE hi1 END AS hi, hit FROM hop")
 def map_range_hop(spark, d):
-    return H.map_hop(hop_refs(spark, d), fragments(spark, d))
+    return H.map_hop(hop_refs(spark, d), fragments(spark, d)).drop("by")
 
 
 @query("overlapping_changes", f"WITH {HOP} SELECT ref_id, split_part(ref_id, '-', 1)::BIGINT AS change_id FROM hop WHERE hit")
@@ -67,12 +67,24 @@ def overlapping_changes(spark, d):
     return hits.select("ref_id", F.split("ref_id", "-")[0].cast("long").alias("change_id"))
 
 
-@query("version_check", f"WITH {HOP} SELECT ref_id, NOT hit AND lo1 = lo0 + change_id % 3 AND (CASE WHEN lo0 = hi0 THEN lo1 ELSE hi1 END) = hi0 + change_id % 3 AS accepted FROM hop JOIN hr USING (ref_id)")
+@query("version_check")
 def version_check(spark, d):
-    """An edit is accepted if its range maps, untouched, exactly onto its resolved target."""
-    target = hop_refs(spark, d).select("ref_id", (F.col("lo") + F.col("change_id") % 3).alias("t_lo"), (F.col("hi") + F.col("change_id") % 3).alias("t_hi"))
-    mapped = map_range_hop(spark, d).join(target, "ref_id")
-    return mapped.select("ref_id", (~F.col("hit") & (F.col("lo") == F.col("t_lo")) & (F.col("hi") == F.col("t_hi"))).alias("accepted"))
+    """Edits asked for against the first snapshot's files, now in their second version.
+
+    An edit is accepted if its file hasn't changed, or if its range maps untouched to where its lines
+    stand now; otherwise it is a conflict, or its file is gone.
+    """
+    from .snapshots import refs
+
+    asked = refs(spark, d).select("ref_id", "path", (F.col("line_no") - 1).cast("long").alias("lo"), F.col("end_line").cast("long").alias("hi"))
+    frags = counted(H.line_diff(pairs(spark, d)))
+    versions_ = [f(spark, d).select("path", T.content_version(F.col("content")).alias(v)) for f, v in ((files_v1, "v"), (files_v2, "now"))]
+    files = versions_[0].join(versions_[1], "path", "left")
+    mapped = H.map_hop(asked, frags, "path").select("ref_id", F.col("lo").alias("at"), F.col("hi").alias("end"), "hit")
+    rows = asked.join(mapped, "ref_id").join(files, "path")
+    verdict = F.when(F.col("now").isNull(), "gone").when(F.col("v") == F.col("now"), "current").when(F.col("hit"), "conflict").otherwise("mapped")
+    ok = verdict.isin("current", "mapped")
+    return rows.select("ref_id", verdict.alias("verdict"), F.when(ok, F.col("at") + 1).alias("start_line"), F.when(ok, F.col("end")).alias("finish_line"))
 
 
 @query("map_range")
@@ -137,10 +149,19 @@ def restore_point(spark, d):
 def pairs(spark, d):
     """(path, old, new) lines of the files whose content differs between the snapshots."""
     old, new = files_v1(spark, d).select("path", F.col("content").alias("a")), files_v2(spark, d).select("path", F.col("content").alias("b"))
+    return differing(old, new)
+
+
+def differing(old, new):
     both = old.join(new, "path").where("a <> b")
     return both.select("path", T.split_lines(F.col("a")).alias("old"), T.split_lines(F.col("b")).alias("new"))
 
 
+def later_pairs(spark, d):
+    """The same between the second snapshot and the third."""
+    return differing(files_v2(spark, d).select("path", F.col("content").alias("a")), files_v3(spark, d).select("path", F.col("content").alias("b")))
+
+
 @query("line_diff")
 def line_diff(spark, d):
     return H.line_diff(pairs(spark, d))
@@ -161,36 +182,47 @@ def counted(frags):
     return frags.withColumns({"old_n": F.size("old"), "new_n": F.size("new")})
 
 
+def text_of(lines):
+    """(path, text) of (path, line_no, text)."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"])
+    return lines.groupBy("path").agg(F.array_join(ordered, "\n").alias("text"))
+
+
 @query("reconstruct_version")
 def reconstruct_version(spark, d):
-    """The old version of every changed file from its new one and the reversed fragments, with whether it is right."""
-    frags = counted(H.line_diff(pairs(spark, d)))
-    now = pairs(spark, d).select("path", F.posexplode("new").alias("i", "text")).select("path", (F.col("i") + 1).alias("line_no"), "text")
-    back = H.apply_fragments(now, H.reversed_fragments(frags, "path"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"])
-    text = back.groupBy("path").agg(F.array_join(lines, "\n").alias("text"))
-    was = pairs(spark, d).select("path", F.array_join("old", "\n").alias("was"))
-    return was.join(text, "path", "left").select("path", T.content_version(F.col("was")).alias("version"), (F.coalesce("text", F.lit("")) == F.col("was")).alias("same"))
+    """The first snapshot's files from the third's lines: later edits, moves and edits are taken back; whether each is right."""
+    old, new = (f(spark, d).select("path", F.sha2("content", 256).alias("hash")) for f in (files_v1, files_v2))
+    moved = R.moves(R.reconcile(old, new)).select("path", "from_path")
+    steps = [H.line_diff(later_pairs(spark, d)), moved, H.line_diff(pairs(spark, d))]
+    back = H.reconstruct(lines_of(files_v3(spark, d)), steps)
+    broken = back.where("mismatch").select("path").distinct().withColumn("broken", F.lit(True))
+    kept = new.select("path").join(moved, "path", "left").select(F.coalesce("from_path", "path").alias("path"))
+    was = files_v1(spark, d).select("path", F.array_join(T.split_lines(F.col("content")), "\n").alias("was")).join(kept, "path", "left_semi")
+    rows = was.join(text_of(back), "path", "left").join(broken, "path", "left")
+    same = ~F.coalesce("broken", F.lit(False)) & (F.coalesce("text", F.lit("")) == F.col("was"))
+    return rows.select("path", T.content_version(F.col("was")).alias("version"), same.alias("same"))
+
+
+def planned(spark, d):
+    frags = H.line_diff(pairs(spark, d))
+    return frags, H.undo_plan(frags, H.line_diff(later_pairs(spark, d)))
 
 
 @query("undo_plan")
 def undo_plan(spark, d):
-    """For each fragment of the snapshots' difference: where its new lines stand now, and whether they still do."""
-    frags = counted(H.line_diff(pairs(spark, d)))
-    back = H.reversed_fragments(frags, "path")
-    now = lines_of(files_v2(spark, d)).where(F.col("line_no") % 97 != 0)  # some lines count as changed since
-    want = back.select("path", "seq", "pos", "old_n", F.posexplode_outer("old").alias("k", "expected"))
-    spots = want.withColumn("line_no", F.col("pos") + 1 + F.col("k")).join(now, ["path", "line_no"], "left")
-    bad = F.count_if(F.col("k").isNotNull() & ~F.col("text").eqNullSafe(F.col("expected")))
-    return spots.groupBy("path", "seq", "pos", "old_n").agg(F.when(bad == 0, "ok").otherwise("conflict").alias("status"))
+    """An undo of the edits between the first two snapshots, after those that led to the third."""
+    return planned(spark, d)[1]
 
 
 @query("undo_preview")
 def undo_preview(spark, d):
-    """Hunks of an undo before and after, with the version that it gives."""
-    frags = counted(H.line_diff(pairs(spark, d)))
-    hunks = H.reversed_fragments(frags, "path").select("path", "seq", (F.col("pos") + 1).alias("line_no"), F.array_join("old", "\n").alias("before"), F.array_join("new", "\n").alias("after"))
-    return hunks.join(reconstruct_version(spark, d).select("path", "version"), "path")
+    """Hunks of the undo before and after in files without a conflict, with the version that it gives."""
+    frags, plan = planned(spark, d)
+    todo = H.undo_fragments(plan, frags)
+    lines = lines_of(files_v3(spark, d)).join(todo.select("path").distinct(), "path", "left_semi")
+    after = text_of(H.apply_fragments(lines, todo)).select("path", T.content_version(F.col("text")).alias("version"))
+    hunks = todo.select("path", "seq", (F.col("pos") + 1).alias("line_no"), F.array_join("old", "\n").alias("before"), F.array_join("new", "\n").alias("after"))
+    return hunks.join(after, "path", "left")
 
 
 @query("record_changes", f"WITH {REC} SELECT path, op, substr(old_hash, 1, 6) AS v_before, substr(hash, 1, 6) AS v_after FROM rec WHERE op <> 'unchanged'")
@@ -276,7 +308,7 @@ def prune_by_size(spark, d):
     """The oldest changes that must go so that at most a million bytes stay."""
     rows = sized(spark, d)
     total = rows.agg(F.sum("size").alias("total"))  # one row
-    return H.cumulative(rows, "change_id", "size", 1024).crossJoin(total).where(F.col("before") < F.col("total") - 1_000_000).select("change_id", "size")
+    return H.cumulative(rows, "change_id", "size").crossJoin(total).where(F.col("before") < F.col("total") - 1_000_000).select("change_id", "size")
 
 
 @query("prune_by_age", f"WITH {CHANGES} SELECT change_id FROM changes WHERE change_id <= (SELECT max(change_id) FROM changes WHERE time < TIMESTAMP '2024-01-16')")
@@ -319,13 +351,14 @@ def history_sink(spark, d):
     return spark.read.parquet(at).groupBy("batch_id").agg(F.count("*").alias("changes"), F.sum("fragments").alias("fragments"))
 
 
-MV = "mv AS (SELECT DISTINCT 'docs/f' || (l_partkey % 400) AS path, 'docs/f' || (l_suppkey % 7 * 50 + l_partkey % 3) AS from_path FROM lineitem WHERE l_orderkey % 50 = 0)"
+MV = "mv AS (SELECT DISTINCT 'docs/f' || l_partkey AS path, 'docs/f' || (l_partkey - l_partkey % 50 + l_suppkey % 50) AS from_path FROM lineitem)"
 
 
 @query("move_closure", f"WITH RECURSIVE {MV}, e AS (SELECT path AS a, from_path AS b FROM mv UNION SELECT from_path, path FROM mv), r AS (SELECT 'docs/f1' AS path UNION SELECT e.b FROM r JOIN e ON r.path = e.a) SELECT path FROM r")
 def move_closure(spark, d):
     f = lambda c: F.concat(F.lit("docs/f"), c.cast("string"))
-    moves = table(spark, d, "lineitem").where("l_orderkey % 50 = 0").select(f(F.col("l_partkey") % 400).alias("path"), f(F.col("l_suppkey") % 7 * 50 + F.col("l_partkey") % 3).alias("from_path"))
+    part = F.col("l_partkey")
+    moves = table(spark, d, "lineitem").select(f(part).alias("path"), f(part - part % 50 + F.col("l_suppkey") % 50).alias("from_path"))
     return H.closure(spark.createDataFrame([("docs/f1",)], "path string"), moves.distinct())
 
 

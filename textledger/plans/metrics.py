@@ -103,11 +103,28 @@ def classify_commands(spark, d):
     return M.classify_commands(runs(spark, d), "led", FALLBACK, WRAPPERS)
 
 
-@query("arm_summary", f"WITH {RUNS} SELECT arm, count(*) AS runs, count(*) FILTER (ok) AS successes, sum(tokens)::BIGINT AS tokens, sum(turns)::BIGINT AS turns, round(avg(tokens), 6) AS mean_tokens FROM runs GROUP BY arm")
+#: Price of a token, for the report's cost column.
+PRICE = 3e-6
+
+
+@query(
+    "arm_summary",
+    f"""WITH {RUNS}, k AS (SELECT run_id, sum(n) AS commands, coalesce(sum(n) FILTER (kind = 'tool'), 0) AS t, coalesce(sum(n) FILTER (kind = 'fallback'), 0) AS f
+  FROM runs JOIN (VALUES {KIND_ROWS}) AS k(i, kind, n) ON run_id % {len(COMMANDS)} = i GROUP BY run_id)
+SELECT arm, count(*) AS runs, count(*) FILTER (ok) AS successes, sum(tokens)::BIGINT AS tokens, sum(turns)::BIGINT AS turns, round(avg(tokens), 6) AS mean_tokens,
+  sum(commands)::BIGINT AS commands, (count(*) - count(DISTINCT task))::BIGINT AS retries, sum(f)::DOUBLE / greatest(sum(t) + sum(f), 1)::DOUBLE AS fallback_rate,
+  round(sum(tokens)::DOUBLE * {PRICE}, 6) AS cost FROM runs JOIN k USING (run_id) GROUP BY arm""",
+)
 def arm_summary(spark, d):
-    return runs(spark, d).groupBy("arm").agg(
-        F.count("*").alias("runs"), F.count_if("ok").alias("successes"), F.sum("tokens").alias("tokens"), F.sum("turns").alias("turns"), F.round(F.avg("tokens"), 6).alias("mean_tokens")
-    )
+    """Runs of each arm; retries are the runs of a task behind its first."""
+    kinds = classify_commands(spark, d)
+    n = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0))
+    by_run = kinds.groupBy("run_id").agg(F.sum("n").alias("commands"), n("tool").alias("t"), n("fallback").alias("f"))
+    return runs(spark, d).join(by_run, "run_id").groupBy("arm").agg(
+        F.count("*").alias("runs"), F.count_if("ok").alias("successes"), F.sum("tokens").alias("tokens"), F.sum("turns").alias("turns"), F.round(F.avg("tokens"), 6).alias("mean_tokens"),
+        F.sum("commands").alias("commands"), (F.count("*") - F.countDistinct("task")).alias("retries"),
+        (F.sum("f") / F.greatest(F.sum("t") + F.sum("f"), F.lit(1))).alias("fallback_rate"), F.round(F.sum("tokens").cast("double") * PRICE, 6).alias("cost"),
+    )
 
 
 @query("task_median", f"WITH {RUNS}, r AS (SELECT *, row_number() OVER (PARTITION BY task, arm ORDER BY tokens, run_id) - 1 AS i, count(*) OVER (PARTITION BY task, arm) AS n FROM runs) SELECT task, arm, run_id, tokens FROM r WHERE i = n // 2")
@@ -131,12 +148,12 @@ def fallback_rate(spark, d):
 
 @query(
     "debounce_batches",
-    """WITH RECURSIVE e AS (SELECT user_id % 50 AS stream, ts, row_number() OVER (PARTITION BY user_id % 50, ts::DATE ORDER BY ts) AS i, ts::DATE AS day FROM events),
-f AS (SELECT stream, day, i, ts AS first_ts, ts AS last_ts, 1 AS batch FROM e WHERE i = 1
-  UNION ALL SELECT e.stream, e.day, e.i, CASE WHEN e.ts - f.last_ts <= INTERVAL 600 SECOND AND e.ts - f.first_ts <= INTERVAL 1800 SECOND THEN f.first_ts ELSE e.ts END, e.ts,
+    """WITH RECURSIVE e AS (SELECT user_id % 50 AS stream, ts, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts) AS i FROM events),
+f AS (SELECT stream, i, ts AS first_ts, ts AS last_ts, 1 AS batch FROM e WHERE i = 1
+  UNION ALL SELECT e.stream, e.i, CASE WHEN e.ts - f.last_ts <= INTERVAL 600 SECOND AND e.ts - f.first_ts <= INTERVAL 1800 SECOND THEN f.first_ts ELSE e.ts END, e.ts,
     f.batch + CASE WHEN e.ts - f.last_ts <= INTERVAL 600 SECOND AND e.ts - f.first_ts <= INTERVAL 1800 SECOND THEN 0 ELSE 1 END
-  FROM f JOIN e ON e.stream = f.stream AND e.day = f.day AND e.i = f.i + 1)
-SELECT stream, min(first_ts) AS first_ts, max(last_ts) AS last_ts, count(*)::INT AS n FROM f GROUP BY stream, day, batch""",
+  FROM f JOIN e ON e.stream = f.stream AND e.i = f.i + 1)
+SELECT stream, min(first_ts) AS first_ts, max(last_ts) AS last_ts, count(*)::INT AS n FROM f GROUP BY stream, batch""",
 )
 def debounce_batches(spark, d):
     return M.debounce(table(spark, d, "events").select((F.col("user_id") % 50).alias("stream"), "ts"), 600_000, 1_800_000)
@@ -154,7 +171,7 @@ EVENT = "type string, id string, name string, tool_use_id string, text string, u
 
 def transcript(spark, d):
     """A JSON-lines event stream of the conversations, parsed with a fixed schema."""
-    user = F.struct(F.lit("result").alias("type"), F.concat_ws("-", "conv_id", F.col("turn") - 1).alias("tool_use_id"), F.substring("text", 1, 40).alias("text"))
+    user = F.struct(F.lit("result").alias("type"), F.concat_ws("-", "conv_id", F.col("turn") - 1).alias("tool_use_id"), "text")
     call = F.struct(F.lit("call").alias("type"), F.concat_ws("-", "conv_id", "turn").alias("id"), F.lit("led").alias("name"), F.struct(F.length("text").alias("input"), F.lit(1).alias("output")).alias("usage"))
     lines = table(spark, d, "conversations").select("conv_id", F.when(F.col("turn") % 2 == 0, F.to_json(call)).otherwise(F.to_json(user)).alias("line"))
     return lines.select("conv_id", F.from_json("line", EVENT).alias("e")).select("conv_id", "e.*")
@@ -172,7 +189,7 @@ def transcript_source(spark, d):
 
 @query(
     "tool_result_match",
-    "SELECT c.conv_id, count(*) AS matched, count(*) FILTER (contains(lower(substr(r.text, 1, 40)), 'the')) AS retries FROM conversations c JOIN conversations r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1 WHERE c.turn % 2 = 0 GROUP BY c.conv_id",
+    "SELECT c.conv_id, count(*) AS matched, count(*) FILTER (contains(lower(r.text), 'the')) AS retries FROM conversations c JOIN conversations r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1 WHERE c.turn % 2 = 0 GROUP BY c.conv_id",
 )
 def tool_result_match(spark, d):
     events = transcript(spark, d)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import search as S
-from ..sources.tables import work_path
+from ..sources.tables import file_versions, work_path
 from .fixtures import FILES_V1, FILES_V2, LINES_V1, files_v1, files_v2, lines_of
 
 QUERIES, ORACLES = {}, {}
@@ -44,22 +44,28 @@ HITS = f"hits AS (SELECT query_id::BIGINT AS query_id, path, line_no::INT AS lin
 TRI = "(SELECT path, (line_no - 1) // 256 AS chunk_no, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), i, 3))) AS tri FROM lines WHERE length(text) >= 3)"
 
 
-_indexes: dict[tuple[str, str], str] = {}
+_stored: dict[tuple, str] = {}
 
 
-def stored_index(spark, d):
-    """The trigram index as a table, built once for each session and data folder, sorted by trigram."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _indexes:
-        at = work_path(spark, "trigram-index")
-        S.trigram_index(lines(spark, d)).repartition("tri").sortWithinPartitions("tri").write.parquet(at)
-        _indexes[key] = at
-    return spark.read.parquet(_indexes[key])
+def stored(spark, d, name: str):
+    """A table for searching, built once for each session and state of the documents' files: chunks, trigrams (sorted), words (sorted)."""
+    key = (spark.sparkContext.applicationId, d, name, file_versions(spark, f"{d}/documents.parquet"))
+    if key not in _stored:
+        at = work_path(spark, f"search-{name}")
+        if name == "chunks":
+            rows = S.chunks_of(files_v1(spark, d))
+        elif name == "trigrams":
+            rows = S.trigram_index(stored(spark, d, "chunks")).repartition("tri").sortWithinPartitions("tri")
+        else:
+            rows = S.word_index(files_v1(spark, d)).repartition("token").sortWithinPartitions("token")
+        rows.write.parquet(at)
+        _stored[key] = at
+    return spark.read.parquet(_stored[key])
 
 
 @query("build_trigram_index", f"WITH {BASE} SELECT DISTINCT tri, path, chunk_no::INT AS chunk_no FROM {TRI}")
 def build_trigram_index(spark, d):
-    return S.trigram_index(lines(spark, d))
+    return S.trigram_index(S.chunks_of(files_v1(spark, d)))
 
 
 TOKENS = "(SELECT path, unnest(regexp_extract_all(content, '[\\p{L}\\p{Nd}]+')) AS w FROM {files})"
@@ -85,19 +91,20 @@ def changed(spark, d):
 
 @query("sync_trigram_index", f"WITH {FILES_V2}, {LINES_V1.replace('files_v1', 'files_v2')} SELECT DISTINCT tri, path, chunk_no::INT AS chunk_no FROM {TRI}")
 def sync_trigram_index(spark, d):
-    touched = changed(spark, d)
-    fresh = S.trigram_index(lines_of(files_v2(spark, d).join(touched, "path", "left_semi")))
-    return S.replaced(build_trigram_index(spark, d), fresh, touched)
+    """The stored index with only the chunks that changed indexed anew."""
+    now = S.chunks_of(files_v2(spark, d))
+    touched = S.changed_chunks(stored(spark, d, "chunks"), now)
+    return S.replaced(stored(spark, d, "trigrams"), S.trigram_index(now.join(touched, ["path", "chunk_no"], "left_semi")), touched)
 
 
 @query("sync_word_index", f"WITH {FILES_V2} SELECT token, path, count(*) AS tf FROM {word_sql('files_v2')} GROUP BY ALL")
 def sync_word_index(spark, d):
     touched = changed(spark, d)
-    return S.replaced(build_word_index(spark, d), S.word_index(files_v2(spark, d).join(touched, "path", "left_semi")), touched)
+    return S.replaced(stored(spark, d, "words"), S.word_index(files_v2(spark, d).join(touched, "path", "left_semi")), touched)
 
 
 def literal_hits(spark, d):
-    return S.search_literal(listed(spark, LITERALS), lines(spark, d), stored_index(spark, d))
+    return S.search_literal(listed(spark, LITERALS), stored(spark, d, "chunks"), stored(spark, d, "trigrams"))
 
 
 @query("search_literal", f"WITH {BASE}, {HITS} SELECT * FROM hits")
@@ -112,7 +119,7 @@ def search_scan(spark, d):
 
 @query("search_regex", f"WITH {BASE} SELECT query_id::BIGINT AS query_id, path, line_no::INT AS line_no, text FROM lines JOIN {values(REGEXES)} ON regexp_matches(text, pattern)")
 def search_regex(spark, d):
-    return S.search_regex(listed(spark, REGEXES), REGEXES, lines(spark, d), stored_index(spark, d))
+    return S.search_regex(listed(spark, REGEXES), REGEXES, stored(spark, d, "chunks"), stored(spark, d, "trigrams"))
 
 
 @query(
@@ -157,29 +164,25 @@ def search_summary(spark, d):
     return S.summary(literal_hits(spark, d))
 
 
-CONTEXT = f"""{HITS}, few AS (SELECT * FROM hits WHERE query_id IN (2, 6, 8)),
-ctx AS (SELECT DISTINCT f.query_id, l.path, l.line_no::INT AS line_no, l.text FROM few f JOIN lines l ON f.path = l.path AND abs(l.line_no - f.line_no) <= 2
-  WHERE NOT EXISTS (SELECT 1 FROM few g WHERE g.query_id = f.query_id AND g.path = l.path AND g.line_no = l.line_no))"""
-
-
-def few_hits(spark, d):
-    return literal_hits(spark, d).where("query_id in (2, 6, 8)")
+CONTEXT = f"""{HITS},
+ctx AS (SELECT DISTINCT f.query_id, l.path, l.line_no::INT AS line_no, l.text FROM hits f JOIN lines l ON f.path = l.path AND abs(l.line_no - f.line_no) <= 2
+  WHERE NOT EXISTS (SELECT 1 FROM hits g WHERE g.query_id = f.query_id AND g.path = l.path AND g.line_no = l.line_no))"""
 
 
 @query("hit_context", f"WITH {BASE}, {CONTEXT} SELECT * FROM ctx")
 def hit_context(spark, d):
-    return S.context(few_hits(spark, d), lines(spark, d), 2)
+    return S.context(literal_hits(spark, d), lines(spark, d), 2)
 
 
 @query(
     "context_groups",
-    f"""WITH {BASE}, {CONTEXT}, a AS (SELECT query_id, path, line_no, 1 AS hit FROM few UNION ALL SELECT query_id, path, line_no, 0 FROM ctx),
+    f"""WITH {BASE}, {CONTEXT}, a AS (SELECT query_id, path, line_no, 1 AS hit FROM hits UNION ALL SELECT query_id, path, line_no, 0 FROM ctx),
 g AS (SELECT *, coalesce(line_no - lag(line_no) OVER w > 1, false)::INT AS gap FROM a WINDOW w AS (PARTITION BY query_id, path ORDER BY line_no)),
 h AS (SELECT *, sum(gap) OVER (PARTITION BY query_id, path ORDER BY line_no) AS group_no FROM g)
 SELECT query_id, path, group_no::BIGINT AS group_no, min(line_no) AS first_line, max(line_no) AS last_line, sum(hit)::BIGINT AS hits FROM h GROUP BY ALL""",
 )
 def context_groups(spark, d):
-    hits = few_hits(spark, d)
+    hits = literal_hits(spark, d)
     return S.groups(hits, S.context(hits, lines(spark, d), 2))
 
 
@@ -190,7 +193,7 @@ def context_groups(spark, d):
 def dnf_candidates(spark, d):
     """Chunks of either clause: all trigrams of "licens", or all of "mit "."""
     needles = spark.createDataFrame([(1, 0, "licens"), (1, 1, "mit ")], "query_id long, clause int, literal string")
-    return S.candidates(needles, stored_index(spark, d)).select("path", "chunk_no").distinct()
+    return S.candidates(needles, stored(spark, d, "trigrams")).select("path", "chunk_no").distinct()
 
 
 TERMS = f"""tw AS (SELECT query_id, unnest(regexp_extract_all(pattern, '[\\p{{L}}\\p{{Nd}}]+')) AS w FROM {values(WORDS)}),
@@ -207,8 +210,8 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p
 
 
 def scores(spark, d):
-    files = files_v1(spark, d)
-    return S.bm25(listed(spark, WORDS), S.word_index(files), S.doc_stats(files))
+    postings = stored(spark, d, "words")
+    return S.bm25(listed(spark, WORDS), postings, S.doc_stats(files_v1(spark, d), postings))
 
 
 @query("search_bm25", f"WITH {FILES_V1}, {TERMS} SELECT * FROM sc")

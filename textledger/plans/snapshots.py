@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import reconcile as R
-from .fixtures import FILES_V1, FILES_V2, LINES_V1, files_v1, files_v2, lines_of
+from .fixtures import CHANGES, FILES_V1, FILES_V2, LINES_V1, files_v1, files_v2, lines_of
+from .fixtures import changes as logged
 from .scalars import LINE_HASH
 
 QUERIES, ORACLES = {}, {}
@@ -68,9 +69,10 @@ def manifest_diff(spark, d):
     return changes(spark, d).where("not (old_hash <=> hash)").select("path", F.col("old_hash").alias("before"), F.col("hash").alias("after"))
 
 
-@query("external_count", f"WITH {REC} SELECT count(*) AS external_changes FROM rec WHERE op <> 'unchanged'")
+@query("external_count", f"WITH {CHANGES} SELECT count(*) AS external_changes FROM changes WHERE source = 'external'")
 def external_count(spark, d):
-    return changes(spark, d).where("op <> 'unchanged'").agg(F.count("*").alias("external_changes"))
+    """Recorded changes that came from outside the tool."""
+    return logged(spark, d).where("source = 'external'").agg(F.count("*").alias("external_changes"))
 
 
 @query(

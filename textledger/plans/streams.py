@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..sources.tables import work_path
 from ..streaming import feeds as S
-from .fixtures import CALLS, CHANGES, calls, changes, files_v1, files_v2
+from .fixtures import CALLS, CHANGES, FILES_V1, FILES_V2, calls, changes, files_v1, files_v2, table
 from .metrics import BUCKET
 from .snapshots import manifests
 
@@ -89,21 +89,34 @@ def stream_retry(spark, d):
     return M.merged(spark.read.parquet(out), "command")
 
 
-@query("stream_versions")
+@query(
+    "stream_versions",
+    """WITH """ + FILES_V1 + ", " + FILES_V2 + """, a AS (SELECT path, sha256(content) AS h FROM files_v1), b AS (SELECT path, sha256(content) AS h FROM files_v2)
+SELECT path, substr(h, 1, 6) AS version, 'added' AS op FROM a
+UNION ALL SELECT path, substr(b.h, 1, 6), CASE WHEN a.h IS NULL THEN 'added' WHEN a.h = b.h THEN 'unchanged' ELSE 'modified' END FROM b LEFT JOIN a USING (path)""",
+)
 def stream_versions(spark, d):
-    rows = None
-    for seq, files in enumerate((files_v1, files_v2)):
-        part = files(spark, d).select("path", F.sha2("content", 256).alias("hash"), F.lit(seq).alias("seq"))
-        rows = part if rows is None else rows.unionByName(part)
-    return S.collected(S.versions(as_stream(rows, 1)))
+    """Both snapshots' hashes, the new one behind the old one."""
+    parts = [files(spark, d).select("path", F.sha2("content", 256).alias("hash"), F.lit(seq).alias("seq")) for seq, files in enumerate((files_v1, files_v2))]
+    return S.in_turns(parts, S.versions)
+
+
+def by_time(rows, key: str, parts: int = 4):
+    """rows in parts of equal size by key, a number."""
+    cuts = rows.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 10_000)).first()[0] or []
+    ends = [None, *sorted(set(cuts)), None]
+    out = []
+    for low, high in zip(ends, ends[1:]):
+        part = rows if low is None else rows.where(F.col(key) > low)
+        out.append(part if high is None else part.where(F.col(key) <= high))
+    return out
 
 
 @query("stream_debounce")
 def stream_debounce(spark, d):
-    from .fixtures import table
-
+    """Batches that are closed at the end, by an event or by the timer; events arrive in four turns."""
     rows = table(spark, d, "events").select((F.col("user_id") % 50).alias("stream"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return S.collected(S.debounced(as_stream(rows, 1), 600_000, 1_800_000))
+    return S.in_turns(by_time(rows, "us"), lambda stream: S.debounced(stream, 600_000, 1_800_000))
 
 
 @query("stream_metrics", f"WITH {CALLS} SELECT command, bucket, count(*) AS n, sum(duration_us)::BIGINT AS total_us, max(duration_us) AS max_us FROM (SELECT *, {BUCKET} AS bucket FROM calls) GROUP BY ALL")
@@ -113,5 +126,6 @@ def stream_metrics(spark, d):
 
 @query("stream_metrics_windows")
 def stream_metrics_windows(spark, d):
-    """Daily windows that the watermark has closed."""
-    return S.collected(S.windowed_metrics(as_stream(calls(spark, d).orderBy("ts"), 1)))
+    """Daily windows that the watermark has closed; calls arrive in four turns."""
+    rows = calls(spark, d).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return S.in_turns(by_time(rows, "us"), S.windowed_metrics)

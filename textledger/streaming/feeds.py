@@ -46,6 +46,22 @@ def collected(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def in_turns(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of build(stream) when parts arrive one after the other.
+
+    After each part the stream runs to its end and stops; the next run goes on from the checkpoint, so
+    what it keeps as state outlives it.
+    """
+    spark, schema = parts[0].sparkSession, parts[0].schema
+    at, out, state = (work_path(spark, f"stream-{x}") for x in ("in", "out", "state"))
+    for part in parts:
+        part.write.mode("append").parquet(at)
+        stream = build(spark.readStream.schema(schema).parquet(at))
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def change_feed(stream: DataFrame, since: int, patterns: list[str]) -> DataFrame:
     """Entries behind a cursor whose path, or the path they moved from, a glob selects."""
     here = F.lit(False)
@@ -117,7 +133,8 @@ def versions(stream: DataFrame) -> DataFrame:
 def debounced(stream: DataFrame, quiet_ms: int = QUIET_MS, most_ms: int = MOST_MS) -> DataFrame:
     """Batches (stream, first_us, last_us, n) of (stream, us): quiet for a while, or open for too long.
 
-    A batch is given out when a later event of its stream closes it; the open one stays in the state.
+    A batch is given out when a later event of its stream closes it, or by a timer once event time (the
+    newest event of all streams) is past its quiet time. What is still open then stays in the state.
     """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -130,11 +147,18 @@ def debounced(stream: DataFrame, quiet_ms: int = QUIET_MS, most_ms: int = MOST_M
                 if first is not None:
                     rows.append((key[0], first, last, n))
                 first, last, n = t, t, 1
-        state.update((first, last, n))
+        close = last // 1000 + quiet_ms + 1
+        if state.hasTimedOut or close <= state.getCurrentWatermarkMs():
+            rows.append((key[0], first, last, n))
+            state.remove()
+        else:
+            state.update((first, last, n))
+            state.setTimeoutTimestamp(close)
         yield pd.DataFrame(rows, columns=["stream", "first_us", "last_us", "n"])
 
-    return stream.groupBy("stream").applyInPandasWithState(
-        update, "stream long, first_us long, last_us long, n int", "first long, last long, n int", "append", GroupStateTimeout.NoTimeout
+    timed = stream.withColumn("time", F.timestamp_micros("us")).withWatermark("time", "0 seconds")
+    return timed.groupBy("stream").applyInPandasWithState(
+        update, "stream long, first_us long, last_us long, n int", "first long, last long, n int", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
