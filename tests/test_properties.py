@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from textledger.functions import globs, literals
+from textledger.functions import globs, literals, registered
 from textledger.functions import text as T
 from textledger.operators import history as H
 from textledger.operators import metrics as M
@@ -226,6 +226,26 @@ def test_streams_equal_batch(spark):
         assert {r.path for r in f(spark, SF).collect()} == batch
 
 
+def test_registered_functions(spark):
+    registered.register(spark)
+    texts = ["", "fooBar HTTPServer2 x", "Ünïcode wordÄbc don't", "line\nnext"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for name, f in (("words_text", T.words_text), ("word_tokens", T.word_tokens), ("content_version", T.content_version), ("trigrams", T.trigrams)):
+        assert [r[0] for r in rows.select(f(F.col("t"))).collect()] == [r[0] for r in rows.selectExpr(f"{name}(t)").collect()]
+
+
+def test_block_edits(spark):
+    files = spark.createDataFrame([("a", "v1", ["1", "x", "y", "2", "x", "z"])], "path string, version string, lines array<string>")
+    requests = spark.createDataFrame(
+        [(1, "a", "v1", "replace", 1, 1, ["new"], ["x", "y"]), (2, "a", "v1", "insert", 0, 0, ["top"], []), (3, "a", "v1", "replace", 1, 1, ["n"], ["q"]),
+         (4, "a", "v1", "append", 1, 1, ["x", "z"], []), (5, "a", "v1", "replace", 1, 1, ["n"], ["x", "z"]), (6, "a", "v1", "replace", 1, 1, ["n"], [])],
+        "req_id long, path string, v string, op string, start int, finish int, new array<string>, old array<string>",
+    )
+    got = H.edit_lines(files, requests).collect()[0]
+    assert got.outcomes == ["ok", "ok", "not_found", "ok", "ambiguous", "not_found"]
+    assert got.lines == ["top", "1", "new", "2", "x", "z", "x", "z"]
+
+
 def test_several_edits_on_one_path(spark):
     files = spark.createDataFrame([("a", "v1", ["1", "2", "3"]), ("b", "v1", ["x"])], "path string, version string, lines array<string>")
     requests = spark.createDataFrame(

@@ -21,6 +21,19 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.replace(full, base, F.lit("")).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
 
 
+def walked(files: DataFrame, rules: list[tuple[int, str, str]]) -> DataFrame:
+    """(path, size) of the files (path, content) that no ignore rule leaves out."""
+    kept = ignored(files.select("path", F.lit(False).alias("is_dir")), rules).where("not ignored").select("path")
+    return files.join(kept, "path").select("path", F.octet_length("content").cast("long").alias("size"))
+
+
+def digest(manifest: DataFrame) -> DataFrame:
+    """(digest): of the set of (path, hash), in any order: sums of the parts of their hashes, so no task orders or holds it."""
+    h = F.sha2(F.concat_ws(" ", "path", "hash"), 256)
+    sums = [F.sum(F.conv(F.substring(h, 15 * k + 1, 15), 16, 10).cast("decimal(38,0)")).cast("string") for k in range(4)]
+    return manifest.agg(F.sha2(F.concat_ws(" ", F.count("*"), *sums), 256).alias("digest"))
+
+
 def ingest(files: DataFrame, limit: int = SIZE_LIMIT) -> DataFrame:
     """(path, hash, size, lines, is_binary, content) of files (path, content).
 

@@ -411,10 +411,13 @@ def edit_lines(files: DataFrame, requests: DataFrame) -> DataFrame:
 
     files (path, version, lines), requests (req_id, path, v, op, start, finish, new). A path's
     requests are folded in order of req_id; each must name the version it is based on, the current one
-    or, behind an earlier request of the batch, the one before the batch. Ops: edit, insert, delete,
-    append, write, remove. Outcomes: ok, conflict, not_found.
+    or, behind an earlier request of the batch, the one before the batch. Ops: edit, insert (behind line
+    start, 0 for the top), delete, append, write, remove, and replace, which puts new for the lines `old`
+    wherever they stand. Outcomes: ok, conflict, not_found, ambiguous.
     """
-    mine = requests.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("req_id", "v", "op", "start", "finish", "new"))).alias("reqs"))
+    if "old" not in requests.columns:
+        requests = requests.withColumn("old", F.array().cast("array<string>"))
+    mine = requests.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("req_id", "v", "op", "start", "finish", "new", "old"))).alias("reqs"))
     rows = mine.join(files, "path", "left").withColumn("there", F.col("lines").isNotNull())
     rows = rows.withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))
     first = F.struct(F.col("lines").alias("lines"), F.col("there").alias("there"), F.array().cast("array<string>").alias("outcomes"))
@@ -424,11 +427,18 @@ def edit_lines(files: DataFrame, requests: DataFrame) -> DataFrame:
         behind = lambda at: F.slice(acc["lines"], at + 1, F.greatest(n - at, F.lit(0)))
         ahead = lambda at: F.slice(acc["lines"], F.lit(1), at)
         ranged = r["op"].isin("edit", "delete")
+        block = F.size(r["old"])
+        spots = F.when(
+            (r["op"] == "replace") & (block > 0) & (block <= n),
+            F.filter(F.sequence(F.lit(1), F.greatest(n - block + 1, F.lit(1))), lambda i: F.slice(acc["lines"], i, block) == r["old"]),
+        ).otherwise(F.array().cast("array<int>"))
         outcome = (
             F.when(~acc["there"] & (r["op"] != "write"), "not_found")
             .when(acc["there"] & ~r["v"].eqNullSafe(F.col("version")), "conflict")
             .when(~acc["there"] & r["v"].isNotNull(), "conflict")
             .when((ranged & (r["finish"] > n)) | ((r["op"] == "insert") & (r["start"] > n)), "not_found")
+            .when((r["op"] == "replace") & (F.size(spots) == 0), "not_found")
+            .when((r["op"] == "replace") & (F.size(spots) > 1), "ambiguous")
             .otherwise("ok")
         )
         ok = outcome == "ok"
@@ -437,6 +447,7 @@ def edit_lines(files: DataFrame, requests: DataFrame) -> DataFrame:
             .when(r["op"] == "write", r["new"])
             .when(r["op"] == "append", F.concat(acc["lines"], r["new"]))
             .when(r["op"] == "insert", F.concat(ahead(r["start"]), r["new"], behind(r["start"])))
+            .when(r["op"] == "replace", F.concat(ahead(F.get(spots, F.lit(0)) - 1), r["new"], behind(F.get(spots, F.lit(0)) + block - 1)))
             .when(r["op"] == "delete", F.concat(ahead(r["start"] - 1), behind(r["finish"])))
             .otherwise(F.concat(ahead(r["start"] - 1), r["new"], behind(r["finish"])))
         )

@@ -96,8 +96,10 @@ def regex_match() -> Column:
     return F.expr("text rlike pattern")
 
 
-def search_literal(queries: DataFrame, chunks: DataFrame, index: DataFrame) -> DataFrame:
-    """Hits of literals of at least three characters."""
+def search_literal(queries: DataFrame, chunks: DataFrame, index: DataFrame, within: Column | None = None) -> DataFrame:
+    """Hits of literals of at least three characters; within: a condition on path."""
+    if within is not None:
+        chunks, index = chunks.where(within), index.where(within)
     needles = queries.where(F.length("text") >= 3).select("query_id", F.lit(0).alias("clause"), F.col("text").alias("literal"))
     return verified(candidates(needles, index), chunks, queries, literal_match())
 
@@ -170,10 +172,13 @@ def phrases(queries: DataFrame) -> DataFrame:
     return whole.unionByName(parts).distinct()
 
 
-def bm25(queries: DataFrame, postings: DataFrame, stats: DataFrame) -> DataFrame:
-    """(query_id, path, score): files with a term whole or with all its parts, by Okapi BM25 over all the query's words."""
+def bm25(queries: DataFrame, postings: DataFrame, stats: DataFrame, within: Column | None = None) -> DataFrame:
+    """(query_id, path, score): files with a term whole or with all its parts, by Okapi BM25 over all the query's words.
+
+    within: a condition on path for the files listed; frequencies and lengths are those of all files.
+    """
     words = phrases(queries)
-    hits = words.join(postings, "token")
+    hits = words.join(postings if within is None else postings.where(within), "token")
     parts = words.where("kind = 'part'").groupBy("query_id", "term_no").agg(F.countDistinct("token").alias("need"))
     by_term = hits.groupBy("query_id", "term_no", "path").agg(
         F.max(F.col("kind") == "whole").alias("whole"), F.countDistinct(F.when(F.col("kind") == "part", F.col("token"))).alias("have")

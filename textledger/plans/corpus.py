@@ -55,12 +55,14 @@ def corpus_manifest(spark, d):
     return files_v1(spark, d).select("path", F.sha2("content", 256).alias("hash"))
 
 
-@query("corpus_digest", f"WITH {ING}, d AS (SELECT regexp_extract(path, '^(.*)/', 1) AS dir, sha256(string_agg(path || ' ' || hash, chr(10) ORDER BY path)) AS h FROM ing GROUP BY ALL) SELECT sha256(string_agg(dir || ' ' || h, chr(10) ORDER BY dir)) AS digest FROM d")
+@query(
+    "corpus_digest",
+    f"WITH {ING}, h AS (SELECT sha256(path || ' ' || hash) AS h FROM ing) SELECT sha256(count(*) || ' ' || "
+    + " || ' ' || ".join(f"sum(('0x' || substr(h, {15 * k + 1}, 15))::BIGINT::HUGEINT)" for k in range(4))
+    + ") AS digest FROM h",
+)
 def corpus_digest(spark, d):
-    """A digest of directory digests, so no task holds more than a directory's paths."""
-    rows = corpus_manifest(spark, d).withColumn("dir", F.regexp_extract("path", "^(.*)/", 1))
-    join = lambda a, b: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(a, b))), lambda x: F.concat_ws(" ", x[a], x[b])), "\n"), 256)
-    return rows.groupBy("dir").agg(join("path", "hash").alias("h")).agg(join("dir", "h").alias("digest"))
+    return C.digest(corpus_manifest(spark, d))
 
 
 @query("corpus_totals", f"WITH {INGEST} SELECT count(*) AS files, sum(CASE WHEN bin THEN 0 ELSE {LINES} END)::BIGINT AS lines, sum(size)::BIGINT AS bytes, count(*) FILTER (bin) AS binary_files FROM i0")
@@ -126,13 +128,12 @@ RULES_SQL = """(VALUES (0, '', 1, false, false, '^(.*/)?[^/]*1\\.txt$'), (0, '',
   (0, '', 7, false, false, '^src[^/]/fr/[^/]*2\\.txt$'), (1, '', 8, true, false, '^(.*/)?[^/]*21\\.txt$'), (1, 'docs/src5', 9, false, false, '^es$')) AS t(layer, base, n, negate, dir_only, re)"""
 
 
-@query(
-    "filter_ignored",
-    f"""WITH {ING}, {ENTRIES}, a AS (SELECT DISTINCT i.path, e.pt, e.dir FROM ing i, (SELECT DISTINCT path AS pt, is_dir AS dir FROM ent) e WHERE i.path = e.pt OR starts_with(i.path, e.pt || '/')),
+IGNORED = f"""{ING}, {ENTRIES}, a AS (SELECT DISTINCT i.path, e.pt, e.dir FROM ing i, (SELECT DISTINCT path AS pt, is_dir AS dir FROM ent) e WHERE i.path = e.pt OR starts_with(i.path, e.pt || '/')),
 h AS (SELECT a.path, a.pt, arg_max(NOT negate, layer * 1000000 + length(base) * 1000 + n) AS hit FROM a JOIN (SELECT * FROM {RULES_SQL}) r
-  ON (base = '' OR starts_with(pt, base || '/')) AND (NOT dir_only OR dir) AND regexp_matches(CASE WHEN base = '' THEN pt ELSE substr(pt, length(base) + 2) END, re) GROUP BY ALL)
-SELECT ing.path, false AS is_dir, coalesce(bool_or(hit), false) AS ignored FROM ing LEFT JOIN h USING (path) GROUP BY ing.path""",
-)
+  ON (base = '' OR starts_with(pt, base || '/')) AND (NOT dir_only OR dir) AND regexp_matches(CASE WHEN base = '' THEN pt ELSE substr(pt, length(base) + 2) END, re) GROUP BY ALL)"""
+
+
+@query("filter_ignored", f"WITH {IGNORED} SELECT ing.path, false AS is_dir, coalesce(bool_or(hit), false) AS ignored FROM ing LEFT JOIN h USING (path) GROUP BY ing.path")
 def filter_ignored(spark, d):
     return C.ignored(files_v1(spark, d).select("path", F.lit(False).alias("is_dir")), RULES)
 
@@ -170,7 +171,7 @@ def allowed_paths(spark, d):
     return files_v1(spark, d).select("path").join(covered, "path", "left_anti")
 
 
-@query("scan_tree")
+@query("scan_tree", f"WITH {IGNORED}, kept AS (SELECT ing.path, any_value(size) AS size, coalesce(bool_or(hit), false) AS gone FROM ing LEFT JOIN h USING (path) GROUP BY ing.path) SELECT path, size FROM kept WHERE NOT gone")
 def scan_tree(spark, d):
-    """The Parquet files below the data folder themselves, without their content."""
-    return C.scan_tree(spark, d).select("path", "size")
+    """The files that the ignore rules leave, with their sizes."""
+    return C.walked(files_v1(spark, d), RULES)

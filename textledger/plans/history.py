@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import history as H
 from ..operators import reconcile as R
 from .fixtures import CHANGES, FILES_V1, FILES_V2, FRAGMENTS, changes, files_v1, files_v2, files_v3, fragments, lines_of, table
-from .snapshots import REC
+from .snapshots import MOVES
 
 QUERIES, ORACLES = {}, {}
 SHIFTED = f"""{FRAGMENTS}, sh AS (SELECT *, coalesce(sum(new_n - old_n) OVER (PARTITION BY change_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS shift FROM fragments)"""
@@ -225,11 +225,22 @@ def undo_preview(spark, d):
     return hunks.join(after, "path", "left")
 
 
-@query("record_changes", f"WITH {REC} SELECT path, op, substr(old_hash, 1, 6) AS v_before, substr(hash, 1, 6) AS v_after FROM rec WHERE op <> 'unchanged'")
+@query(
+    "record_changes",
+    f"""WITH {MOVES} SELECT rec.path, CASE WHEN mv.path IS NULL THEN op ELSE 'moved' END AS op, mv.from_path,
+  substr(CASE WHEN mv.path IS NULL THEN old_hash ELSE rec.hash END, 1, 6) AS v_before, substr(rec.hash, 1, 6) AS v_after
+FROM rec LEFT JOIN mv ON mv.path = rec.path WHERE op <> 'unchanged' AND NOT (op = 'removed' AND rec.path IN (SELECT from_path FROM mv))""",
+)
 def record_changes(spark, d):
+    """One record for each change between the snapshots: a move is one, with the path that it left."""
     old, new = (f(spark, d).select("path", F.sha2("content", 256).alias("hash")) for f in (files_v1, files_v2))
     rows = R.reconcile(old, new).where("op <> 'unchanged'")
-    return rows.select("path", "op", F.substring("old_hash", 1, 6).alias("v_before"), F.substring("hash", 1, 6).alias("v_after"))
+    moved = R.moves(rows).select("path", "from_path")
+    left = moved.select(F.col("from_path").alias("path"))
+    rows = rows.join(left, "path", "left_anti").join(moved, "path", "left")
+    here = F.col("from_path").isNotNull()
+    before = F.when(here, F.col("hash")).otherwise(F.col("old_hash"))
+    return rows.select("path", F.when(here, "moved").otherwise(F.col("op")).alias("op"), "from_path", F.substring(before, 1, 6).alias("v_before"), F.substring("hash", 1, 6).alias("v_after"))
 
 
 @query("filter_history", f"WITH {CHANGES} SELECT change_id, author, path, op FROM changes WHERE (starts_with(path, 'docs/f1') OR starts_with(coalesce(from_path, ''), 'docs/f1')) AND time >= TIMESTAMP '2024-01-10' AND change_id < 9000 AND author = 'u3' ORDER BY change_id DESC LIMIT 50")
@@ -331,12 +342,16 @@ def assign_change_ids(spark, d):
 
 @query("changelog_sink", f"WITH {CHANGES}, a AS (SELECT path, op, change_id AS seq FROM changes WHERE change_id <= 1000), b AS (SELECT path, op, 1000 + row_number() OVER (ORDER BY time, change_id) AS seq FROM changes WHERE change_id > 1000) SELECT * FROM a UNION ALL SELECT * FROM b")
 def changelog_sink(spark, d):
-    """A batch appended behind a log's largest number."""
-    rows = changes(spark, d)
-    stored = rows.where("change_id <= 1000").select("path", "op", F.col("change_id").alias("seq"))
-    last = stored.agg(F.max("seq")).first()[0] or 0
+    """A batch appended to a stored log behind its largest number; the log is read back."""
+    from ..sources.tables import overwrite_batch, work_path
+
+    at, rows = work_path(spark, "changelog"), changes(spark, d)
+    overwrite_batch(rows.where("change_id <= 1000").select("path", "op", F.col("change_id").alias("seq")), at, 0)
+    last = spark.read.parquet(at).agg(F.max("seq")).first()[0] or 0
     fresh = H.numbered(rows.where("change_id > 1000").select("path", "op", "time", "change_id"), last, ["time", "change_id"])
-    return stored.unionByName(fresh.select("path", "op", "seq"))
+    for _ in range(2):  # a repeated append replaces itself
+        overwrite_batch(fresh.select("path", "op", "seq"), at, 1)
+    return spark.read.parquet(at).select("path", "op", "seq")
 
 
 @query("history_sink")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
+from ..sources.tables import work_path
 from .fixtures import CALLS, calls, table
 
 QUERIES, ORACLES = {}, {}
@@ -161,16 +162,18 @@ def debounce_batches(spark, d):
 
 @query("json_sink", f"WITH {CALLS} SELECT call_id, '{{\"v\":1,\"ok\":' || (CASE WHEN outcome = 'ok' THEN 'true' ELSE 'false' END) || ',\"outcome\":\"' || outcome || '\",\"data\":{{\"command\":\"' || command || '\",\"us\":' || duration_us || '}}}}' AS line FROM calls")
 def json_sink(spark, d):
-    """Versioned JSON lines of results, as they are written with write.text."""
+    """Versioned JSON lines of results, written as text and read back."""
     row = F.struct(F.lit(1).alias("v"), (F.col("outcome") == "ok").alias("ok"), "outcome", F.struct("command", F.col("duration_us").alias("us")).alias("data"))
-    return calls(spark, d).select("call_id", F.to_json(row).alias("line"))
+    at = work_path(spark, "results")
+    calls(spark, d).select(F.to_json(F.struct("call_id", F.to_json(row).alias("line"))).alias("value")).write.text(at)
+    return spark.read.schema("call_id long, line string").json(at)
 
 
 EVENT = "type string, id string, name string, tool_use_id string, text string, usage struct<input:bigint,output:bigint>"
 
 
 def transcript(spark, d):
-    """A JSON-lines event stream of the conversations, parsed with a fixed schema."""
+    """A JSON-lines event stream of the conversations, written as text and read with a fixed schema."""
     user = F.struct(F.lit("result").alias("type"), F.concat_ws("-", "conv_id", F.col("turn") - 1).alias("tool_use_id"), "text")
     call = F.struct(F.lit("call").alias("type"), F.concat_ws("-", "conv_id", "turn").alias("id"), F.lit("led").alias("name"), F.struct(F.length("text").alias("input"), F.lit(1).alias("output")).alias("usage"))
     lines = table(spark, d, "conversations").select("conv_id", F.when(F.col("turn") % 2 == 0, F.to_json(call)).otherwise(F.to_json(user)).alias("line"))

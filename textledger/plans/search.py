@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import registered
 from ..functions import text as T
 from ..operators import search as S
+from ..operators.corpus import matches_globs
 from ..sources.tables import file_versions, work_path
 from .fixtures import FILES_V1, FILES_V2, LINES_V1, files_v1, files_v2, lines_of
 
@@ -224,6 +226,25 @@ def topk_words(spark, d):
     return S.top_words(scores(spark, d), 10)
 
 
+@query("search_bm25_within", f"WITH {FILES_V1}, {TERMS} SELECT * FROM sc WHERE regexp_matches(path, '^docs/src1[^/]*(/.*)?$')")
+def search_bm25_within(spark, d):
+    """The ranked search with a glob on paths."""
+    postings = stored(spark, d, "words")
+    return S.bm25(listed(spark, WORDS), postings, S.doc_stats(files_v1(spark, d), postings), matches_globs(F.col("path"), ["docs/src1*"]))
+
+
+@query("search_literal_within", f"WITH {BASE}, {HITS} SELECT * FROM hits WHERE regexp_matches(path, '^docs/[^/]*/en(/.*)?$')")
+def search_literal_within(spark, d):
+    return S.search_literal(listed(spark, LITERALS), stored(spark, d, "chunks"), stored(spark, d, "trigrams"), matches_globs(F.col("path"), ["docs/*/en"]))
+
+
+@query("word_function", f"WITH {FILES_V1} SELECT token, count(*) AS n FROM {word_sql('files_v1')} GROUP BY token")
+def word_function(spark, d):
+    """Words counted in SQL with the registered function."""
+    registered.register(spark)
+    return spark.sql("SELECT token, count(*) AS n FROM (SELECT explode(words) AS token FROM (SELECT words_text(content) AS words FROM {files})) GROUP BY token", files=files_v1(spark, d))
+
+
 LINE_SCORES = f"""lw AS (SELECT path, line_no, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{Nd}}]+')) AS w FROM lines),
 lp AS (SELECT path, line_no, list_distinct(list(lower(w))) AS plain, list_distinct(list_concat(list(lower(w)), flatten(list(list_transform({CAMEL}, lambda x: lower(x)))))) AS toks FROM lw GROUP BY ALL),
 ls AS (SELECT t.query_id::BIGINT AS query_id, path, line_no::INT AS line_no, sum(CASE WHEN list_contains(plain, whole) THEN 2 WHEN len(parts) > 1 AND list_has_all(toks, parts) THEN 1 ELSE 0 END)::INT AS line_score

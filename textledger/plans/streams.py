@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
-from ..sources.tables import work_path
+from ..sources.tables import remove_batch, work_path
 from ..streaming import feeds as S
 from .fixtures import CALLS, CHANGES, FILES_V1, FILES_V2, calls, changes, files_v1, files_v2, table
 from .metrics import BUCKET
@@ -89,6 +89,35 @@ def stream_retry(spark, d):
     return M.merged(spark.read.parquet(out), "command")
 
 
+@query("stream_hooks", f"WITH {CHANGES} SELECT path, op, count(*) AS n FROM changes GROUP BY ALL")
+def stream_hooks(spark, d):
+    """Two recorders for each batch of changes; the second fails once, both are undone, and the batch is replayed."""
+    feed = as_stream(changes(spark, d).select("change_id", "path", "op"))
+    log, counts, at = (work_path(spark, f"stream-{x}") for x in ("log", "counts", "state"))
+    failed = []
+
+    def count(batch, batch_id):
+        if batch_id == 1 and not failed:
+            failed.append(batch_id)
+            raise RuntimeError("fails once, to be replayed")
+        S.overwrite_batch(batch.groupBy("path", "op").agg(F.count("*").alias("n")), counts, batch_id)
+
+    hooks = [
+        (lambda batch, i: S.overwrite_batch(batch, log, i), lambda batch, i: remove_batch(spark, log, i)),
+        (count, lambda batch, i: remove_batch(spark, counts, i)),
+    ]
+    for _ in range(2):
+        q = feed.writeStream.foreachBatch(S.hooked(hooks)).option("checkpointLocation", at).trigger(availableNow=True).start()
+        try:
+            q.awaitTermination()
+        except Exception:
+            if not failed:
+                raise
+    logged = spark.read.parquet(log).groupBy("path", "op").agg(F.count("*").alias("n"))
+    counted = spark.read.parquet(counts).groupBy("path", "op").agg(F.sum("n").alias("n"))
+    return logged.join(counted, ["path", "op", "n"])  # both recorders tell the same
+
+
 @query(
     "stream_versions",
     """WITH """ + FILES_V1 + ", " + FILES_V2 + """, a AS (SELECT path, sha256(content) AS h FROM files_v1), b AS (SELECT path, sha256(content) AS h FROM files_v2)

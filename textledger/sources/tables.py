@@ -34,6 +34,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove_batch(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Takes a batch back."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={batch_id}")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def overwrite_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     """Writes a batch as its own partition; a repeated write replaces it."""
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")

@@ -34,6 +34,28 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], secon
     return bool(done)
 
 
+Hook = tuple[Callable[[DataFrame, int], None], Callable[[DataFrame, int], None]]
+
+
+def hooked(hooks: list[Hook]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that runs hooks (do, undo) in order, each idempotent by batch id.
+
+    If one fails, it and those before it are undone, the last first, and the batch fails, so that it is
+    replayed from the checkpoint.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        for n, (do, _) in enumerate(hooks):
+            try:
+                do(batch, batch_id)
+            except Exception:
+                for _, undo in reversed(hooks[: n + 1]):
+                    undo(batch, batch_id)
+                raise
+
+    return each
+
+
 def collected(stream: DataFrame, mode: str = "append") -> DataFrame:
     """The stream's rows, run to its end into a Parquet sink."""
     spark = stream.sparkSession
