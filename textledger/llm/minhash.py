@@ -9,7 +9,7 @@ Equal sets are one class before any table is built, so exact copies cost one row
 bucket no pairs are written out. In rounds, first one representative of each bucket and then up to 64, one of each of as
 many hash parts, are compared with the members of other components; every comparison uses the full
 sets. Representatives are those with the most rows in all their buckets, so the text that a group's
-copies come from is the first. Ids are whole numbers. Verified links join components (alternating large and small stars, on tables in the shared
+copies come from is the first; keys that hold more than 1 / HOT of the rows are dealt over several tasks. Ids are whole numbers. Verified links join components (alternating large and small stars, on tables in the shared
 folder); representatives leave their buckets, their pairs being decided, and buckets of one component
 are done. A bucket of one large group of near copies so needs about one comparison for each member.
 What is left after the first round of buckets with more than LARGE members, texts just below the
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, shared_path, table, written
+from .common import HOT, all_salts, dealt, delete, salt_of, shared_path, table, written
 
 HALF_KEYS = 8
 ROWS = 2
@@ -167,7 +167,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(right, "v").join(left, "u").select("u", "v", "su", "sv")
+    # The text that a large group was copied from is in most of its pairs.
+    some, every = dealt(pairs.join(right, "v"), left, "u", "v", pairs)
+    both = some.join(every, ["u", "_salt"]).select("u", "v", "su", "sv")
     return both.mapInArrow(run, f"u {id_type}, v {id_type}").distinct()
 
 
@@ -346,11 +348,15 @@ def link_components(buckets: DataFrame, sets: DataFrame, classes: DataFrame, per
             comps = joined(links, comps)
             delete(links)
             continue
+        hot = F.col("n") * HOT > live.count()
         part = F.pmod(F.xxhash64("node"), F.lit(4**step))
-        reps = live.groupBy("key", part.alias("part")).agg(F.max_by(F.struct("node", "comp", "size"), F.struct("weight", -F.col("node"))).alias("r"))
-        reps = reps.select("key", F.col("r.node").alias("rep"), F.col("r.comp").alias("rep_comp"), F.col("r.size").alias("rep_size"))
+        reps = live.groupBy("key", part.alias("part")).agg(F.max_by(F.struct("node", "comp", "size"), F.struct("weight", -F.col("node"))).alias("r"), F.first("n").alias("n"))
+        reps = reps.withColumn("salt", all_salts(hot))
+        reps = reps.select("key", "salt", F.col("r.node").alias("rep"), F.col("r.comp").alias("rep_comp"), F.col("r.size").alias("rep_size"))
         near = 100 * F.least("size", "rep_size") >= percent * F.greatest("size", "rep_size")  # else they can't be linked
-        pairs = live.alias("l").join(reps.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("comp") != F.col("rep_comp")) & near)
+        salted = live.withColumn("salt", salt_of("node", hot))
+        same = (F.col("l.key") == F.col("r.key")) & (F.col("l.salt") == F.col("r.salt"))
+        pairs = salted.alias("l").join(reps.alias("r"), same & (F.col("comp") != F.col("rep_comp")) & near)
         pairs = pairs.select(F.least("node", "rep").alias("u"), F.greatest("node", "rep").alias("v")).distinct()
         if turn:
             pairs = pairs.join(session.read.schema("u long, v long").parquet(*[f"{tested}/{k}" for k in range(turn)]), ["u", "v"], "left_anti")
@@ -358,7 +364,7 @@ def link_components(buckets: DataFrame, sets: DataFrame, classes: DataFrame, per
         links = verified(session.read.schema("u long, v long").parquet(f"{tested}/{turn}"), sets, percent)
         comps = joined(links, comps)
         turn += 1
-        gone = reps.select("key", F.col("rep").alias("node"))
+        gone = reps.where("salt = 0").select("key", F.col("rep").alias("node"))
         buckets, step = live.drop("comp", "n").join(gone, ["key", "node"], "left_anti"), step + 1
 
 

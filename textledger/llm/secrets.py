@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, table
+from .common import dealt, shared_path, table
 
 
 @dataclass(frozen=True)
@@ -46,8 +46,6 @@ RULES = (
 )
 
 SPANS = "array<struct<start:int,end:int>>"
-HOT = 1000
-SALTS = 64
 RUN = 256
 
 
@@ -77,17 +75,6 @@ def walk(items: Column, state: Column, step, kind: str, last=None) -> Column:
     return F.aggregate(runs, first, run, end)
 
 
-def dealt(left: DataFrame, right: DataFrame, key: str, by: str) -> tuple[DataFrame, DataFrame]:
-    """Both sides of a join on key with `_salt`: rows of left with a hot key have one of SALTS by their ids, its one row of right has all."""
-    total = F.broadcast(left.agg(F.count("*").alias("_n")))  # one row
-    hot = left.groupBy(key).agg(F.count("*").alias("_k")).join(total, F.col("_k") * HOT > F.col("_n")).select(key, F.lit(True).alias("_hot"))
-    hot = F.broadcast(hot)  # less than HOT keys
-    some = F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)
-    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    out = left.join(hot, key, "left").withColumn("_salt", some), right.join(hot, key, "left").withColumn("_salt", F.explode(every))
-    return tuple(x.drop("_hot") for x in out)
-
-
 def find_spans(text: Column, rule: Rule) -> Column:
     """Spans (code points, end exclusive) of the rule's findings, in order.
 
