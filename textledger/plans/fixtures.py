@@ -15,13 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over as many partitions as there are cores, if their files have fewer; large tables are left as they are."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
+
+
 def doc_path(prefix: str = "docs") -> Column:
     return F.concat(F.lit(f"{prefix}/"), F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 7, "0"), F.lit(".txt"))
 
 
 def files_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content, doc_id): one file for each document."""
-    return table(spark, sf_dir, "documents").select(doc_path().alias("path"), F.coalesce("text", F.lit("")).alias("content"), "doc_id")
+    return spread(table(spark, sf_dir, "documents")).select(doc_path().alias("path"), F.coalesce("text", F.lit("")).alias("content"), "doc_id")
 
 
 FILES_V1 = """files_v1 AS (SELECT 'docs/' || source || '/' || lang || '/' || lpad(doc_id::VARCHAR, 7, '0') || '.txt' AS path,
@@ -43,7 +49,7 @@ def edited(content: Column) -> Column:
 
 def files_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content): files_v1 with removals, moves and edits, and new files."""
-    docs = table(spark, sf_dir, "documents").where("doc_id % 17 <> 3")
+    docs = spread(table(spark, sf_dir, "documents")).where("doc_id % 17 <> 3")
     text = F.coalesce("text", F.lit(""))
     moved = F.col("doc_id") % 13 == 5
     kept = docs.select(
