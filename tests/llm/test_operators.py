@@ -579,3 +579,15 @@ def test_toxic_documents_are_dropped(spark):
 def test_quality_without_both_labels_keeps_all(spark, odd):
     rows = cotraining.op10_quality(spark, odd).collect()
     assert all(r.keep and r.quality_score == 1.0 for r in rows)
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(18)
+    for n, m in ((30, 25), (200, 190), (60, 59)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] if n != 60 else [(i, i + 1) for i in range(59)]
+        comp = list(range(n))
+        for _ in range(n):
+            for a, b in edges:
+                comp[a] = comp[b] = min(comp[a], comp[b])
+        got = {r.node: r.comp for r in minhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+        assert got == {i: comp[i] for e in edges if e[0] != e[1] for i in e}

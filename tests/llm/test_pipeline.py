@@ -51,3 +51,17 @@ def test_awkward_rows(spark):
         assert docs.columns == P.COLUMNS
         docs.collect()
     P.STAGES[-1][1](spark, docs, SF).collect()
+
+
+def test_empty_tables(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        table(spark, SF, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert P.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_run_is_its_stages(spark):
+    """The written stages, one behind the other, give what run() gives."""
+    docs = table(spark, SF, "documents")
+    for name, stage in P.STAGES:
+        docs = written(stage(spark, docs, SF), f"test-{name}")
+    assert sorted(r.doc_id for r in P.run(spark, SF).collect()) == sorted(r.doc_id for r in docs.collect())

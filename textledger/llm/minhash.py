@@ -128,9 +128,9 @@ def table_keys(classes: DataFrame) -> DataFrame:
     )
     keys = classes.select(F.posexplode(pairs).alias("slot", "key"), "node", "size")
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high")
-    rows = written(keys.join(shared.select("key", "n"), "key"), "shared-keys")
+    rows = written(keys.join(shared.select("key", "n").hint("merge"), "key"), "shared-keys")
     weights = rows.groupBy("node").agg(F.sum("n").alias("weight"))
-    out = written(rows.join(weights, "node").select("key", "slot", "node", "size", "weight"), "buckets")
+    out = written(rows.join(weights.hint("merge"), "node").select("key", "slot", "node", "size", "weight"), "buckets")
     delete(rows)
     return out
 
@@ -168,32 +168,31 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     # The text that a large group was copied from is in most of its pairs.
-    some, every = dealt(pairs.join(right, "v"), left, "u", "v", pairs)
-    both = some.join(every, ["u", "_salt"]).select("u", "v", "su", "sv")
+    some, every = dealt(pairs.join(right.hint("merge"), "v"), left, "u", "v", pairs)
+    both = some.join(every.hint("merge"), ["u", "_salt"]).select("u", "v", "su", "sv")
     return both.mapInArrow(run, f"u {id_type}, v {id_type}").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of every node of the edges (u, v): comp is the least node that it reaches."""
     edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    last = None
     while True:
         # Large star: every larger neighbour of a node links to the node's least neighbour.
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: a node and its smaller neighbours link to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         delete(edges)
         edges = after
-        if now == last:
-            # A fixpoint is stars around least nodes, each of which is its own component.
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in"))
+        ends = ends.union(edges.select("v", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+        if ends.where("out > 1 or out = 1 and `in` = 1").isEmpty():
+            # Every edge leads from a node with no other to a centre, so these are stars around least nodes, each its own component.
             centres = edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
             return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(centres)
-        last = now
 
 
 BLOCK_SCHEMA = "key long, slot int, block long, low long, high long, rows binary, shingles binary"
@@ -327,9 +326,9 @@ def link_components(buckets: DataFrame, sets: DataFrame, classes: DataFrame, per
         return after
 
     while True:
-        named = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        named = buckets.join(comps.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         open_ = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high")
-        live = written(named.join(open_.select("key", "n"), "key").select("key", "slot", "node", "size", "weight", "comp", "n"), "buckets")
+        live = written(named.join(open_.select("key", "n").hint("merge"), "key").select("key", "slot", "node", "size", "weight", "comp", "n"), "buckets")
         if old is not None:
             delete(old)
         old = live
@@ -341,7 +340,7 @@ def link_components(buckets: DataFrame, sets: DataFrame, classes: DataFrame, per
         if step == 1:
             step = 3  # what isn't large is small enough for 4^3 representatives at once
         if step == 3 and not large.isEmpty():
-            members = large.join(sets, "node").join(classes.select("node", "a", "b"), "node")
+            members = large.join(sets.hint("merge"), "node").join(classes.select("node", "a", "b").hint("merge"), "node")
             members = members.select("key", "slot", "comp", "node", "a", "b", "shingles")
             links = written(block_links(members, percent), "block-links")
             buckets = live.where(F.col("n") <= LARGE).drop("comp", "n")
@@ -356,16 +355,16 @@ def link_components(buckets: DataFrame, sets: DataFrame, classes: DataFrame, per
         near = 100 * F.least("size", "rep_size") >= percent * F.greatest("size", "rep_size")  # else they can't be linked
         salted = live.withColumn("salt", salt_of("node", hot))
         same = (F.col("l.key") == F.col("r.key")) & (F.col("l.salt") == F.col("r.salt"))
-        pairs = salted.alias("l").join(reps.alias("r"), same & (F.col("comp") != F.col("rep_comp")) & near)
+        pairs = salted.alias("l").join(reps.alias("r").hint("merge"), same & (F.col("comp") != F.col("rep_comp")) & near)
         pairs = pairs.select(F.least("node", "rep").alias("u"), F.greatest("node", "rep").alias("v")).distinct()
         if turn:
-            pairs = pairs.join(session.read.schema("u long, v long").parquet(*[f"{tested}/{k}" for k in range(turn)]), ["u", "v"], "left_anti")
+            pairs = pairs.join(session.read.schema("u long, v long").parquet(*[f"{tested}/{k}" for k in range(turn)]).hint("merge"), ["u", "v"], "left_anti")
         pairs.write.parquet(f"{tested}/{turn}")
         links = verified(session.read.schema("u long, v long").parquet(f"{tested}/{turn}"), sets, percent)
         comps = joined(links, comps)
         turn += 1
         gone = reps.where("salt = 0").select("key", F.col("rep").alias("node"))
-        buckets, step = live.drop("comp", "n").join(gone, ["key", "node"], "left_anti"), step + 1
+        buckets, step = live.drop("comp", "n").join(gone.hint("merge"), ["key", "node"], "left_anti"), step + 1
 
 
 def near_duplicates(
