@@ -14,9 +14,9 @@ that a view that tells nothing weighs nothing. A document is kept if its scores
 
 Bounds: labels of at most `sample` documents are used (20,000 unless set otherwise), those with the least
 hashes of their ids, a third of them for calibration. The text view knows the TERMS features for each
-judgement that tell its labelled documents apart best, of chi-square TELLING or more. All documents without a
-label take part in every round: features are extracted once to a table of short rows, and a round sends
-counts of known features to the driver, never rows.
+judgement that tell its labelled documents apart best, of chi-square TELLING or more and held by two of
+them at least. All documents without a label take part in every round: features are extracted once to a
+table of short rows, and a round sends counts of known features to the driver, never rows.
 
 Defined results: a null or empty text holds one feature that says so; null metadata is a value like any
 other; rows without an id are judged like others; a document with several labels is good if none
