@@ -58,6 +58,14 @@ def delete(df_or_path: DataFrame | str, spark: SparkSession | None = None) -> No
         path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffles and broadcasts of plans that are done.
+
+    It does so when the driver collects garbage, which many short rounds can put off for long.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def salt_of(by: str, hot: Column) -> Column:
     """For a row of the side with many rows of a key: one of SALTS if the key is hot."""
     return F.when(hot, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)

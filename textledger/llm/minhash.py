@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT, all_salts, dealt, delete, salt_of, shared_path, table, written
+from .common import HOT, all_salts, dealt, delete, salt_of, shared_path, table, tidy, written
 
 HALF_KEYS = 8
 ROWS = 2
@@ -323,6 +323,7 @@ def link_components(buckets: DataFrame, sets: DataFrame, classes: DataFrame, per
     def joined(links: DataFrame, before: DataFrame) -> DataFrame:
         after = written(components(links.union(before.select("node", "comp"))), "components")
         delete(before)
+        tidy(session)
         return after
 
     while True:
