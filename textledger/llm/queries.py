@@ -1,6 +1,6 @@
 """The operators' queries over their whole tables, and DuckDB SQL where SQL can express them."""
 
-from . import chaining, cotraining, fm_index, minhash, mixing, pivot_search, quotes, secrets, token_counts, warc
+from . import chaining, cotraining, fm_index, minhash, mixing, periodic, pivot_search, quotes, secrets, token_counts, warc
 
 QUERIES = {
     "op1_topk_search": pivot_search.op1_topk_search,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_near_dedup": minhash.op8_near_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_quality": cotraining.op10_quality,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
 }
 
 ORACLES = {
