@@ -1,6 +1,6 @@
 """The operators' queries over their whole tables, and DuckDB SQL where SQL can express them."""
 
-from . import chaining, cotraining, fm_index, minhash, mixing, periodic, pivot_search, quotes, ranked, secrets, token_counts, warc
+from . import chaining, cotraining, fm_index, minhash, mixing, periodic, pivot_search, quotes, ranked, secrets, templates, token_counts, warc
 
 QUERIES = {
     "op1_topk_search": pivot_search.op1_topk_search,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_quality": cotraining.op10_quality,
     "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_main_text": templates.op12_main_text,
     "op13_ranked_search": ranked.op13_ranked_search,
 }
 
