@@ -248,8 +248,10 @@ def deduce(pages: DataFrame) -> DataFrame:
         F.max("is_text").alias("is_text"), F.count("*").alias("support"), F.sum("n").alias("n"), F.avg("first").alias("first"),
         part(1).alias("v1"), part(2).alias("v2"), F.sum("chars").alias("chars"), F.sum("links").alias("links"),
     )
+    by_token = written(by_token, "page-tokens")  # read several times below
     filled = pages.where(F.length("html") > 0)
     hosts = filled.groupBy("host").agg(F.count("*").alias("pages"), F.approx_count_distinct(F.xxhash64("html")).alias("distinct"))
+    hosts = written(hosts, "page-hosts")
     rows = by_token.join(hosts, "host").where((F.col("support") >= SUPPORT * F.col("pages")) | (F.col("links") > LINKS * F.col("chars")))
     often = (F.col("support") >= SUPPORT * F.col("pages")) & (F.col("distinct") >= LEAST)
     sizes = rows.where(often).groupBy("host", "v1", "v2").agg(F.count("*").alias("size"), (F.min("n") == F.min("pages")).alias("once"), F.first("support").alias("on"), F.first("pages").alias("of"))
