@@ -86,11 +86,17 @@ def anchor(text: Column) -> Column:
     )
 
 
+def folded(gram: Column) -> Column:
+    """Three characters, each lower-cased alone: what a letter becomes must not depend on its neighbours, which a query's text cuts off."""
+    each = F.concat(*[F.lower(F.substring(gram, k, 1)) for k in (1, 2, 3)])
+    return F.when(F.octet_length(gram) == 3, F.lower(gram)).otherwise(each)
+
+
 def trigrams(text: Column) -> Column:
-    """Distinct lower-case 3-grams in order of first place."""
-    low = F.lower(text)
+    """Distinct 3-grams, folded, in order of first place."""
     # An empty match at every place whose lookahead captures three characters: linear in the line.
-    return F.array_distinct(F.regexp_extract_all(low, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+    grams = F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+    return F.array_distinct(F.transform(grams, folded))
 
 
 def query_trigrams(text: Column) -> Column:

@@ -13,9 +13,9 @@ from .fixtures import FILES_V1, FILES_V2, LINES_V1, files_v1, files_v2, lines_of
 
 QUERIES, ORACLES = {}, {}
 #: Query lists: frequent and rare phrases, and ones that no trigram helps.
-LITERALS = [(1, "the "), (2, "MIT License"), (3, "ation of"), (4, "Ing "), (5, "qui"), (6, "ung und"), (7, "no such line"), (8, "entre."), (9, "the"), (10, "and ou")]
+LITERALS = [(1, "the "), (2, "MIT License"), (3, "ation of"), (4, "Ing "), (5, "qui"), (6, "ung und"), (7, "no such line"), (8, "entre."), (9, "the"), (10, "and ou"), (11, "ΟΔΟΣ")]
 SHORT = [(21, "q."), (22, "ß"), (23, "Th")]
-REGEXES = [(31, "th(at|is|em) [a-z]+ing"), (32, "^Released under"), (33, "[0-9]{3}-[0-9]{4}"), (34, "(der|die|das) [a-z]*ung"), (35, "li?cense"), (36, "a.c.e")]
+REGEXES = [(31, "th(at|is|em) [a-z]+ing"), (32, "^Released under"), (33, "[0-9]{3}-[0-9]{4}"), (34, "(der|die|das) [a-z]*ung"), (35, "li?cense"), (36, "a.c.e"), (37, r"\p{L}+heit und"), (38, r"\QMIT L\E[i-k]cense")]
 WORDS = [(41, "license MIT"), (42, "thation edition"), (43, "the and"), (44, "MitLicense eauxion"), (45, "und der die")]
 
 
