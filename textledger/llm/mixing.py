@@ -148,12 +148,12 @@ def pareto_take(rows: DataFrame, wanted: DataFrame, seed: str = "mix") -> DataFr
 
 
 def mix(
-    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = "mix", **shares
+    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = "mix", keep: tuple[str, ...] = (), **shares
 ) -> DataFrame:
-    """Per document: id, source, size, source_size, target, copies."""
+    """Per document: id, source, size, source_size, target, copies; keep: more columns of docs, such as a key of its rows, named unlike these."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     who = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = written(docs.select(F.col(id_col).alias("id"), who.alias("who"), F.col(source_col).alias("source"), size.alias("size")), "mix-sizes")
+    rows = written(docs.select(F.col(id_col).alias("id"), who.alias("who"), F.col(source_col).alias("source"), size.alias("size"), *keep), "mix-sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     return pareto_take(rows, written(targets(sizes, **shares), "mix-targets"), seed)
 
