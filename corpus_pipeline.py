@@ -1,4 +1,11 @@
-"""A corpus pipeline: quality, near-duplicates, benchmark passages, secrets, mixture."""
+"""A corpus pipeline: quality, near-duplicates, benchmark passages, secrets, mixture.
+
+Defined results: a document is a row, whatever its id. Ids may be null or repeat; two rows with one id, or
+with none, are kept, dropped and copied each on its own. Of a group of near-duplicates the row with the least id
+stays, rows without id last, and of rows with one id any. Null, empty and word-free texts are no duplicates,
+hold no passages and secrets, and have no words for the mixture to take, so its last stage leaves them out.
+Texts are read whole. Empty tables give none. Of other columns none is kept.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +18,12 @@ from textledger.llm import cotraining, fm_index, minhash, mixing, secrets
 from textledger.llm.common import delete, shared_path, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+ROW = "_row"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written, so that every reading has the same."""
+    return written(docs.select(*COLUMNS).withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +33,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the least id, of each group of near-duplicates (five words, 0.8)."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("id")).distinct().hint("shuffle_hash")
-    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    rows = keyed(docs)
+    groups = minhash.near_duplicates(rows, id_col=ROW).select(ROW, "component_id")
+    named = groups.join(rows.select(ROW, "doc_id").hint("shuffle_hash"), ROW)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))
+    kept = named.groupBy("component_id").agg(first.alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return rows.join(kept.hint("shuffle_hash"), ROW, "left_semi").select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +57,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mixture takes, with how many copies of each."""
-    taken = written(mixing.mix(docs).where("copies > 0").groupBy("id").agg(F.max("copies").alias("copies")), "mixture")
-    rows = docs.select(*COLUMNS).join(taken.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")))
-    return rows.select(*COLUMNS, "copies")
+    rows = keyed(docs)
+    taken = mixing.mix(rows, keep=(ROW,)).where("copies > 0").select(ROW, "copies")
+    return rows.join(taken.hint("shuffle_hash"), ROW).select(*COLUMNS, "copies")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
