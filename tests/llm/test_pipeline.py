@@ -1,7 +1,7 @@
 """The pipeline's stages against brute force on the smallest tables."""
 
 import corpus_pipeline as P
-from textledger.llm import cotraining, fm_index
+from textledger.llm import cotraining, fm_index, mixing
 from textledger.llm.common import table, written
 
 SF = "/root/testdata/sf0.001"
@@ -53,6 +53,28 @@ def test_awkward_rows(spark):
     P.STAGES[-1][1](spark, docs, SF).collect()
 
 
+def test_one_row_of_each_group(spark):
+    """Rows are told apart, whatever their ids."""
+    words = [f"w{k}" for k in range(60)]
+    body, other = " ".join(words), " ".join(f"v{k}" for k in range(60))
+    rows = [(1, body, "a"), (1, body, "b"), (2, body, "c"), (None, body, "d"), (None, other, "e"), (5, f"{other} more", "f"), (7, "", "g"), (7, None, "h"), (None, "", "i"), (3, "lone words here", "j"), (3, "other words there", "k")]
+    docs = spark.createDataFrame([(i, t, n, "s", 0) for i, t, n in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(r.lang for r in P.near_duplicates(spark, docs, SF).collect())
+    assert got in (["a", "f", "g", "h", "i", "j", "k"], ["b", "f", "g", "h", "i", "j", "k"])
+
+
+def test_mixture_meets_its_targets(spark):
+    """Half of the rows without id, ids that repeat: each row has its own copies, and the sources come near their targets."""
+    rows = [(k % 50 if k % 2 else None, " ".join(["x"] * (1 + k % 37)), "en", f"s{k % 3}", 0) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = P.mixture(spark, docs, SF).collect()
+    taken, target = {}, {r.source: r.target for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + r.copies * len(r.text.split())
+    assert len(got) <= len(rows) and set(taken) == set(target)
+    assert all(abs(taken[s] - target[s]) <= 19 for s in target)
+
+
 def test_empty_tables(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         table(spark, SF, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
