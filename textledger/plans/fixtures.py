@@ -173,3 +173,20 @@ FRAGMENTS = f"""fragments AS (SELECT l_orderkey AS change_id, seq, (coalesce(sum
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + gap)::BIGINT AS pos, old_n, l_suppkey % 6 + CASE WHEN old_n = 0 THEN 1 ELSE 0 END AS new_n
   FROM (SELECT *, floor(l_quantity)::BIGINT % 6 AS old_n, l_partkey % 20 AS gap,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(ORDER_LI)}) AS seq FROM lineitem))"""
+
+
+def file_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of changes of 500 files from orders: edits, moves over and away, removals, re-creations, binary changes."""
+    slot, kind = F.col("o_orderkey") % 500, F.floor(F.col("o_orderkey") / 7) % 23
+    version = lambda n: F.concat(F.lit("v"), n.cast("string"))
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("change_id"), F.concat(F.lit("f"), slot.cast("string")).alias("path"),
+        F.when(kind == 3, F.concat(F.lit("f"), ((slot + 1 + F.col("o_custkey") % 50) % 500).cast("string"))).alias("from_path"),
+        kind.isin(6, 7).alias("created"), (kind == 5).alias("removed"), (kind == 9).alias("binary"),
+        version(F.col("o_custkey") % 2).alias("v_before"), version(F.floor(F.col("o_custkey") / 2) % 2).alias("v_after"),
+    )
+
+
+FILE_LOG = """file_log AS (SELECT o_orderkey AS change_id, 'f' || (o_orderkey % 500) AS path,
+  CASE WHEN kind = 3 THEN 'f' || ((o_orderkey % 500 + 1 + o_custkey % 50) % 500) END AS from_path, kind IN (6, 7) AS created, kind = 5 AS removed, kind = 9 AS binary_,
+  'v' || (o_custkey % 2) AS v_before, 'v' || (o_custkey // 2 % 2) AS v_after FROM (SELECT *, o_orderkey // 7 % 23 AS kind FROM orders))"""

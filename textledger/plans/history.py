@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import history as H
+from ..operators import lifelines as L
 from ..operators import reconcile as R
-from .fixtures import CHANGES, FILES_V1, FILES_V2, FRAGMENTS, changes, files_v1, files_v2, files_v3, fragments, lines_of, table
+from ..sources.tables import durable
+from .fixtures import CHANGES, FILE_LOG, FILES_V1, FILES_V2, FRAGMENTS, changes, file_log, files_v1, files_v2, files_v3, fragments, lines_of, table
 from .snapshots import MOVES
 
 QUERIES, ORACLES = {}, {}
@@ -96,6 +98,39 @@ def map_range(spark, d):
     return H.map_ranges(refs, frags)
 
 
+LAMBDA = {
+    "hit": "len(list_filter(fr, lambda f: CASE WHEN lo = hi THEN (f.o > 0 AND f.p < lo AND lo < f.p + f.o) OR (f.o = 0 AND f.p = lo) ELSE (f.o > 0 AND f.p < hi AND f.p + f.o > lo) OR (f.o = 0 AND lo < f.p AND f.p < hi) END)) > 0",
+    "lo1": "coalesce(list_max(list_transform(list_filter(fr, lambda f: f.p < lo AND lo < f.p + f.o), lambda f: f.p + f.s)), lo + coalesce(list_sum(list_transform(list_filter(fr, lambda f: f.p + f.o <= lo AND (f.o > 0 OR f.p <= lo)), lambda f: f.n - f.o)), 0))::BIGINT",
+    "hi1": "coalesce(list_max(list_transform(list_filter(fr, lambda f: f.p < hi AND hi < f.p + f.o), lambda f: f.p + f.s + f.n)), hi + coalesce(list_sum(list_transform(list_filter(fr, lambda f: f.p + f.o <= hi AND (f.o > 0 OR f.p < hi)), lambda f: f.n - f.o)), 0))::BIGINT",
+}
+#: Each step takes the next change of the path that a reference is at.
+FOLLOW = f"""{FILE_LOG}, {SHIFTED}, {HOP_REFS},
+spots AS (SELECT path, change_id FROM file_log UNION SELECT from_path, change_id FROM file_log WHERE from_path IS NOT NULL),
+chain AS (SELECT path, change_id, lead(change_id) OVER (PARTITION BY path ORDER BY change_id) AS next FROM spots),
+fr AS (SELECT change_id, list({{'p': pos, 'o': old_n, 'n': new_n, 's': shift}} ORDER BY seq) AS fr FROM sh GROUP BY change_id),
+ev AS (SELECT l.*, coalesce(fr, []) AS fr, (SELECT min(c.change_id) FROM spots c WHERE c.path = l.path AND c.change_id > l.change_id) AS target_next FROM file_log l LEFT JOIN fr USING (change_id)),
+walk AS (
+  SELECT ref_id, path, chain.next AS cur, lo, hi, false AS removed, -1::BIGINT AS gone, '' AS gone_v, []::BIGINT[] AS ov
+    FROM hr JOIN chain ON chain.change_id = hr.change_id AND chain.path = 'f' || (hr.change_id % 500)
+  UNION ALL
+  SELECT w.ref_id, CASE WHEN away THEN e.path ELSE w.path END, CASE WHEN away THEN target_next ELSE chain.next END,
+    CASE WHEN edit THEN lo1 ELSE lo END, CASE WHEN edit THEN CASE WHEN lo = hi THEN lo1 ELSE hi1 END ELSE hi END,
+    CASE WHEN w.removed OR drops THEN e.removed ELSE false END,
+    CASE WHEN drops THEN e.change_id ELSE gone END, CASE WHEN drops THEN e.v_before ELSE gone_v END,
+    CASE WHEN w.removed AND e.created AND NOT e.binary_ AND e.v_after = gone_v THEN list_filter(ov, lambda x: x <> gone)
+      WHEN w.removed OR (NOT away AND (NOT edit OR hit)) THEN list_append(ov, e.change_id) ELSE ov END
+  FROM (SELECT w.*, {LAMBDA['hit']} AS hit, {LAMBDA['lo1']} AS lo1, {LAMBDA['hi1']} AS hi1, e.from_path IS NOT DISTINCT FROM w.path AS away,
+      NOT w.removed AND e.from_path IS NULL AND NOT e.binary_ AND NOT e.removed AS edit, NOT w.removed AND e.from_path IS NULL AND NOT e.binary_ AND e.removed AS drops
+    FROM walk w JOIN ev e ON e.change_id = w.cur) w JOIN ev e ON e.change_id = w.cur JOIN chain ON chain.change_id = w.cur AND chain.path = w.path)"""
+
+
+@query("map_range_moves", f'WITH RECURSIVE {FOLLOW} SELECT ref_id, path, lo, hi, ov AS "overlaps", removed FROM walk WHERE cur IS NULL')
+def map_range_moves(spark, d):
+    """References into versions of 500 files, carried through all later changes wherever the files went."""
+    refs = hop_refs(spark, d).select("ref_id", F.concat(F.lit("f"), (F.col("change_id") % 500).cast("string")).alias("path"), F.col("change_id").alias("since"), "lo", "hi")
+    return L.followed(refs, file_log(spark, d), fragments(spark, d))
+
+
 def versions(spark, d):
     """(path, change_id, content, v_after, v_before): a conversation's turns as versions of one file."""
     w = Window.partitionBy("conv_id").orderBy("turn", "text")
@@ -214,10 +249,28 @@ def undo_plan(spark, d):
     return planned(spark, d)[1]
 
 
+def edit_log(spark, d):
+    """The edits from the first snapshot to the second and on to the third as a log: (changes, fragments), two changes of a path at most."""
+    parts = []
+    for k, p in enumerate((pairs(spark, d), later_pairs(spark, d))):
+        parts.append(H.line_diff(p).withColumn("change_id", 2 * F.crc32("path") + k))
+    frags = durable(parts[0].unionByName(parts[1]))
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    log = frags.select("change_id", "path", none.alias("from_path"), no.alias("created"), no.alias("removed"), no.alias("binary"), none.alias("v_before"), none.alias("v_after")).distinct()
+    return log, frags.drop("path")
+
+
+@query("undo_plan_changes")
+def undo_plan_changes(spark, d):
+    """What an undo of each edit of a log would do to the third snapshot's files, conflicts by the numbers of later changes."""
+    log, frags = edit_log(spark, d)
+    return L.undo_plans(log, frags, lines_of(files_v3(spark, d)))
+
+
 @query("undo_preview")
 def undo_preview(spark, d):
     """Hunks of the undo before and after in files without a conflict, with the version that it gives."""
-    frags, plan = planned(spark, d)
+    frags, plan = (durable(x) for x in planned(spark, d))  # diffs are used several times
     todo = H.undo_fragments(plan, frags)
     lines = lines_of(files_v3(spark, d)).join(todo.select("path").distinct(), "path", "left_semi")
     after = text_of(H.apply_fragments(lines, todo)).select("path", T.content_version(F.col("text")).alias("version"))
