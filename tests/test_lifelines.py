@@ -10,12 +10,12 @@ from textledger.operators import lifelines as L
 CHANGE = "change_id long, path string, from_path string, created boolean, removed boolean, binary boolean, v_before string, v_after string"
 
 
-def log_of(seed, n=160, paths="abcdef"):
+def log_of(seed, n=160, paths="abcdef", version=lambda lines: str(hash(tuple(lines)))):
     """Changes with fragments of lines, and the files that they lead to."""
     rng, files, changes, frags = random.Random(seed), {}, [], {}
     for c in range(1, n):
         path = rng.choice(paths)
-        v = lambda lines: None if lines is None else str(hash(tuple(lines)))
+        v = lambda lines: None if lines is None else version(lines)
         old = files.get(path)
         kind = rng.random()
         row = dict(change_id=c, path=path, from_path=None, created=False, removed=False, binary=False, v_before=v(old), v_after=None)

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import history as H
 from ..operators import lifelines as L
 from ..operators import reconcile as R
+from ..operators import versions as V
 from ..sources.tables import durable
 from .fixtures import CHANGES, FILE_LOG, FILES_V1, FILES_V2, FRAGMENTS, changes, file_log, files_v1, files_v2, files_v3, fragments, lines_of, table
 from .snapshots import MOVES
@@ -260,6 +261,33 @@ def edit_log(spark, d):
     return log, frags.drop("path")
 
 
+@query(
+    "find_versions",
+    f"""WITH {FILES_V1}, {FILES_V2}, m AS (SELECT a.path AS src, b.path AS path, a.content FROM files_v1 a JOIN files_v2 b ON b.path = 'archive' || a.path[5:]),
+e AS (SELECT path, substr(sha256(a.content), 1, 6) AS v, a.content, a.content = b.content AS same FROM files_v1 a JOIN files_v2 b USING (path))
+SELECT path AS req_id, CASE WHEN same THEN 'current' ELSE 'found' END AS status, path, sha256(content) AS hash FROM e
+UNION ALL SELECT path, 'current', path, sha256(content) FROM m UNION ALL SELECT src, 'found', src, sha256(content) FROM m""",
+)
+def find_versions(spark, d):
+    """The first snapshot's contents of the files that the second still has, moved or edited, by their versions.
+
+    Each file is asked for where it is now; a moved one also by the path that it left.
+    """
+    old, new = files_v1(spark, d).select("path", "content"), files_v2(spark, d).select("path", "content")
+    moved = old.select("path", "content").withColumn("to", F.concat(F.lit("archive"), F.substring("path", 5, 1 << 20))).join(new.select(F.col("path").alias("to")), "to")
+    version = lambda c: T.content_version(F.col(c))
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    move_log = moved.select(F.col("to").alias("path"), F.col("path").alias("from_path"), version("content").alias("v_before"), version("content").alias("v_after"))
+    edited = old.join(new.select("path", F.col("content").alias("now")), "path")
+    edit_log = edited.where("content <> now").select("path", none.alias("from_path"), version("content").alias("v_before"), version("now").alias("v_after"))
+    log = durable(move_log.unionByName(edit_log).withColumns({"created": no, "removed": no, "binary": no, "change_id": F.monotonically_increasing_id() + 1}))
+    frags = H.line_diff(pairs(spark, d)).join(log.where("from_path is null").select("path", "change_id"), "path").drop("path")
+    here = edited.select("path", version("content").alias("v")).unionByName(moved.select(F.col("to").alias("path"), version("content").alias("v")))
+    asked = here.unionByName(moved.select("path", version("content").alias("v"))).withColumn("req_id", F.col("path"))
+    found = V.reconstructed(asked, log, frags, new)
+    return found.select("req_id", "status", "path", F.sha2("content", 256).alias("hash"))
+
+
 @query("undo_plan_changes")
 def undo_plan_changes(spark, d):
     """What an undo of each edit of a log would do to the third snapshot's files, conflicts by the numbers of later changes."""
