@@ -65,7 +65,7 @@ def test_against_duckdb(spark, duck, name):
     oracle.same(queries.QUERIES[name](spark, SF), duck, queries.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", ["op3_mixing", "op4_decontamination", "op5_secret_scan", "op2_warc"])
+@pytest.mark.parametrize("name", ["op3_mixing", "op4_decontamination", "op5_secret_scan", "op2_warc", "op13_ranked_search"])
 def test_awkward_rows_against_duckdb(spark, odd, name):
     oracle.same(queries.QUERIES[name](spark, odd), oracle.connect(odd.removeprefix("file://")), queries.ORACLES[name])
 
@@ -75,7 +75,7 @@ def test_empty_tables(spark, empty, name):
     assert queries.QUERIES[name](spark, empty).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op3_mixing", "op4_decontamination", "op5_secret_scan", "op6_substring_dedup", "op8_near_dedup", "op9_token_counts", "op10_quality"])
+@pytest.mark.parametrize("name", ["op3_mixing", "op4_decontamination", "op5_secret_scan", "op6_substring_dedup", "op8_near_dedup", "op9_token_counts", "op10_quality", "op11_periodic_runs"])
 def test_a_row_for_each_row(spark, odd, name):
     assert queries.QUERIES[name](spark, odd).count() == 15
 
@@ -370,6 +370,31 @@ def test_passages_whose_pieces_occur_earlier(spark):
     assert all(p in got.get(i, ()) for i, p in want.items())
 
 
+@pytest.mark.parametrize("agree", [0.8, 0.85, 0.9])
+def test_fuzzy_passages_whose_pieces_occur_earlier(spark, agree):
+    """Two documents share 60 words, some of them changed in the later; all words also stand in earlier documents, in overlapping pieces of 24."""
+    rng = random.Random(12)
+    text = lambda n: [f"t{rng.randrange(10**8)}" for _ in range(n)]
+    shared = [text(60) for _ in range(100)]
+    rows = [text(40) + p[a : a + 24] + text(40) for p in shared for a in range(0, 60, 7)]
+    rows += [text(80) + p + text(80) for p in shared]
+    later = len(rows)
+    for p in shared:
+        changed = set(rng.sample(range(60), round(60 * (1 - agree))))
+        rows.append(text(70) + [w if k not in changed else f"new{rng.randrange(10**8)}" for k, w in enumerate(p)] + text(70))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc for r in chaining.repeated_passages(docs).collect()}
+    print(f"{agree}: {len(got)} of 100 found")
+    assert min(got) >= later and len(got) >= 90
+
+
+def test_passages_within_a_document(spark):
+    body = [f"u{k}" for k in range(120)]
+    docs = spark.createDataFrame([(1, " ".join(body + body)), (2, " ".join(f"v{k}" for k in range(200)))], "doc_id long, text string")
+    assert chaining.repeated_passages(docs).isEmpty()
+    assert [tuple(r) for r in chaining.repeated_passages(docs, within=True).collect()] == [(1, 120, 240, 1, 0, 120, 120)]
+
+
 def test_passage_of_scattered_pieces(spark):
     """Six documents each hold one 30-word piece of the 180 words that two later ones share."""
     rng = random.Random(15)
