@@ -10,8 +10,8 @@ each get their row back; an empty table gives no rows; other columns are ignored
 whole whatever its length. Copies, a third of all rows or more, are scanned once: the blob keys are
 pre-aggregated before they are shuffled, and blobs that hold more than 1 / HOT of all rows, of which
 there are less than HOT, are dealt over SALTS keys wherever rows meet by blob. An update's number comes
-from the ledger's folder; its paths replace themselves if it is repeated, and pairs that the ledger has
-are never scanned again.
+from the ledger's folder; its paths are recorded last, so an update that died is not there and is done
+again by the next one, and pairs that the ledger has are never scanned again.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dealt, shared_path, table
+from .common import dealt, delete, shared_path, table
 
 
 @dataclass(frozen=True)
@@ -126,9 +126,10 @@ class BlobLedger:
         """Records the versions and scans what is new. Returns the (id, blob) rows of these versions."""
         rows = versions.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         rows = rows.withColumn("blob", F.sha2(F.col("text"), 256))
-        at = f"{self.path}/paths/update={self.updates:06d}"
-        rows.select("id", "blob").write.mode("overwrite").parquet(at)
-        paths = self.spark.read.schema(rows.select("id", "blob").schema).parquet(at)
+        kind = rows.select("id", "blob").schema
+        pending, at = (f"{self.path}/{folder}/update={self.updates:06d}" for folder in ("pending", "paths"))
+        rows.select("id", "blob").write.mode("overwrite").parquet(pending)
+        paths = self.spark.read.schema(kind).parquet(pending)
 
         pairs = paths.groupBy("blob").agg(F.min("id").alias("id"))
         pairs = pairs.withColumn("rule", F.explode(F.array(*[F.lit(r.key) for r in self.rules])))
@@ -151,8 +152,11 @@ class BlobLedger:
         # Rows that repeat id and text were both scanned; the ledger keeps one row.
         found = found.where("spans is not null").groupBy("blob", "rule").agg(F.first("spans").alias("spans"))
         found.write.mode("append").parquet(f"{self.path}/scanned")
+        # Only now, so that what the ledger lists as recorded has been scanned.
+        paths.write.mode("overwrite").parquet(at)
+        delete(pending, self.spark)
         self.updates += 1
-        return paths
+        return self.spark.read.schema(kind).parquet(at)
 
     def findings(self, paths: DataFrame) -> DataFrame:
         """(id, blob, one span array for each rule kind) for every row of paths."""
