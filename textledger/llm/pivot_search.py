@@ -16,8 +16,8 @@ second pass a group's annuli are dealt over a few segments, each with its own k
 joins all. Bounds have a margin for rounding; scores are exact integers.
 
 Defined results: rows without id, without vector, or with a null, NaN or infinite component take no
-part; a shorter vector counts as padded with zeros; each row of an id that repeats is a candidate;
-as a query such an id has its least vector; no query meets rows of its own id; fewer than k
+part; a shorter vector counts as padded with zeros; in op1_topk_search each row of an id that repeats is a
+query and a candidate of its own, for its twins too; top_k() itself takes unique ids; fewer than k
 candidates are all returned; an empty table gives no rows; other columns are ignored. Scores must fit 63 bits.
 """
 
@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..operators.history import numbered
 from .common import table, written
 
 PIVOTS = 32
@@ -314,16 +315,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), quantised(F.col("embedding")).alias("v"))
-    rows = rows.where("id is not null and v is not null")
-    queries = rows.where("pmod(id, 20) = 0").groupBy("id").agg(F.min("v").alias("v"))
-    return top_k(rows, queries)
+    rows = numbered(rows.where("id is not null and v is not null"), 0, ["id", "v"])
+    rows = written(rows.select("seq", F.col("id").alias("vec_id"), "v"), "vectors")
+    # In order of ids, so that ties go to the smaller id.
+    vectors = rows.select(F.col("seq").alias("id"), "v")
+    found = top_k(vectors, rows.where("pmod(vec_id, 20) = 0").select(F.col("seq").alias("id"), "v"))
+    names = rows.select("seq", "vec_id")
+    found = found.join(names.withColumnRenamed("seq", "query_id").withColumnRenamed("vec_id", "query"), "query_id")
+    found = found.withColumnRenamed("vec_id", "seq").join(names, "seq")
+    return found.select(F.col("query").alias("query_id"), "rank", "vec_id", "score")
 
 
 OP1_SQL = """
-WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+WITH e AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-  FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+s AS (SELECT q.n, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM e q JOIN e c ON q.n <> c.n WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20"""
