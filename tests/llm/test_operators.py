@@ -90,6 +90,14 @@ def test_top_k_on_awkward_vectors(spark, odd):
         assert got[q] == want
 
 
+def test_top_k_of_repeated_ids(spark, tmp_path):
+    """Each row of an id is a query and a candidate of its own."""
+    rng = np.random.RandomState(5)
+    rows = [(int(i) * 10, [float(x) for x in rng.randn(3)]) for i in rng.randint(0, 12, 60)]
+    spark.createDataFrame(rows + rows[:5], "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    oracle.same(pivot_search.op1_topk_search(spark, f"file://{tmp_path}"), oracle.connect(str(tmp_path)), pivot_search.OP1_SQL)
+
+
 def test_top_k_against_brute_force(spark):
     rng = np.random.RandomState(1)
     centres = rng.randint(-60, 60, (6, 8))
@@ -319,6 +327,29 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, large):
     assert len(set(got.values())) > 3
 
 
+def test_a_died_update_is_not_clean(spark, tmp_path, monkeypatch):
+    """An update that ends before its scans are written leaves nothing behind that reads as scanned."""
+    from pyspark.sql import DataFrameWriter
+
+    docs = spark.createDataFrame([(1, "token=abcdefghijklmnop"), (2, "nothing")], "doc_id long, text string")
+    write, at = DataFrameWriter.parquet, f"file://{tmp_path}/ledger"
+
+    def dies(self, path, *a, **b):
+        if path.endswith("scanned"):
+            raise RuntimeError("died")
+        return write(self, path, *a, **b)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", dies)
+    with pytest.raises(RuntimeError):
+        secrets.BlobLedger(spark, at).update(docs)
+    monkeypatch.setattr(DataFrameWriter, "parquet", write)
+    assert not os.path.exists(f"{tmp_path}/ledger/paths")
+    ledger = secrets.BlobLedger(spark, at)
+    assert ledger.updates == 0
+    found = {r.id: len(r["assign"]) for r in ledger.findings(ledger.update(docs)).collect()}
+    assert found == {1: 1, 2: 0} and secrets.BlobLedger(spark, at).updates == 1
+
+
 def test_passages(spark):
     rng = random.Random(6)
     text = lambda n: [f"p{rng.randrange(3000)}" for _ in range(n)]
