@@ -66,25 +66,38 @@ def replaced(index: DataFrame, fresh: DataFrame, changed: DataFrame) -> DataFram
     return index.join(changed, changed.columns, "left_anti").unionByName(fresh)
 
 
-def candidates(needles: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, clause, path, chunk_no) of the chunks that have all of a clause's trigrams joined here.
+def wanted_trigrams(needles: DataFrame) -> DataFrame:
+    """(query_id, clause, tri), each once, of needles (query_id, clause, literal)."""
+    return needles.select("query_id", "clause", F.explode(T.query_trigrams(F.col("literal"))).alias("tri")).distinct()
 
-    needles: (query_id, clause, literal).
-    """
-    wanted = needles.select("query_id", "clause", F.explode(T.query_trigrams(F.col("literal"))).alias("tri")).distinct()
-    df = index.join(wanted.select("tri").distinct(), "tri", "left_semi").groupBy("tri").agg(F.count("*").alias("df"))
+
+def rarest(wanted: DataFrame, df: DataFrame) -> DataFrame:
+    """The RAREST trigrams of each clause by frequencies (tri, df), ties to the smaller trigram."""
     ranked = wanted.join(df, "tri", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rare = Window.partitionBy("query_id", "clause").orderBy("df", "tri")
-    ranked = ranked.withColumn("r", F.row_number().over(rare)).where(F.col("r") <= RAREST)
+    return ranked.withColumn("r", F.row_number().over(rare)).where(F.col("r") <= RAREST)
+
+
+def holding(ranked: DataFrame, index: DataFrame) -> DataFrame:
+    """(query_id, clause, path, chunk_no) of the chunks that have all of a clause's trigrams in ranked."""
     need = ranked.groupBy("query_id", "clause").agg(F.count("*").alias("need"))
     hits = ranked.select("query_id", "clause", "tri").join(index, "tri").groupBy("query_id", "clause", "path", "chunk_no").agg(F.count("*").alias("n"))
     return hits.join(need, ["query_id", "clause"]).where("n = need").select("query_id", "clause", "path", "chunk_no")
 
 
+def candidates(needles: DataFrame, index: DataFrame) -> DataFrame:
+    """(query_id, clause, path, chunk_no) of the chunks that have all of a clause's trigrams joined here.
+
+    needles: (query_id, clause, literal).
+    """
+    wanted = wanted_trigrams(needles)
+    df = index.join(wanted.select("tri").distinct(), "tri", "left_semi").groupBy("tri").agg(F.count("*").alias("df"))
+    return holding(rarest(wanted, df), index)
+
+
 def verified(found: DataFrame, chunks: DataFrame, queries: DataFrame, match: Column) -> DataFrame:
-    """(query_id, path, line_no, text) of candidate chunks' lines that match. match uses columns text and pattern."""
-    spots = found.select("query_id", "path", "chunk_no").distinct()
-    rows = chunks.join(spots, ["path", "chunk_no"]).join(queries.select("query_id", F.col("text").alias("pattern")), "query_id")
+    """(query_id, path, line_no, text) of lines that match in candidate chunks (query_id, path, chunk_no), each once. match uses columns text and pattern."""
+    rows = chunks.join(found, ["path", "chunk_no"]).join(queries.select("query_id", F.col("text").alias("pattern")), "query_id")
     return lines_in(rows, "query_id", "pattern").where(match).select("query_id", "path", "line_no", "text")
 
 
@@ -96,12 +109,20 @@ def regex_match() -> Column:
     return F.expr("text rlike pattern")
 
 
+def spots(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "path", "chunk_no").distinct()
+
+
+def literal_needles(queries: DataFrame) -> DataFrame:
+    """(query_id, clause, literal) of the queries that have a trigram."""
+    return queries.where(F.length("text") >= 3).select("query_id", F.lit(0).alias("clause"), F.col("text").alias("literal"))
+
+
 def search_literal(queries: DataFrame, chunks: DataFrame, index: DataFrame, within: Column | None = None) -> DataFrame:
     """Hits of literals of at least three characters; within: a condition on path."""
     if within is not None:
         chunks, index = chunks.where(within), index.where(within)
-    needles = queries.where(F.length("text") >= 3).select("query_id", F.lit(0).alias("clause"), F.col("text").alias("literal"))
-    return verified(candidates(needles, index), chunks, queries, literal_match())
+    return verified(spots(candidates(literal_needles(queries), index)), chunks, queries, literal_match())
 
 
 def search_scan(queries: DataFrame, lines: DataFrame, match: Column) -> DataFrame:
@@ -129,7 +150,7 @@ def search_regex(queries: DataFrame, patterns: list[tuple[int, str]], chunks: Da
     """Hits of regular expressions: by required literals where there are any, by a scan otherwise."""
     rows, scans = regex_needles(patterns)
     needles = chunks.sparkSession.createDataFrame(rows, "query_id long, clause int, literal string")
-    indexed = verified(candidates(needles, index), chunks, queries, regex_match())
+    indexed = verified(spots(candidates(needles, index)), chunks, queries, regex_match())
     return indexed.unionByName(search_scan(queries.where(F.col("query_id").isin(scans)), lines_in(chunks), regex_match()))
 
 
@@ -178,17 +199,22 @@ def bm25(queries: DataFrame, postings: DataFrame, stats: DataFrame, within: Colu
     within: a condition on path for the files listed; frequencies and lengths are those of all files.
     """
     words = phrases(queries)
+    df = postings.join(words.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    totals = stats.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    return scored(words, postings.join(words.select("token").distinct(), "token", "left_semi").join(stats, "path"), df, totals, within)
+
+
+def scored(words: DataFrame, postings: DataFrame, df: DataFrame, totals: DataFrame, within: Column | None = None) -> DataFrame:
+    """bm25 of phrases' words over postings (token, path, tf, dl), frequencies (token, df) and totals (n_docs, avgdl), one row."""
     hits = words.join(postings if within is None else postings.where(within), "token")
     parts = words.where("kind = 'part'").groupBy("query_id", "term_no").agg(F.countDistinct("token").alias("need"))
     by_term = hits.groupBy("query_id", "term_no", "path").agg(
         F.max(F.col("kind") == "whole").alias("whole"), F.countDistinct(F.when(F.col("kind") == "part", F.col("token"))).alias("have")
     )
     selected = by_term.join(parts, ["query_id", "term_no"], "left").where("whole or have = need").select("query_id", "path").distinct()
-    df = postings.join(words.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-    totals = stats.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))  # one row
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     idf = df.crossJoin(totals).select("token", idf.alias("idf"), "avgdl")
-    one = hits.select("query_id", "path", "token", "tf").distinct().join(selected, ["query_id", "path"]).join(idf, "token").join(stats, "path")
+    one = hits.select("query_id", "path", "token", "tf", "dl").distinct().join(selected, ["query_id", "path"]).join(idf, "token")
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return one.groupBy("query_id", "path").agg(F.round(F.sum(weight), 6).alias("score"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import registered
 from ..functions import text as T
 from ..operators import search as S
+from ..operators import stored_search
 from ..operators.corpus import matches_globs
 from ..sources.tables import file_versions, work_path
 from .fixtures import FILES_V1, FILES_V2, LINES_V1, files_v1, files_v2, lines_of
@@ -46,23 +47,21 @@ HITS = f"hits AS (SELECT query_id::BIGINT AS query_id, path, line_no::INT AS lin
 TRI = "(SELECT path, (line_no - 1) // 256 AS chunk_no, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), i, 3))) AS tri FROM lines WHERE length(text) >= 3)"
 
 
-_stored: dict[tuple, str] = {}
+_stored: dict[tuple, stored_search.Buckets] = {}
 
 
-def stored(spark, d, name: str):
-    """A table for searching, built once for each session and state of the documents' files: chunks, trigrams (sorted), words (sorted)."""
+def stored(spark, d, name: str) -> stored_search.Buckets:
+    """An index (trigrams or words), built once for each session and state of the documents' files."""
     key = (spark.sparkContext.applicationId, d, name, file_versions(spark, f"{d}/documents.parquet"))
     if key not in _stored:
         at = work_path(spark, f"search-{name}")
-        if name == "chunks":
-            rows = S.chunks_of(files_v1(spark, d))
-        elif name == "trigrams":
-            rows = S.trigram_index(stored(spark, d, "chunks")).repartition("tri").sortWithinPartitions("tri")
+        if name == "trigrams":
+            _stored[key] = stored_search.write_trigrams(S.chunks_of(files_v1(spark, d)), at)
         else:
-            rows = S.word_index(files_v1(spark, d)).repartition("token").sortWithinPartitions("token")
-        rows.write.parquet(at)
-        _stored[key] = at
-    return spark.read.parquet(_stored[key])
+            _stored[key] = stored_search.write_words(files_v1(spark, d), at)
+    if _stored[key].spark is not spark:
+        _stored[key] = stored_search.Buckets(spark, _stored[key].at, _stored[key].key)
+    return _stored[key]
 
 
 @query("build_trigram_index", f"WITH {BASE} SELECT DISTINCT tri, path, chunk_no::INT AS chunk_no FROM {TRI}")
@@ -95,18 +94,19 @@ def changed(spark, d):
 def sync_trigram_index(spark, d):
     """The stored index with only the chunks that changed indexed anew."""
     now = S.chunks_of(files_v2(spark, d))
-    touched = S.changed_chunks(stored(spark, d, "chunks"), now)
-    return S.replaced(stored(spark, d, "trigrams"), S.trigram_index(now.join(touched, ["path", "chunk_no"], "left_semi")), touched)
+    index = stored(spark, d, "trigrams")
+    touched = S.changed_chunks(index.chunks(), now)
+    return S.replaced(index.postings(), S.trigram_index(now.join(touched, ["path", "chunk_no"], "left_semi")), touched)
 
 
 @query("sync_word_index", f"WITH {FILES_V2} SELECT token, path, count(*) AS tf FROM {word_sql('files_v2')} GROUP BY ALL")
 def sync_word_index(spark, d):
     touched = changed(spark, d)
-    return S.replaced(stored(spark, d, "words"), S.word_index(files_v2(spark, d).join(touched, "path", "left_semi")), touched)
+    return S.replaced(stored(spark, d, "words").postings().drop("dl"), S.word_index(files_v2(spark, d).join(touched, "path", "left_semi")), touched)
 
 
 def literal_hits(spark, d):
-    return S.search_literal(listed(spark, LITERALS), stored(spark, d, "chunks"), stored(spark, d, "trigrams"))
+    return stored_search.search_literal(listed(spark, LITERALS), stored(spark, d, "trigrams"))
 
 
 @query("search_literal", f"WITH {BASE}, {HITS} SELECT * FROM hits")
@@ -121,7 +121,7 @@ def search_scan(spark, d):
 
 @query("search_regex", f"WITH {BASE} SELECT query_id::BIGINT AS query_id, path, line_no::INT AS line_no, text FROM lines JOIN {values(REGEXES)} ON regexp_matches(text, pattern)")
 def search_regex(spark, d):
-    return S.search_regex(listed(spark, REGEXES), REGEXES, stored(spark, d, "chunks"), stored(spark, d, "trigrams"))
+    return stored_search.search_regex(listed(spark, REGEXES), REGEXES, stored(spark, d, "trigrams"))
 
 
 @query(
@@ -195,7 +195,7 @@ def context_groups(spark, d):
 def dnf_candidates(spark, d):
     """Chunks of either clause: all trigrams of "licens", or all of "mit "."""
     needles = spark.createDataFrame([(1, 0, "licens"), (1, 1, "mit ")], "query_id long, clause int, literal string")
-    return S.candidates(needles, stored(spark, d, "trigrams")).select("path", "chunk_no").distinct()
+    return stored_search.candidates(needles, stored(spark, d, "trigrams")).select("path", "chunk_no").distinct()
 
 
 TERMS = f"""tw AS (SELECT query_id, unnest(regexp_extract_all(pattern, '[\\p{{L}}\\p{{Nd}}]+')) AS w FROM {values(WORDS)}),
@@ -212,8 +212,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p
 
 
 def scores(spark, d):
-    postings = stored(spark, d, "words")
-    return S.bm25(listed(spark, WORDS), postings, S.doc_stats(files_v1(spark, d), postings))
+    return stored_search.bm25(listed(spark, WORDS), stored(spark, d, "words"))
 
 
 @query("search_bm25", f"WITH {FILES_V1}, {TERMS} SELECT * FROM sc")
@@ -229,13 +228,12 @@ def topk_words(spark, d):
 @query("search_bm25_within", f"WITH {FILES_V1}, {TERMS} SELECT * FROM sc WHERE regexp_matches(path, '^docs/src1[^/]*(/.*)?$')")
 def search_bm25_within(spark, d):
     """The ranked search with a glob on paths."""
-    postings = stored(spark, d, "words")
-    return S.bm25(listed(spark, WORDS), postings, S.doc_stats(files_v1(spark, d), postings), matches_globs(F.col("path"), ["docs/src1*"]))
+    return stored_search.bm25(listed(spark, WORDS), stored(spark, d, "words"), matches_globs(F.col("path"), ["docs/src1*"]))
 
 
 @query("search_literal_within", f"WITH {BASE}, {HITS} SELECT * FROM hits WHERE regexp_matches(path, '^docs/[^/]*/en(/.*)?$')")
 def search_literal_within(spark, d):
-    return S.search_literal(listed(spark, LITERALS), stored(spark, d, "chunks"), stored(spark, d, "trigrams"), matches_globs(F.col("path"), ["docs/*/en"]))
+    return stored_search.search_literal(listed(spark, LITERALS), stored(spark, d, "trigrams"), matches_globs(F.col("path"), ["docs/*/en"]))
 
 
 @query("word_function", f"WITH {FILES_V1} SELECT token, count(*) AS n FROM {word_sql('files_v1')} GROUP BY token")
