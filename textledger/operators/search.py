@@ -32,10 +32,16 @@ def chunks_of(files: DataFrame) -> DataFrame:
     return rows.select("path", F.posexplode(parts).alias("chunk_no", "lines"))
 
 
+def first_line(*places: str) -> Column:
+    """The place of a chunk's first line, from 0: the first of places that isn't null, else by its number."""
+    return F.coalesce(*places, F.col("chunk_no") * CHUNK)
+
+
 def lines_in(chunks: DataFrame, *keep: str) -> DataFrame:
-    """(keep, path, line_no, text) of chunks."""
-    rows = chunks.select(*keep, "path", "chunk_no", F.posexplode("lines").alias("i", "text"))
-    return rows.select(*keep, "path", (F.col("chunk_no") * CHUNK + F.col("i") + 1).alias("line_no"), "text")
+    """(keep, path, line_no, text) of chunks; a chunk that has moved or first begins there."""
+    start = first_line(*[c for c in ("moved", "first") if c in chunks.columns])
+    rows = chunks.select(*keep, "path", start.alias("start"), F.posexplode("lines").alias("i", "text"))
+    return rows.select(*keep, "path", (F.col("start") + F.col("i") + 1).alias("line_no"), "text")
 
 
 def trigram_index(chunks: DataFrame) -> DataFrame:

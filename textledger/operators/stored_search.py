@@ -106,6 +106,10 @@ class Buckets:
         rows = self.table("chunks")
         return (rows if parts is None else rows.where(F.col("bucket").isin(parts))).drop("bucket")
 
+    def live(self, rows: DataFrame) -> DataFrame:
+        """rows (path, chunk_no, ...) whose chunks are still there: here all."""
+        return rows
+
 
 def write_layout(spark: SparkSession, at: str, buckets: int) -> None:
     spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{at}/layout")
@@ -151,7 +155,7 @@ def candidates(needles: DataFrame, index: Buckets, within: Column | None = None)
 
 def verified(found: DataFrame, index: Buckets, queries: DataFrame, match: Column) -> DataFrame:
     """(query_id, path, line_no, text) of the lines that match, from the buckets that hold candidates."""
-    found = durable(found.select("query_id", "path", "chunk_no").distinct())
+    found = durable(index.live(found.select("query_id", "path", "chunk_no").distinct()))
     # One row with at most MOST_BUCKETS numbers.
     size = found.agg(F.count("*").alias("n"), F.sum(F.length("path")).alias("chars"), F.collect_set(bucket_of("path", index.buckets)).alias("parts")).first()
     small = size.n <= MOST_ROWS and (size.chars or 0) <= MOST_SENT
@@ -170,7 +174,7 @@ def search_regex(queries: DataFrame, patterns: list[tuple[int, str]], index: Buc
     hits = verified(candidates(needles, index), index, queries, S.regex_match())
     if not scans:
         return hits
-    return hits.unionByName(S.search_scan(queries.where(F.col("query_id").isin(scans)), S.lines_in(index.chunks()), S.regex_match()))
+    return hits.unionByName(S.search_scan(queries.where(F.col("query_id").isin(scans)), S.lines_in(index.live(index.chunks())), S.regex_match()))
 
 
 def bm25(queries: DataFrame, index: Buckets, within: Column | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import search as S
 from ..operators import stored_search
 from ..operators.corpus import matches_globs
+from ..operators.index_updates import FollowedIndex
 from ..sources.tables import file_versions, work_path
 from .fixtures import FILES_V1, FILES_V2, LINES_V1, files_v1, files_v2, lines_of
 
@@ -99,6 +100,17 @@ def sync_trigram_index(spark, d):
     return S.replaced(index.postings(), S.trigram_index(now.join(touched, ["path", "chunk_no"], "left_semi")), touched)
 
 
+@query(
+    "search_after_update",
+    f"WITH {FILES_V2}, {LINES_V1.replace('files_v1', 'files_v2')} SELECT query_id::BIGINT AS query_id, path, line_no::INT AS line_no, text FROM lines JOIN {values([*LITERALS, (12, 'inserted after ')])} ON contains(text, pattern)",
+)
+def search_after_update(spark, d):
+    """Hits in the second snapshot, from the index of the first one and an update."""
+    index = FollowedIndex.start(stored(spark, d, "trigrams"), files_v1(spark, d), work_path(spark, "search-updates"))
+    index.update(files_v2(spark, d))
+    return stored_search.search_literal(listed(spark, [*LITERALS, (12, "inserted after ")]), index)
+
+
 @query("sync_word_index", f"WITH {FILES_V2} SELECT token, path, count(*) AS tf FROM {word_sql('files_v2')} GROUP BY ALL")
 def sync_word_index(spark, d):
     touched = changed(spark, d)
