@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import durable
+
 BUCKETS = 104
 GROWTH = 1.2
 
@@ -38,6 +40,31 @@ def quantiles(hist: DataFrame, key: str, qs: list[float]) -> DataFrame:
     return at.groupBy(key, "q").agg(F.round(F.min_by(upper, "bucket"), 6).alias("value_us"), F.first("mean_us").alias("mean_us"))
 
 
+def percentiles(rows: DataFrame, key: str, value: str, qs: list[float]) -> DataFrame:
+    """(key, q, value): the least of a key's whole numbers that at least a share q of them don't exceed.
+
+    Selected by 16 bits at a time from the highest: four rounds count the rows that agree with what is chosen so
+    far by their next 16 bits. Counts are summed before they are shuffled, and a window sees at most 65,536 of
+    them for a key, so no task holds or orders a key's rows. Null values don't count; a key with none else has a
+    null. A null key is a key.
+    """
+    bits = F.col(value).cast("long").bitwiseXOR(F.lit(-(1 << 63)))  # in the order of unsigned numbers
+    rows = rows.select(F.col(key).alias("k"), bits.alias("bits"))
+    n = rows.groupBy("k").agg(F.count("bits").alias("n")).withColumn("q", F.explode(F.array(*map(F.lit, qs))))
+    asked = durable(n.select(F.col("k").alias("key"), "q", "n", F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("n"))).alias("rank"), F.lit(0).cast("long").alias("chosen")))
+    left = asked.where("n > 0")
+    for shift in (48, 32, 16, 0):
+        above = F.shiftrightunsigned("bits", shift + 16) if shift < 48 else F.lit(0).cast("long")
+        digits = rows.where("bits IS NOT NULL").select("k", above.alias("above"), F.shiftrightunsigned("bits", shift).bitwiseAND(F.lit(0xFFFF)).alias("digit"))
+        same = F.col("k").eqNullSafe(F.col("key")) & (F.col("above") == F.col("chosen"))
+        counts = digits.join(left.select("key", "chosen"), same, "left_semi").groupBy("k", "above", "digit").agg(F.count("*").alias("c"))
+        run = Window.partitionBy("key", "q").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
+        upto = counts.join(left, same).withColumn("upto", F.sum("c").over(run)).where("upto >= rank AND upto - c < rank")
+        left = durable(upto.select("key", "q", "n", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), F.shiftleft("chosen", 16).bitwiseOR(F.col("digit")).alias("chosen")))
+    found = left.select("key", "q", F.col("chosen").bitwiseXOR(F.lit(-(1 << 63))).alias("value"))
+    return found.unionByName(asked.where("n = 0").select("key", "q", F.lit(None).cast("long").alias("value")))
+
+
 def outcome_rate(calls: DataFrame, outcome: str) -> DataFrame:
     """The share of calls with an outcome; 0 without calls."""
     return calls.agg(F.coalesce(F.avg((F.col("outcome") == outcome).cast("int")), F.lit(0.0)).alias("rate"))

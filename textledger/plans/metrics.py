@@ -66,9 +66,9 @@ def histogram_quantile(spark, d):
 
 @query("exact_percentile", f"WITH {CALLS} SELECT command, quantile_disc(duration_us, 0.5) AS p50, quantile_disc(duration_us, 0.95) AS p95 FROM calls GROUP BY command")
 def exact_percentile(spark, d):
-    rows = calls(spark, d)
-    p = lambda q: F.expr(f"percentile_disc({q}) within group (order by duration_us)").cast("long")
-    return rows.groupBy("command").agg(p(0.5).alias("p50"), p(0.95).alias("p95"))
+    found = M.percentiles(calls(spark, d), "command", "duration_us", [0.5, 0.95])
+    p = lambda q: F.max(F.when(F.col("q") == q, F.col("value")))
+    return found.groupBy(F.col("key").alias("command")).agg(p(0.5).alias("p50"), p(0.95).alias("p95"))
 
 
 @query(
