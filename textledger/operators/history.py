@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import durable
+from .carried import CARRIED, OWN, REF, carried
 
 FRAGMENTS = "path string, seq int, pos int, old array<string>, new array<string>"
 
@@ -211,71 +212,30 @@ def hops(fragments: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndar
     return new_lo, np.where(empty, new_lo, new_hi), over | np.where(empty, at, between)
 
 
-REFS_IN_TASK = 4096
+REFS_IN_TASK = 1 << 18
 
 
 def map_ranges(refs: DataFrame, fragments: DataFrame) -> DataFrame:
     """refs (ref_id, path, since, lo, hi) carried through all later changes of their path, in order.
 
     fragments (path, change_id, seq, pos, old_n, new_n). A path's refs are dealt over as many parts as
-    hold REFS_IN_TASK each, and its fragments go to every part. A part is read in order of changes and
-    holds only its refs that have begun, so neither a path with most refs nor one with most changes is
-    one group in memory.
+    hold REFS_IN_TASK each, and its fragments go to every part. Paths are numbered and put together to as many
+    groups as there are tasks. A part is read in blocks of changes, in order, and holds only its refs that have
+    begun, so neither a path with most refs nor one with most changes is one group in memory (see carried).
     """
+    n = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = refs.groupBy("path").agg(F.ceil(F.count("*") / REFS_IN_TASK).cast("int").alias("parts"))
+    parts = durable(parts.withColumn("segment", F.monotonically_increasing_id()))
     part = F.pmod(F.xxhash64("ref_id"), F.col("parts")).cast("int").alias("part")
-    none = [F.lit(0).cast("long").alias(c) for c in ("seq", "pos", "old_n", "new_n")]
-    mine = refs.join(parts, "path").select("path", part, F.col("since").cast("long").alias("at"), F.lit(1).alias("kind"), *none, "ref_id", F.col("lo").cast("long"), F.col("hi").cast("long"))
+    long = lambda c, name: F.col(c).cast("long").alias(name)
+    zero = lambda *names: [F.lit(0).cast("long").alias(c) for c in names]
+    root = F.pmod(F.xxhash64("segment"), F.lit(n)).cast("string").alias("root")
+    mine = refs.join(parts, "path").select(root, part, long("since", "at"), F.lit(REF).alias("kind"), "segment", *zero("pos", "old_n", "new_n"), "ref_id", long("lo", "lo"), long("hi", "hi"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    moves = fragments.join(parts, "path").select("path", every, F.col("change_id").cast("long").alias("at"), F.lit(0).alias("kind"), *[F.col(c).cast("long").alias(c) for c in ("seq", "pos", "old_n", "new_n")], F.lit("").alias("ref_id"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))
+    moves = fragments.join(parts, "path").select(root, every, long("change_id", "at"), F.lit(OWN).alias("kind"), "segment", *[long(c, c) for c in ("pos", "old_n", "new_n")], F.lit("").alias("ref_id"), *zero("lo", "hi"))
     # A change moves the refs that began before it, so it stands ahead of those that begin with it.
-    order = ["path", "part", "at", "kind", "seq"]
-    rows = moves.unionByName(mine).repartition("path", "part").sortWithinPartitions(*order)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, ids, lo, hi, touched = None, [], np.empty(0, np.int64), np.empty(0, np.int64), []
-
-        def done() -> pd.DataFrame:
-            return pd.DataFrame({"ref_id": ids, "lo": lo, "hi": hi, "touched": touched})
-
-        held = None
-        for frame in frames:
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            at = frame["at"].to_numpy()
-            names = list(zip(frame["path"], frame["part"], strict=True))
-            kind, spots = frame["kind"].to_numpy(), frame[["pos", "old_n", "new_n"]].to_numpy()
-            los, his, refs_ = frame["lo"].to_numpy(), frame["hi"].to_numpy(), frame["ref_id"].to_list()
-            edges = [i for i in range(len(frame)) if i == 0 or names[i] != names[i - 1] or at[i] != at[i - 1] or kind[i] != kind[i - 1]]
-            for a, b in zip(edges, edges[1:]):  # the last change or refs may go on in the next frame
-                if names[a] != key:
-                    if ids:
-                        yield done()
-                    key, ids, lo, hi, touched = names[a], [], np.empty(0, np.int64), np.empty(0, np.int64), []
-                if kind[a]:
-                    ids, touched = ids + refs_[a:b], touched + [[] for _ in range(a, b)]
-                    lo, hi = np.concatenate((lo, los[a:b])), np.concatenate((hi, his[a:b]))
-                elif ids:
-                    lo, hi, hit = hops(spots[a:b], lo, hi)
-                    for k in np.flatnonzero(hit):
-                        touched[k].append(int(at[a]))
-            held = frame.iloc[edges[-1] :] if edges else None
-        if held is not None and len(held):
-            a = held.iloc[0]
-            if (a["path"], a["part"]) != key:
-                if ids:
-                    yield done()
-                ids, lo, hi, touched = [], np.empty(0, np.int64), np.empty(0, np.int64), []
-            if a["kind"]:
-                ids, touched = ids + held["ref_id"].to_list(), touched + [[] for _ in range(len(held))]
-                lo, hi = np.concatenate((lo, held["lo"].to_numpy())), np.concatenate((hi, held["hi"].to_numpy()))
-            elif ids:
-                lo, hi, hit = hops(held[["pos", "old_n", "new_n"]].to_numpy(), lo, hi)
-                for k in np.flatnonzero(hit):
-                    touched[k].append(int(a["at"]))
-        if ids:
-            yield done()
-
-    return rows.mapInPandas(run, "ref_id string, lo long, hi long, touched array<long>")
+    rows = moves.unionByName(mine).repartition("root", "part").sortWithinPartitions("root", "part", "at", "kind", "segment", "pos")
+    return rows.mapInArrow(carried, CARRIED).select("ref_id", "lo", "hi", F.col("overlaps").alias("touched"))
 
 
 def undo_plan(fragments: DataFrame, later: DataFrame, key: str = "path") -> DataFrame:
