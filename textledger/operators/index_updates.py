@@ -27,7 +27,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources.tables import durable
 from . import search as S
-from .stored_search import SCHEMAS, Buckets, bucket_of, write_buckets, write_frequencies, write_layout
+from .stored_search import PER_BUCKET, SCHEMAS, Buckets, bucket_of, write_buckets, write_frequencies, write_layout
+
+#: Chunks whose spots compact() may pack in a row; a key may be in all of them.
+PACKED = 1_000
 
 UPDATE_SCHEMAS = {
     "chunks": "path string, chunk_no int, first int, lines array<string>, bucket int",
@@ -167,7 +170,7 @@ class FollowedIndex(Buckets):
         def write(at: Callable[[str], str]) -> None:
             fresh = plan.select("path", F.explode("fresh").alias("c")).select("path", "c.*")
             write_buckets(fresh, at("chunks"), "path", self.buckets, "chunk_no")
-            postings = S.trigram_index(fresh)
+            postings = S.trigram_lists(fresh)
             write_buckets(postings, at("postings"), "tri", self.buckets)
             write_frequencies(self.spark.read.schema(UPDATE_SCHEMAS["postings"]).parquet(at("postings")), at("frequencies"), "tri")
             plan.select("path", F.explode("gone").alias("chunk_no")).write.parquet(at("gone"))
@@ -183,6 +186,9 @@ class FollowedIndex(Buckets):
         index = FollowedIndex(Buckets(self.spark, at, self.key), updates)
         write_buckets(self.placed().drop("bucket"), f"{at}/chunks", "path", self.buckets, "chunk_no")
         kept = self.postings().join(self.added("gone"), ["path", "chunk_no"], "left_anti")
+        # Again lists of what is packed together, at most some hundred spots.
+        part = F.pmod(F.xxhash64("path", "chunk_no"), F.lit(1 + self.buckets * PER_BUCKET // PACKED))
+        kept = kept.groupBy(self.key, part.alias("part")).agg(F.collect_list(F.struct("path", "chunk_no")).alias("spots")).drop("part")
         write_buckets(kept, f"{at}/postings", self.key, self.buckets)
         written = self.spark.read.schema(UPDATE_SCHEMAS["postings"]).parquet(f"{at}/postings")
         write_frequencies(written, f"{at}/frequencies", self.key)
