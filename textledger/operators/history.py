@@ -13,6 +13,8 @@ from ..sources.tables import durable
 from .carried import CARRIED, OWN, REF, carried
 
 FRAGMENTS = "path string, seq int, pos int, old array<string>, new array<string>"
+#: Most paths that are sent to all tasks at once.
+MOST_SENT = 100_000
 
 
 def middle(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
@@ -275,15 +277,19 @@ def restore(versions: DataFrame, change_id: int) -> DataFrame:
 
 
 def closure(paths: DataFrame, moves: DataFrame) -> DataFrame:
-    """paths (path) and all that moves (path, from_path) connect them with, by widening until nothing is added."""
-    both = moves.select(F.col("path").alias("a"), F.col("from_path").alias("b"))
-    both = both.union(both.select("b", "a")).distinct()
-    now, n = durable(paths.select("path").distinct()), -1
-    while (size := now.count()) != n:
-        n = size
-        more = now.join(both, now["path"] == both["a"]).select(F.col("b").alias("path"))
-        now = durable(now.union(more).distinct())
-    return now
+    """paths (path) and all that moves (path, from_path) connect them with, by widening until nothing is added.
+
+    The moves are made distinct once and kept; a round looks only for the neighbours of what the last one added.
+    """
+    links = durable(moves.select(F.col("path").alias("a"), F.col("from_path").alias("b")).distinct())
+    both = links.union(links.select("b", "a"))
+    seen = added = durable(paths.select("path").distinct())
+    while n := added.count():
+        near = F.broadcast(added) if n <= MOST_SENT else added
+        more = both.join(near, near["path"] == both["a"]).select(F.col("b").alias("path")).distinct()
+        added = durable(more.join(seen, "path", "left_anti"))
+        seen = durable(seen.union(added))
+    return seen
 
 
 def latest_undoable(changes: DataFrame) -> DataFrame:

@@ -455,7 +455,7 @@ def move_closure(spark, d):
     f = lambda c: F.concat(F.lit("docs/f"), c.cast("string"))
     part = F.col("l_partkey")
     moves = table(spark, d, "lineitem").select(f(part).alias("path"), f(part - part % 50 + F.col("l_suppkey") % 50).alias("from_path"))
-    return H.closure(spark.createDataFrame([("docs/f1",)], "path string"), moves.distinct())
+    return H.closure(spark.createDataFrame([("docs/f1",)], "path string"), moves)
 
 
 ROUNDS = 24
