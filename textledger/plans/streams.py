@@ -127,7 +127,7 @@ UNION ALL SELECT path, substr(b.h, 1, 6), CASE WHEN a.h IS NULL THEN 'added' WHE
 def stream_versions(spark, d):
     """Both snapshots' hashes, the new one behind the old one."""
     parts = [files(spark, d).select("path", F.sha2("content", 256).alias("hash"), F.lit(seq).alias("seq")) for seq, files in enumerate((files_v1, files_v2))]
-    return S.in_turns(parts, S.versions)
+    return S.versions(parts)
 
 
 def by_time(rows, key: str, parts: int = 4):

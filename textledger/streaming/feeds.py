@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -134,22 +134,31 @@ def sync(events: DataFrame, old: DataFrame, current: DataFrame, bulk: int = BULK
     return spark.read.parquet(updates)
 
 
-def versions(stream: DataFrame) -> DataFrame:
-    """Entries (path, version, op) from (path, hash) with the last hash of each path as state."""
+def versions(parts: list[DataFrame]) -> DataFrame:
+    """Entries (path, version, op) of parts (path, hash, seq) that arrive one after the other.
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = []
-        for frame in frames:
-            for h in frame.sort_values("seq")["hash"]:
-                rows.append((key[0], h[:6], "added" if last is None else "unchanged" if h == last else "modified"))
-                last = h
-        state.update((last,))
-        yield pd.DataFrame(rows, columns=["path", "version", "op"])
-
-    return stream.groupBy("path").applyInPandasWithState(
-        update, "path string, version string, op string", "last string", "append", GroupStateTimeout.NoTimeout
-    )
+    The last hash of each path is state, joined with a batch by path. State and entries are written by batch id;
+    after each part the stream stops, and the next run goes on from the checkpoint.
+    """
+    spark = parts[0].sparkSession
+    at, states, entries, checkpoint = (work_path(spark, f"versions-{x}") for x in ("in", "state", "out", "checkpoint"))
+    overwrite_batch(spark.createDataFrame([], "path string, hash string"), states, -1)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        known = spark.read.schema("path string, hash string").parquet(f"{states}/batch_id={batch_id - 1}")
+        new = batch.select("path", "hash", F.struct(F.lit(True).alias("new"), "seq").alias("at"))
+        rows = known.select("path", "hash", F.struct(F.lit(False).alias("new"), F.lit(None).cast(batch.schema["seq"].dataType).alias("seq")).alias("at")).unionByName(new)
+        last = F.lag("hash").over(Window.partitionBy("path").orderBy("at"))
+        op = F.when(last.isNull(), "added").when(F.col("hash") == last, "unchanged").otherwise("modified")
+        found = rows.select("path", F.substring("hash", 1, 6).alias("version"), op.alias("op"), F.col("at.new").alias("new"))
+        overwrite_batch(found.where("new").drop("new"), entries, batch_id)
+        overwrite_batch(rows.groupBy("path").agg(F.max_by("hash", "at").alias("hash")), states, batch_id)
+
+    for part in parts:
+        part.write.mode("append").parquet(at)
+        stream = spark.readStream.schema(parts[0].schema).parquet(at)
+        stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("path string, version string, op string").parquet(entries).select("path", "version", "op")
 
 
 def debounced(stream: DataFrame, quiet_ms: int = QUIET_MS, most_ms: int = MOST_MS) -> DataFrame:
