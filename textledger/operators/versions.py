@@ -169,8 +169,10 @@ def reconstructed(requests: DataFrame, changes: DataFrame, fragments: DataFrame,
     changes = changes.select("change_id", "path", "from_path", plain("created"), plain("removed"), plain("binary"), "v_before", "v_after")
     located = durable(next_moves(changes.withColumn("at", F.col("change_id")), changes.where("from_path is not null")))
     root_of = durable(roots(located.where("from_path is not null")))
-    current = files.join(requests, "path").where(T.content_version(F.col("content")) == F.col("v")).select("req_id", F.lit("current").alias("status"), "path", F.lit(None).cast("long").alias("change_id"), "content")
-    open_ = durable(requests.join(current.select("req_id"), "req_id", "left_anti"))
+    # Found by the versions alone: contents are read for the result only.
+    at_once = durable(files.select("path", T.content_version(F.col("content")).alias("v")).join(requests, ["path", "v"]).select("req_id", "path"))
+    current = files.join(at_once, "path").select("req_id", F.lit("current").alias("status"), "path", F.lit(None).cast("long").alias("change_id"), "content")
+    open_ = durable(requests.join(at_once.select("req_id"), "req_id", "left_anti"))
 
     chain = chains(open_, located).alias("c")
     # A move shows the version where the file was: as the change that ends the segment it left.
@@ -206,6 +208,7 @@ def reconstructed(requests: DataFrame, changes: DataFrame, fragments: DataFrame,
     first = Window.partitionBy("req_id").orderBy("depth", F.desc("change_id"))
     best = candidates.join(found, "change_id").withColumn("n", F.row_number().over(first)).where("n = 1")
     best = best.select("req_id", F.lit("found").alias("status"), "path", "change_id", "content")
+    best = durable(best)
     done = current.unionByName(best)
-    missing = requests.join(done.select("req_id"), "req_id", "left_anti").select("req_id", F.lit("not_found").alias("status"), "path", F.lit(None).cast("long").alias("change_id"), none.alias("content"))
+    missing = open_.join(best.select("req_id"), "req_id", "left_anti").select("req_id", F.lit("not_found").alias("status"), "path", F.lit(None).cast("long").alias("change_id"), none.alias("content"))
     return done.unionByName(missing)

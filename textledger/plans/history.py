@@ -188,7 +188,16 @@ def pairs(spark, d):
     return differing(old, new)
 
 
+#: Most hashes of paths that are sent to all tasks: some 64 MB.
+MOST_PATHS = 2_000_000
+
+
 def differing(old, new):
+    """(path, old, new) lines of the files whose contents differ; only contents of paths that may are shuffled."""
+    a, b = (f.select("path", F.sha2(c, 256).alias("h")) for f, c in ((old, "a"), (new, "b")))
+    paths = durable(a.join(b.withColumnRenamed("h", "now"), "path").where("h <> now").select(F.xxhash64("path").alias("key")).distinct())
+    if paths.limit(MOST_PATHS + 1).count() <= MOST_PATHS:
+        old, new = (f.join(F.broadcast(paths), F.xxhash64("path") == F.col("key"), "left_semi") for f in (old, new))
     both = old.join(new, "path").where("a <> b")
     return both.select("path", T.split_lines(F.col("a")).alias("old"), T.split_lines(F.col("b")).alias("new"))
 
@@ -274,16 +283,19 @@ def find_versions(spark, d):
     Each file is asked for where it is now; a moved one also by the path that it left.
     """
     old, new = files_v1(spark, d).select("path", "content"), files_v2(spark, d).select("path", "content")
-    moved = old.select("path", "content").withColumn("to", F.concat(F.lit("archive"), F.substring("path", 5, 1 << 20))).join(new.select(F.col("path").alias("to")), "to")
-    version = lambda c: T.content_version(F.col(c))
+    # The log and the requests are made of hashes; contents are joined only where they are changed or asked for.
+    was, now = (f.select("path", F.sha2("content", 256).alias(h)) for f, h in ((old, "was"), (new, "now")))
+    was = durable(was)
+    moved = was.withColumn("to", F.concat(F.lit("archive"), F.substring("path", 5, 1 << 20))).join(new.select(F.col("path").alias("to")), "to")
+    version = lambda c: F.substring(c, 1, 6)
     none, no = F.lit(None).cast("string"), F.lit(False)
-    move_log = moved.select(F.col("to").alias("path"), F.col("path").alias("from_path"), version("content").alias("v_before"), version("content").alias("v_after"))
-    edited = old.join(new.select("path", F.col("content").alias("now")), "path")
-    edit_log = edited.where("content <> now").select("path", none.alias("from_path"), version("content").alias("v_before"), version("now").alias("v_after"))
+    move_log = moved.select(F.col("to").alias("path"), F.col("path").alias("from_path"), version("was").alias("v_before"), version("was").alias("v_after"))
+    edited = durable(was.join(now, "path"))
+    edit_log = edited.where("was <> now").select("path", none.alias("from_path"), version("was").alias("v_before"), version("now").alias("v_after"))
     log = durable(move_log.unionByName(edit_log).withColumns({"created": no, "removed": no, "binary": no, "change_id": F.monotonically_increasing_id() + 1}))
     frags = H.line_diff(pairs(spark, d)).join(log.where("from_path is null").select("path", "change_id"), "path").drop("path")
-    here = edited.select("path", version("content").alias("v")).unionByName(moved.select(F.col("to").alias("path"), version("content").alias("v")))
-    asked = here.unionByName(moved.select("path", version("content").alias("v"))).withColumn("req_id", F.col("path"))
+    here = edited.select("path", version("was").alias("v")).unionByName(moved.select(F.col("to").alias("path"), version("was").alias("v")))
+    asked = here.unionByName(moved.select("path", version("was").alias("v"))).withColumn("req_id", F.col("path"))
     found = V.reconstructed(asked, log, frags, new)
     return found.select("req_id", "status", "path", F.sha2("content", 256).alias("hash"))
 
