@@ -419,6 +419,58 @@ def test_fuzzy_passages_whose_pieces_occur_earlier(spark, agree):
     assert min(got) >= later and len(got) >= 90
 
 
+def test_sparse_passages_whose_seeds_occur_earlier(spark):
+    """Two documents share 60 words but every tenth, and each run of nine between also stands in an earlier document of its own; so does each run and the next, far apart."""
+    rng = random.Random(18)
+    text = lambda n: [f"x{rng.randrange(10**8)}" for _ in range(n)]
+    rows, later = [], {}
+    for i in range(0, 2000, 100):
+        shared = text(60)
+        runs = [shared[at : at + 9] for at in range(0, 60, 10)]
+        rows += [(i + k, text(40) + r + text(40)) for k, r in enumerate(runs)]
+        rows += [(i + 10 + k, text(30) + a + text(1) + b + text(30)) for k, (a, b) in enumerate(zip(runs, runs[1:]))]
+        rows += [(i + 50, text(40) + shared + text(40)), (i + 60, text(55) + [w if k % 10 != 9 else "new" for k, w in enumerate(shared)] + text(25))]
+        later[i + 60] = i + 50
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {}
+    for r in chaining.repeated_passages(docs).collect():
+        if r.doc in later and r.other == later[r.doc]:
+            got.setdefault(r.doc, set()).update(range(r.start, r.end))
+    assert set(got) == set(later) and all(set(range(55, 105)) <= words for words in got.values())
+
+
+def test_passages_of_sparse_seeds_with_earlier_ones(spark):
+    """As above, every sixth word changed: of runs of five words, few have seeds."""
+    rng = random.Random(19)
+    text = lambda n: [f"y{rng.randrange(10**8)}" for _ in range(n)]
+    rows, later = [], set()
+    for i in range(0, 5000, 100):
+        shared = text(72)
+        rows += [(i + k, text(40) + shared[at : at + 5] + text(40)) for k, at in enumerate(range(0, 72, 6))]
+        rows += [(i + 50, text(40) + shared + text(40)), (i + 60, text(55) + [w if k % 6 != 5 else "new" for k, w in enumerate(shared)] + text(25))]
+        later.add(i + 60)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r.doc for r in chaining.repeated_passages(docs).collect() if r.other == r.doc - 10}
+    print(f"{len(got & later)} of 50 found")
+    assert got <= later and len(got) >= 40
+
+
+def test_word_hashes_are_of_words():
+    """In pieces as in one, and equal where the words are, lower-cased."""
+    rng = random.Random(20)
+    texts = ["".join(rng.choice(["a", "B", "b", "é", "É", " ", " ", "\t", "\x0b", "\x1c", "\u00a0"]) for _ in range(rng.randrange(80))).encode() for _ in range(300)]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    whole = chaining.word_hashes(data, at, chaining.Grams())
+    size, chaining.CHUNK = chaining.CHUNK, 7
+    try:
+        parts = chaining.word_hashes(data, at, chaining.Grams())
+    finally:
+        chaining.CHUNK = size
+    words = [w for t in texts for w in t.lower().split()]
+    assert len(whole[1]) == len(words) and all((a == b).all() for a, b in zip(whole, parts))
+    assert len(set(zip(words, whole[1].tolist()))) == len(set(words)) == len(set(whole[1].tolist()))
+
+
 def test_passages_within_a_document(spark):
     body = [f"u{k}" for k in range(120)]
     docs = spark.createDataFrame([(1, " ".join(body + body)), (2, " ".join(f"v{k}" for k in range(200)))], "doc_id long, text string")
