@@ -455,6 +455,44 @@ def test_passages_of_sparse_seeds_with_earlier_ones(spark):
     assert got <= later and len(got) >= 40
 
 
+def test_short_common_pieces_are_not_compared_in_pairs(spark, monkeypatch):
+    """Of documents that share a piece of 30 words and nothing else, pairs make no chains; two that share 60 words around it are found."""
+    rng = random.Random(23)
+    text = lambda n: [f"z{rng.randrange(10**8)}" for _ in range(n)]
+    for piece in (text(30), ["same"] * 30):
+        before, behind = text(15), text(15)
+        rows = [(i, text(60) + piece + text(60)) for i in range(80)]
+        rows += [(i, text(40) + before + piece + behind + text(40)) for i in (90, 91)]
+        docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+        made, write = [], chaining.written
+
+        def counted(df, label):
+            out = write(df, label)  # noqa: B023
+            if label == "chains":
+                made.append(out.where("other is not null").count())  # noqa: B023
+            return out
+
+        monkeypatch.setattr(chaining, "written", counted)
+        got = [(r.doc, r.other, r.start, r.end) for r in chaining.repeated_passages(docs).collect()]
+        monkeypatch.setattr(chaining, "written", write)
+        assert got == [(91, 90, 40, 100)] and max(made) <= 4 * len(rows)
+
+
+def test_seeds_over_two_passages_that_meet_are_covered(spark):
+    """Each word of the later document is in one of two passages that meet, so no pair is asked for."""
+    rng = random.Random(24)
+    a, b = ([f"w{rng.randrange(10**8)}" for _ in range(60)] for _ in range(2))
+    docs = spark.createDataFrame([(1, " ".join(a + b))], "doc long, text string")
+    words = chaining.worded(docs)
+    at, h = chaining.minimizers(np.frombuffer(words.first().words, np.uint32), np.array([120]), chaining.Grams())
+    own = np.empty(len(at), chaining.SEED)
+    own["pos"], own["h"] = at, h
+    found = spark.createDataFrame([(1, bytearray(own.tobytes()))], "doc long, seeds binary")
+    passages = lambda *ps: spark.createDataFrame([(1, s, e, 0, 0, e - s, e - s) for s, e in ps], chaining.PASSAGE)
+    assert chaining.bare_pairs(found, passages((0, 60), (60, 120)), words).isEmpty()
+    assert not chaining.bare_pairs(found, passages((0, 60), (62, 120)), words).isEmpty()
+
+
 def test_word_hashes_are_of_words():
     """In pieces as in one, and equal where the words are, lower-cased."""
     rng = random.Random(20)
