@@ -478,6 +478,20 @@ def test_short_common_pieces_are_not_compared_in_pairs(spark, monkeypatch):
         assert got == [(91, 90, 40, 100)] and max(made) <= 4 * len(rows)
 
 
+def test_copies_of_what_a_far_pair_meets_are_met_once(spark):
+    """Twenty copies of a passage whose seeds first stand elsewhere: each later document, every sixth word changed, points to the first."""
+    rng = random.Random(29)
+    text = lambda n: [f"c{rng.randrange(10**8)}" for _ in range(n)]
+    shared, before, behind = text(72), text(60), text(60)
+    rows = [(k, text(40) + shared[at : at + 24] + text(40)) for k, at in enumerate(range(0, 72, 12))]
+    rows += [(100 + k, before + shared + behind) for k in range(20)]
+    rows += [(200 + k, text(50) + [f"n{rng.randrange(10**8)}" if j % 6 == k % 6 else w for j, w in enumerate(shared)] + text(50)) for k in range(6)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = [(r.doc, r.other) for r in chaining.repeated_passages(docs).collect() if r.doc >= 200 and r.other >= 100]
+    assert {d for d, o in got if o == 100} == {d for d, _ in rows if d >= 200}
+    assert not {o for _, o in got if 100 < o < 120}
+
+
 def test_seeds_over_two_passages_that_meet_are_covered(spark):
     """Each word of the later document is in one of two passages that meet, so no pair is asked for."""
     rng = random.Random(24)
