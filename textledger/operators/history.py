@@ -238,27 +238,71 @@ def undo_fragments(plan: DataFrame, fragments: DataFrame, key: str = "path") ->
     return rows.select(key, "seq", F.col("lo").cast("int").alias("pos"), F.col("new").alias("old"), F.col("old").alias("new"))
 
 
-def reconstruct(lines: DataFrame, steps: list[DataFrame]) -> DataFrame:
-    """Lines (path, line_no, text) taken back through changes, newest first: (path, line_no, text, mismatch).
+#: Most hashes of paths that are sent to all tasks to pick the files that changes touch: some 64 MB.
+MOST_PICKED = 2_000_000
+
+
+def picked(files: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """files (path, ...) that may be among paths (path), and the others; no content is shuffled for that if the paths are few."""
+    keys = durable(paths.select(F.xxhash64("path").alias("key")).distinct())
+    if keys.limit(MOST_PICKED + 1).count() > MOST_PICKED:
+        return files, files.limit(0)
+    keys, key = F.broadcast(keys), F.xxhash64("path") == F.col("key")
+    return files.join(keys, key, "left_semi"), files.join(keys, key, "left_anti")
+
+
+def replaced(lines: Column, spots: Column) -> tuple[Column, Column]:
+    """lines after spots, an array of (seq, pos, old, new) in order or null, and whether the lines that they replace aren't those expected."""
+    end = lambda f: F.coalesce(f["pos"] + F.size(f["old"]), F.lit(0))
+    between = lambda first, to: F.slice(lines, first + 1, F.greatest(to - first, F.lit(0)))
+    piece = lambda f, i: F.concat(between(F.when(i > 0, end(F.get(spots, i - 1))).otherwise(F.lit(0)), f["pos"]), f["new"])
+    after = F.concat(F.flatten(F.transform(spots, piece)), between(end(F.get(spots, F.size(spots) - 1)), F.size(lines)))
+    wrong = F.exists(spots, lambda f: between(f["pos"], f["pos"] + F.size(f["old"])) != f["old"])
+    return F.coalesce(after, lines), F.coalesce(wrong, F.lit(False))
+
+
+def reconstruct(files: DataFrame, steps: list[DataFrame]) -> DataFrame:
+    """Files (path, lines) taken back through changes, newest first: (path, lines, mismatch).
 
     A step is fragments (path, seq, pos, old, new), which are reversed, or moves (path, from_path).
-    mismatch: a line that a step replaced isn't the one that it had made, so the chain is broken there.
+    mismatch: lines that a step replaced aren't those that it had made, so the chain is broken there.
+
+    All steps of a file are brought together under its name now, so a file is a row that is shuffled once, and only if
+    a step touches it.
     """
-    bad = None
-    for step in steps:
+    plan, moves, moved = None, [], []
+
+    def named_now(rows: DataFrame) -> DataFrame:
+        for m in reversed(moves):
+            rows = rows.join(m.select(F.col("from_path").alias("path"), F.col("path").alias("later")), "path", "left").withColumn("path", F.coalesce("later", "path")).drop("later")
+        return rows
+
+    columns = []
+    for k, step in enumerate(steps):
         if "from_path" in step.columns:
-            moved = lambda rows: rows.join(step.select("path", "from_path"), "path", "left").withColumn("path", F.coalesce("from_path", "path")).drop("from_path")  # noqa: B023, E731
-            lines = moved(lines)
-            bad = moved(bad).distinct() if bad is not None else None
+            step = durable(step.select("path", "from_path"))
+            moved.append(named_now(step.select("path")))
+            moves.append(step)
             continue
-        frags = step.withColumns({"old_n": F.size("old"), "new_n": F.size("new")})
-        after = durable(apply_fragments(lines, reversed_fragments(frags, "path")))
-        now = after.where("mismatch").select("path").distinct()
-        bad = now if bad is None else bad.union(now).distinct()
-        lines = after.drop("mismatch")
-    if bad is None:
-        return lines.withColumn("mismatch", F.lit(False))
-    return lines.join(bad.withColumn("mismatch", F.lit(True)), "path", "left").withColumn("mismatch", F.coalesce("mismatch", F.lit(False)))
+        frags = named_now(step.select("path", "seq", "pos", "old", "new")).withColumns({"old_n": F.size("old"), "new_n": F.size("new")})
+        spot = F.struct("seq", F.col("pos").cast("int").alias("pos"), "old", "new")
+        spots = reversed_fragments(frags, "path").groupBy("path").agg(F.array_sort(F.collect_list(spot)).alias(f"spots{k}"))
+        columns.append(f"spots{k}")
+        plan = spots if plan is None else plan.join(spots, "path", "full_outer")
+    if plan is None and not moved:
+        return files.withColumn("mismatch", F.lit(False))
+    for m in moved:
+        plan = m.distinct() if plan is None else plan.join(m.distinct(), "path", "full_outer")
+    plan = plan.withColumn("was", F.col("path"))
+    for m in moves:
+        plan = plan.join(m.select(F.col("path").alias("was"), "from_path"), "was", "left").withColumn("was", F.coalesce("from_path", "was")).drop("from_path")
+    plan = durable(plan)
+    mine, others = picked(files, plan.select("path"))
+    rows = mine.join(plan, "path", "full_outer").withColumns({"lines": F.coalesce("lines", F.array().cast("array<string>")), "mismatch": F.lit(False)})
+    for c in columns:
+        lines, wrong = replaced(F.col("lines"), F.col(c))
+        rows = rows.withColumn("mismatch", F.col("mismatch") | wrong).withColumn("lines", lines).drop(c)
+    return rows.select(F.coalesce("was", "path").alias("path"), "lines", "mismatch").unionByName(others.select("path", "lines", F.lit(False).alias("mismatch")))
 
 
 def as_of(versions: DataFrame, change_id: int) -> DataFrame:

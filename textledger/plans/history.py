@@ -239,13 +239,15 @@ def reconstruct_version(spark, d):
     old, new = (f(spark, d).select("path", F.sha2("content", 256).alias("hash")) for f in (files_v1, files_v2))
     moved = R.moves(R.reconcile(old, new)).select("path", "from_path")
     steps = [H.line_diff(later_pairs(spark, d)), moved, H.line_diff(pairs(spark, d))]
-    back = H.reconstruct(lines_of(files_v3(spark, d)), steps)
-    broken = back.where("mismatch").select("path").distinct().withColumn("broken", F.lit(True))
+    hashed = lambda lines: F.sha2(F.array_join(lines, "\n"), 256).alias("text")
+    back = H.reconstruct(files_v3(spark, d).select("path", T.split_lines(F.col("content")).alias("lines")), steps)
+    back = back.select("path", hashed(F.col("lines")), "mismatch")
     kept = new.select("path").join(moved, "path", "left").select(F.coalesce("from_path", "path").alias("path"))
-    was = files_v1(spark, d).select("path", F.array_join(T.split_lines(F.col("content")), "\n").alias("was")).join(kept, "path", "left_semi")
-    rows = was.join(text_of(back), "path", "left").join(broken, "path", "left")
-    same = ~F.coalesce("broken", F.lit(False)) & (F.coalesce("text", F.lit("")) == F.col("was"))
-    return rows.select("path", T.content_version(F.col("was")).alias("version"), same.alias("same"))
+    lines = T.split_lines(F.col("content"))
+    was = files_v1(spark, d).select("path", T.content_version(F.array_join(lines, "\n")).alias("version"), hashed(lines).alias("was")).join(kept, "path", "left_semi")
+    rows = was.join(back, "path", "left")
+    same = ~F.coalesce("mismatch", F.lit(False)) & (F.coalesce("text", F.sha2(F.lit(""), 256)) == F.col("was"))
+    return rows.select("path", "version", same.alias("same"))
 
 
 def planned(spark, d):
