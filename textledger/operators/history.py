@@ -192,6 +192,8 @@ def hop(fragments: list[tuple[int, int, int]], lo: int, hi: int) -> tuple[int, i
 
 
 REFS_IN_TASK = 1 << 18
+#: References that a task carries at a time, and of a group of small paths.
+REFS_AT_ONCE = 1 << 14
 
 
 def map_ranges(refs: DataFrame, fragments: DataFrame) -> DataFrame:
@@ -199,12 +201,14 @@ def map_ranges(refs: DataFrame, fragments: DataFrame) -> DataFrame:
 
     fragments (path, change_id, seq, pos, old_n, new_n). A path's refs are dealt over as many parts as
     hold REFS_IN_TASK each, and its fragments go to every part. Paths are numbered and put together to as many
-    groups as there are tasks. A part is read in blocks of changes, in order, and holds only its refs that have
+    groups as there are tasks, or more of some REFS_AT_ONCE references. A part is read in blocks of changes, in order, and holds only its refs that have
     begun, so neither a path with most refs nor one with most changes is one group in memory (see carried).
     """
     n = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = refs.groupBy("path").agg(F.ceil(F.count("*") / REFS_IN_TASK).cast("int").alias("parts"))
+    parts = refs.groupBy("path").agg(F.count("*").alias("n"), F.ceil(F.count("*") / REFS_IN_TASK).cast("int").alias("parts"))
     parts = durable(parts.withColumn("segment", F.monotonically_increasing_id()))
+    n = max(n, (parts.agg(F.sum("n")).first()[0] or 0) // REFS_AT_ONCE)
+    parts = parts.drop("n")
     part = F.pmod(F.xxhash64("ref_id"), F.col("parts")).cast("int").alias("part")
     long = lambda c, name: F.col(c).cast("long").alias(name)
     zero = lambda *names: [F.lit(0).cast("long").alias(c) for c in names]
@@ -214,7 +218,7 @@ def map_ranges(refs: DataFrame, fragments: DataFrame) -> DataFrame:
     moves = fragments.join(parts, "path").select(root, every, long("change_id", "at"), F.lit(OWN).alias("kind"), "segment", *[long(c, c) for c in ("pos", "old_n", "new_n")], F.lit("").alias("ref_id"), *zero("lo", "hi"))
     # A change moves the refs that began before it, so it stands ahead of those that begin with it.
     rows = moves.unionByName(mine).repartition("root", "part").sortWithinPartitions("root", "part", "at", "kind", "segment", "pos")
-    return rows.mapInArrow(carried, CARRIED).select("ref_id", "lo", "hi", F.col("overlaps").alias("touched"))
+    return rows.mapInArrow(lambda batches: carried(batches, REFS_AT_ONCE), CARRIED).select("ref_id", "lo", "hi", F.col("overlaps").alias("touched"))
 
 
 def undo_plan(fragments: DataFrame, later: DataFrame, key: str = "path") -> DataFrame:
