@@ -156,3 +156,34 @@ def test_undo_plan_query(spark):
     for path, rows in want.items():
         assert got[path].status == ("conflict" if any(r.status == "conflict" for r in rows) else "ok")
         assert [tuple(h) for h in got[path].hunks] == [(r.seq, r.lo, r.hi) for r in sorted(rows, key=lambda r: r.seq)]
+
+
+def test_changes_are_not_sent_to_a_part_for_each_few_references(spark, monkeypatch):
+    """A change is one row of a part, of at most as many parts as there are tasks, and only of those with a reference before it."""
+    changes, frags, _ = log_of(9)
+    asked = [(f"{c['change_id']}-{k}", c["path"], c["change_id"], k, k + 3) for c in changes for k in range(4)]
+    refs = spark.createDataFrame(asked, "ref_id string, path string, since long, lo long, hi long")
+
+    def streamed(batches, *more):
+        import pyarrow as pa
+
+        for b in batches:
+            t = pa.Table.from_batches([b]).select(["kind", "root", "part", "at"]).to_pylist()
+            rows = [{"ref_id": str(r["kind"]), "path": r["root"], "lo": r["part"], "hi": r["at"], "overlaps": None, "removed": None} for r in t]
+            kinds = [("ref_id", pa.string()), ("path", pa.string()), ("lo", pa.int64()), ("hi", pa.int64()), ("overlaps", pa.list_(pa.int64())), ("removed", pa.bool_())]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
+
+    monkeypatch.setattr(L, "carried", streamed)
+    monkeypatch.setattr(L, "REFS_IN_TASK", 8)
+    counts = tables(spark, changes, frags)
+    pieces = counts[1].selectExpr("change_id", "seq", "pos", "size(old) old_n", "size(new) new_n")
+    got = [(r.ref_id, r.path, r.lo, r.hi) for r in L.followed(refs, counts[0], pieces).collect()]
+    since = {}
+    for kind, root, part, at in got:
+        if kind == str(L.REF):
+            since[root, part] = min(since.get((root, part), at), at)
+    own = [x for x in got if x[0] == str(L.OWN)]
+    assert sum(x[0] == str(L.REF) for x in got) == len(asked)
+    assert len(own) == len(set(own)) <= 4 * len(changes)
+    starts = {r: sorted(s for (x, _), s in since.items() if x == r) for r, _ in since}
+    assert all(sum(s <= at for s in starts[root]) >= 1 for _, root, _, at in own)
